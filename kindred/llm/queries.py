@@ -20,6 +20,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.topk import exact_topk
+
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("source").select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.packing import pack
 
@@ -27,7 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_packing": op10_packing}
+    return {"op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
