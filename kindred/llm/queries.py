@@ -33,6 +33,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def _digest(found: DataFrame, counted: tuple[str, ...]) -> DataFrame:
+    return found.select("doc_id", *(f"n_{k}" for k in counted), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm import secrets
+
+    return _digest(secrets.scan(table(spark, sf_dir, "documents")), secrets.BASE)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm import pii
+
+    return _digest(pii.scan(table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.packing import pack
 
@@ -40,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op10_packing": op10_packing}
+    return {"op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
