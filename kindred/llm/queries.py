@@ -49,6 +49,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.scan(table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"), percent=90, width=5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.packing import pack
 
@@ -56,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op10_packing": op10_packing}
+    return {"op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
