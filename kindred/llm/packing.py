@@ -14,6 +14,7 @@ other columns of the input are not looked at, whatever their names.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int = 1) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only take from other tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,13 +80,21 @@ class Encoder:
         ids.append(np.array([self.end_id], np.uint32))
         table = np.concatenate(ids)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        codes = np.insert(codes, offsets[1:], len(source))
-        took = lengths[codes]
-        ends = np.cumsum(took)
-        index = np.repeat(starts[codes] - (ends - took), took)
-        index += np.arange(len(index))
-        counts = np.add.reduceat(took, offsets[:-1] + np.arange(n))
-        return table[index], counts
+        end = len(source)
+        del source, words, parts, encoded
+        counts = np.add.reduceat(lengths[codes], first) + 1
+        out = np.empty(int(counts.sum()), np.uint32)
+        doc, filled = 0, 0
+        while doc < n:  # documents a few at a time, as each step needs several arrays as long as its ids
+            stop = max(doc + 1, int(np.searchsorted(offsets, offsets[doc] + 400_000, side="right")) - 1)
+            some = np.insert(codes[offsets[doc] : offsets[stop]], offsets[doc + 1 : stop + 1] - offsets[doc], end)
+            took = lengths[some]
+            ends = np.cumsum(took)
+            index = np.repeat(starts[some] - (ends - took), took)
+            index += np.arange(len(index))
+            out[filled : filled + len(index)] = table[index]
+            doc, filled = stop, filled + len(index)
+        return out, counts
 
 
 def assign(counts: np.ndarray, size: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -146,7 +156,7 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1.0 / 4096,
     end_id: int = 1,
-    block_bytes: int = 24_000_000,
+    block_bytes: int = 16_000_000,
     ids: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost and, with ids, the ids.
