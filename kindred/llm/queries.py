@@ -55,6 +55,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.scan(table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.bilinear import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.suffixes import repeats
 
@@ -74,7 +80,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op8_suffix_dedup": op8_suffix_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_packing": op10_packing}
+    return {"op1_toxicity": op1_toxicity, "op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op7_log_bilinear": op7_log_bilinear, "op8_suffix_dedup": op8_suffix_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
