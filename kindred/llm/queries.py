@@ -26,6 +26,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.neighbours import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.topk import exact_topk
 
@@ -80,7 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op7_log_bilinear": op7_log_bilinear, "op8_suffix_dedup": op8_suffix_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_packing": op10_packing}
+    return {"op1_toxicity": op1_toxicity, "op2_nn_descent": op2_nn_descent, "op3_exact_topk": op3_exact_topk, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op7_log_bilinear": op7_log_bilinear, "op8_suffix_dedup": op8_suffix_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
