@@ -34,6 +34,8 @@ LOCAL = 3
 RANKED = 200_000
 #: Classes of a tile.
 TILE = 128
+#: Up to so many ids (8 bytes each) of candidate documents are sent to the tasks that reread texts; more are joined.
+SENT = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,16 +129,17 @@ def _prefixes(width: int, percent: int, ranked):
     return run
 
 
-def _wanted(width: int):
-    """doc_id, n, key and the set itself of each document of a candidate class (one per class and block)."""
+def _wanted(width: int, ids):
+    """Key and set of the documents with these ids (all, if None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _small_blocks(batches):
+            if ids is not None:
+                table = table.filter(pc.is_in(table.column("doc_id"), pa.array(ids.value)))
             sizes, sets = shingle_sets(strings(table), width)
-            keys = _set_keys(sizes, sets)
             raw = np.ascontiguousarray(sets).tobytes()
             ends = (8 * np.cumsum(sizes)).tolist()
-            yield from pa.table({"key": keys, "tokens": pa.array([raw[b - 8 * n : b] for b, n in zip(ends, sizes.tolist())], pa.binary())}).to_batches()
+            yield from pa.table({"key": _set_keys(sizes, sets), "tokens": pa.array([raw[b - 8 * n : b] for b, n in zip(ends, sizes.tolist())], pa.binary())}).to_batches()
 
     return run
 
@@ -218,15 +221,20 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
 
     # A token's rows are counted and joined in one partitioning; rows of one class from different blocks are one.
     held = prefixes.repartition("token").groupBy("token", "key", "n", "place").agg(F.lit(1).alias("one")).drop("one")
-    shared = held.withColumn("in", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("in > 1").drop("in")
+    token = Window.partitionBy("token")
+    shared = held.withColumn("in", F.count(F.lit(1)).over(token)).where("in > 1")
+    shared = shared.select("token", "key", "n", "place", "in", F.bit_xor(F.xxhash64("key", "n")).over(token).alias("s1"), F.bit_xor(F.xxhash64("n", "key", F.lit(7))).over(token).alias("s2"), F.min(F.struct("key", "place")).over(token).alias("low"))
     shared = ws.write(shared, "shared")
     ws.drop("prefixes")
+    # Of tokens with the same holders the first in order is enough: it is the first that any two of these holders share.
+    once = shared.groupBy("s1", "s2", "in", F.col("low.key")).agg(F.min(F.struct("low.place", "token")).alias("first")).select("first.token")
+    shared = ws.write(shared.select("token", "key", "n", "place").join(once, "token", "left_semi"), "first-shared")
     a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "place"))) for s in "ab")
     least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
-    room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     pairs = a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (room >= least))
     pairs = ws.write(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), "pairs")
-    ws.drop("shared")
+    ws.drop("shared", "first-shared")
 
     # Tiles: the parts of the candidate graph, cut by a hash where they are large.
     parts = connected_components(ws, pairs, "parts").select(F.col("node").alias("key"), F.col("component").alias("part"))
@@ -235,18 +243,21 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
     of = placed.select("key", "part", "tile")
     there = pairs.join(of.select(F.col("key").alias("a"), "part", F.col("tile").alias("x")), "a").join(of.select(F.col("key").alias("b"), F.col("tile").alias("y")), "b")
     there = there.select("part", F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"), "a", "b")
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = placed.join(first, "key").select("doc_id", "part", "tile", "tiles")
-    sets = texts.join(chosen.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_wanted(width), "key long, tokens binary")
-    sets = ws.write(sets.join(placed, "key"), "sets")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    spread = sets.withColumn("z", other).select("part", F.least("tile", "z").alias("ta"), F.greatest("tile", "z").alias("tb"), F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
-    needed = there.select("part", "ta", "tb").distinct()
-    spread = spread.join(needed, ["part", "ta", "tb"], "left_semi")
+    there = ws.write(there, "tiled")
+    # A candidate class is reread from its first document, and goes to the tiles of its pairs.
+    chosen = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(placed.select("key"), "key", "left_semi")
+    chosen = ws.write(chosen.select("doc_id").distinct(), "chosen")
+    if chosen.count() <= SENT:
+        ids = spark.sparkContext.broadcast(chosen.toArrow().column("doc_id").to_numpy())
+        sets = texts.mapInArrow(_wanted(width, ids), "key long, tokens binary")
+    else:
+        sets = texts.join(chosen.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_wanted(width, None), "key long, tokens binary")
+    goes = there.select(F.col("a").alias("key"), "part", "ta", "tb").union(there.select("b", "part", "ta", "tb")).distinct()
+    spread = goes.hint("shuffle_hash").join(sets, "key").select("part", "ta", "tb", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     rows_ = spread.unionByName(there.withColumn("tokens", F.lit(None).cast("binary")))
     links = rows_.repartition("part", "ta", "tb").sortWithinPartitions("part", "ta", "tb", F.col("tokens").isNull()).mapInArrow(_verify(percent), "a long, b long")
     links = ws.write(links, "links")
-    ws.drop("sets", "placed")
+    ws.drop("tiled", "placed")
 
     # Classes with copies or links; every other document stands alone.
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
