@@ -7,12 +7,13 @@ any longer string is named by identifiers at two or three offsets. Identifiers a
 
 Not all suffixes are shuffled. Of the q-grams in a window of `length` bytes, the one of smallest identifier is its anchor;
 equal windows have equal anchors at equal offsets, and neighbouring windows mostly share theirs. Such a run of windows is
-one row: bucket (anchor's identifier), name of all the bytes the run spans. Rows of a bucket with the same name repeat each other
-as a whole, and all but the first are resolved. The first ones of a bucket that holds several names are refined once
-more, window by window, by the identifiers at the windows' own offsets. Buckets of one row are never looked at again.
+one row: bucket (anchor's identifier), name of all the bytes the run spans. Rows of a bucket with the same name repeat each
+other as a whole, and all but the first are done. Buckets of one row, or of one name, are never looked at again. What is
+left open is refined: into parts of a run, in buckets named by what all windows of a part have in common, and these into
+single windows. Texts are reread for that, not shuffled, while the open rows are few enough to be sent to the tasks.
 
 Blocks resolve what repeats within them before anything is shuffled, so a passage that a third of all documents hold is
-sent once per block. Identifiers that are compared are 128 bits in sum (bucket and name).
+sent once per block. Identifiers that are compared are 96 bits in sum (bucket and name).
 
 Texts are UTF-8 bytes; matches never cross documents. Defined results: a null text is empty; texts shorter than `length`
 keep all; rows that share an id are told apart in the order of their texts, the equal ones in any order; a null id comes
@@ -34,6 +35,10 @@ from kindred.llm.textarrow import blocks, strings
 from kindred.runtime import Workspace
 
 Q = 32
+#: Windows of a part of a run.
+STEP = 8
+#: Up to so many open rows, or removed runs, are sent to the tasks (8 to 16 bytes each); more are joined to the documents.
+MOST_SENT = 3_000_000
 #: Positions whose identifiers are in memory at once.
 CHUNK = 1 << 18
 _rng = np.random.default_rng(20)
@@ -66,8 +71,34 @@ def name(h64: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return _mix(x, h64[start + size - 64], 7) + size.astype(np.uint64)
 
 
-def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, last window, bucket, name) of each run; documents are slices of data, positions their own."""
+def _key(owner: np.ndarray, first: np.ndarray, bucket: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """What tells one row from all others; owner is a hash of its document."""
+    x = _mix(bucket.astype(np.uint64), names.astype(np.int64).view(np.uint64), 6)
+    return _mix(_mix(x, owner, 7), first.astype(np.uint64), 5)
+
+
+def _owner(ids: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    return _mix(ids.view(np.uint64), nth.astype(np.uint64), 4)
+
+
+def _in(open_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted open ones."""
+    if not len(open_):
+        return np.zeros(len(keys), bool)
+    return open_[np.minimum(np.searchsorted(open_, keys), len(open_) - 1)] == keys
+
+
+def _short(names: np.ndarray) -> np.ndarray:
+    return (names >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, level: int = 0, owner: np.ndarray | None = None, open_: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(document, first window, last window, bucket, name) of each run of windows; documents are slices of data.
+
+    Level 0 are the runs of equal anchors. Level 1 cuts those among the open rows at offsets from the anchor that are
+    multiples of STEP; such a part's bucket is named by what all its windows have in common. Level 2 are the single
+    windows of the open ones of these.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     width = length - Q + 1
     pieces: list[list[tuple[int, int, int]]] = [[]]  # (document, first window, windows) of about CHUNK windows together
@@ -102,12 +133,26 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -
         window = local + np.repeat(begin, took)
         anchor = (key[window] & bits).astype(np.int64)
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(new)) - 1
-        shift = np.repeat([at for _, at, _ in piece], took)
-        out.append((doc[first], local[first] + shift[first], local[last] + shift[last], h32[anchor[first]], name(h64, window[first], window[last] - window[first] + length)))
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(new)) - 1
+        shift = (local + np.repeat([at for _, at, _ in piece], took) - window)[a]  # from places in the piece to windows of the document
+        doc, anchor, first, last = doc[a], anchor[a], window[a], window[b]
+        bucket, names = h32[anchor], _short(name(h64, first, last - first + length))
+        for k in range(level):
+            keep = _in(open_, _key(owner[doc], first + shift, bucket, names))
+            doc, anchor, first, last, shift, bucket = (x[keep] for x in (doc, anchor, first, last, shift, bucket))
+            step = STEP if k == 0 else 1
+            low, high = (anchor - last) // step, (anchor - first) // step
+            parts = high - low + 1
+            doc, anchor, first, last, shift, bucket, low = (np.repeat(x, parts) for x in (doc, anchor, first, last, shift, bucket, low))
+            j = low + np.arange(len(low)) - np.repeat(np.cumsum(parts) - parts, parts)
+            first, last = np.maximum(first, anchor - step * j - step + 1), np.minimum(last, anchor - step * j)
+            common = name(h64, anchor - step * j, np.full(len(j), length - step + 1))
+            bucket = _mix(_mix(bucket, common, 6), j.astype(np.uint64), 7)
+            names = _short(name(h64, first, last - first + length))
+        out.append((doc, first + shift, last + shift, bucket, names))
     if not out:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int32))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -127,99 +172,109 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, nth, rank
 
 
-_ROWS = "kind byte, bucket long, name long, doc_id long, nth int, first int, last int"
+_ROWS = "kind byte, bucket long, name int, doc_id long, nth int, first int, last int"
 
 
 def _table(kind: int, bucket: np.ndarray, names: np.ndarray, ids: np.ndarray, nth: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
-    return pa.table({"kind": np.full(len(ids), kind, np.int8), "bucket": bucket.view(np.int64), "name": names.view(np.int64), "doc_id": ids, "nth": nth, "first": first.astype(np.int32), "last": last.astype(np.int32)})
+    return pa.table({"kind": np.full(len(ids), kind, np.int8), "bucket": bucket.view(np.int64), "name": names, "doc_id": ids, "nth": nth, "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
 
-def _resolve(table: pa.Table, rank: np.ndarray, ids: np.ndarray, nth: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0, the first of each bucket and name in a block, and of kind 1, the spans they resolve."""
-    order = np.lexsort((first, rank[doc], names, bucket))
-    b, n = bucket[order], names[order]
-    again = np.concatenate([[False], (b[1:] == b[:-1]) & (n[1:] == n[:-1])]) if len(order) else np.zeros(0, bool)
-    for kind, some in ((0, order[~again]), (1, order[again])):
-        some = np.sort(some)
-        yield from _table(kind, bucket[some], names[some], ids[doc[some]], nth[doc[some]], first[some], last[some]).to_batches()
+def _rows(length: int, level: int, sent):
+    """Rows of kind 0, the first of each bucket and name in a block, and of kind 1, the spans they resolve.
 
+    The keys of the open rows are sent, or each document brings its own in a column.
+    """
 
-def _anchored(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, 16_000_000):
+        for table in blocks(batches, 16_000_000 if level == 0 else 8_000_000):
             ids, nth, rank = _keys(table)
-            found = runs(*_bytes(strings(table)), length)
-            yield from _resolve(table, rank, ids, nth, *found)
+            open_ = None
+            if level:
+                open_ = sent.value if sent is not None else np.unique(np.asarray(table.column("open").combine_chunks().flatten(), dtype=np.int64).view(np.uint64))
+            doc, first, last, bucket, names = runs(*_bytes(strings(table)), length, level, _owner(ids, nth), open_)
+            order = np.lexsort((first, rank[doc], names, bucket))
+            b, n = bucket[order], names[order]
+            again = np.concatenate([[False], (b[1:] == b[:-1]) & (n[1:] == n[:-1])]) if len(order) else np.zeros(0, bool)
+            for kind, some in ((0, order[~again]), (1, order[again])):
+                some = np.sort(some)
+                yield from _table(kind, bucket[some], names[some], ids[doc[some]], nth[doc[some]], first[some], last[some]).to_batches()
 
     return run
 
 
-def _windows(length: int):
-    """Windows one by one of the runs that are still open: lists first, last and bucket of each document."""
+def _open_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, nth, first, bucket, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "nth", "first", "bucket", "name"))
+        key = _key(_owner(np.ascontiguousarray(ids), nth), first, np.ascontiguousarray(bucket).view(np.uint64), names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("nth"), pa.array(key.view(np.int64))], ["doc_id", "nth", "key"])
+
+
+def _merge(length: int):
+    """Removed runs of each document from the windows that repeat: neither overlapping nor touching, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, 8_000_000):
-            ids, nth, rank = _keys(table)
-            data, starts, _ = _bytes(strings(table))
-            out = []
-            lists = [table.column(c).to_pylist() for c in ("firsts", "lasts", "buckets")]
-            for d, (fs, ls, bs) in enumerate(zip(*lists)):
-                fs, ls = np.array(fs, np.int64), np.array(ls, np.int64)
-                n = ls - fs + 1
-                base = np.repeat(np.cumsum(n + length - 1) - (n + length - 1), n)
-                local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                spans = n + length - 1
-                at = np.repeat(starts[d] + fs - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-                _, h64 = identifiers(np.concatenate([data[at], np.zeros(256, np.uint8)]))
-                w = local + np.repeat(fs, n)
-                out.append((np.full(len(w), d), w, np.repeat(np.array(bs, np.int64).view(np.uint64), n), name(h64, base + local, np.full(len(w), length))))
-            if out:
-                doc, w, bucket, names = (np.concatenate(x) for x in zip(*out))
-                yield from _resolve(table, rank, ids, nth, doc, w, w, bucket, names)
+        for batch in batches:
+            starts, ends = [], []
+            for fs, ls in zip(batch.column("firsts"), batch.column("lasts")):
+                f, stop = np.asarray(fs.values, dtype=np.int32), np.asarray(ls.values, dtype=np.int32) + length
+                order = np.argsort(f, kind="stable")
+                f, stop = f[order], np.maximum.accumulate(stop[order])
+                new = np.concatenate([[True], f[1:] > stop[:-1]])
+                starts.append(f[new])
+                ends.append(stop[np.append(np.flatnonzero(new)[1:] - 1, len(f) - 1)])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("nth"), pa.array(starts, kind), pa.array(ends, kind)], ["doc_id", "nth", "starts", "ends"])
 
     return run
 
 
-def _removed(length: int):
+def _removed(sent):
+    """The result of each document; the removed runs are sent, or each document brings its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, 8_000_000):
-            data, starts, sizes = _bytes(strings(table))
+            data, begins, sizes = _bytes(strings(table))
             raw = memoryview(data)
+            if sent is not None:
+                owners, at, to = sent.value
+                ids, nth, _ = _keys(table)
+                own = _owner(ids, nth)
+                lo, hi = np.searchsorted(owners, own, "left"), np.searchsorted(owners, own, "right")
+                lists = [(at[x:y].tolist(), to[x:y].tolist()) for x, y in zip(lo, hi)]
+            else:
+                lists = list(zip(*(table.column(c).to_pylist() for c in ("starts", "ends"))))
             out: list[list] = [[], [], [], [], []]
-            for begin, n, fs, ls in zip(starts.tolist(), sizes.tolist(), *(table.column(c).to_pylist() for c in ("firsts", "lasts"))):
-                h, gone_at, gone_to, removed = hashlib.sha256(), [], [], 0
-                at = 0
-                if fs:
-                    f = np.array(fs, np.int64)
-                    order = np.argsort(f, kind="stable")
-                    f, stop = f[order], np.maximum.accumulate(np.array(ls, np.int64)[order] + length)
-                    new = np.concatenate([[True], f[1:] > stop[:-1]])
-                    gone_at, gone_to = f[new].tolist(), stop[np.append(np.flatnonzero(new)[1:] - 1, len(f) - 1)].tolist()
-                    for a, b in zip(gone_at, gone_to):
-                        h.update(raw[begin + at : begin + a])
-                        at, removed = b, removed + b - a
-                h.update(raw[begin + at : begin + n])
+            for begin, n, (gone_at, gone_to) in zip(begins.tolist(), sizes.tolist(), lists):
+                gone_at, gone_to = gone_at or [], gone_to or []
+                h, k, removed = hashlib.sha256(), 0, 0
+                for a, b in zip(gone_at, gone_to):
+                    h.update(raw[begin + k : begin + a])
+                    k, removed = b, removed + b - a
+                h.update(raw[begin + k : begin + n])
                 for x, y in zip(out, (n, removed, len(gone_at), h.hexdigest(), [{"start": a, "end": b} for a, b in zip(gone_at, gone_to)])):
                     x.append(y)
             spans = pa.array(out[4], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield from pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "spans": spans}).to_batches()
+            ids = table.column("doc_id").combine_chunks()
+            ids = pc.if_else(table.column("unnamed").combine_chunks(), pa.scalar(None, pa.int64()), ids)
+            yield from pa.table({"doc_id": ids, "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "spans": spans}).to_batches()
 
     return run
 
 
-def _unresolved(rows: DataFrame) -> DataFrame:
-    """Rows of kind 0 as done (a span that repeats an earlier one) or open (the first of one of several names in a bucket)."""
+def _sift(rows: DataFrame) -> DataFrame:
+    """Rows that are done (they repeat an earlier one) or open (the first of one of several names in a bucket)."""
     of = Window.partitionBy("bucket", "name").orderBy("doc_id", "nth", "first")
     bucket = Window.partitionBy("bucket")
     seen = rows.repartition("bucket").withColumn("place", F.row_number().over(of)).withColumn("low", F.min("name").over(bucket)).withColumn("high", F.max("name").over(bucket))
-    return seen.where("place > 1 or low <> high").select((F.col("place") > 1).alias("done"), "bucket", "doc_id", "nth", "first", "last")
+    return seen.where("place > 1 or low <> high").select((F.col("place") > 1).alias("done"), "bucket", "name", "doc_id", "nth", "first", "last")
 
 
-def repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, *, length: int = 100, most_sent: int = MOST_SENT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of the removed runs)."""
-    if not 64 <= length <= 128:
-        raise ValueError("length must be from 64 to 128 bytes")
-    ws = Workspace(docs.sparkSession, "suffixes")
+    if not 64 + STEP <= length <= 128:
+        raise ValueError(f"length must be from {64 + STEP} to 128 bytes")
+    spark = docs.sparkSession
+    ws = Workspace(spark, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.withColumn("nth", F.lit(0))
@@ -229,19 +284,34 @@ def repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     docs = docs.select(F.coalesce("doc_id", least).alias("doc_id"), "nth", "text", F.col("doc_id").isNull().alias("unnamed"))
     texts = docs.drop("unnamed")
 
-    first = ws.write(texts.mapInArrow(_anchored(length), _ROWS), "runs")
-    found = ws.write(_unresolved(first.where("kind = 0")), "found")
-    spans = ws.write(first.where("kind = 1").select("doc_id", "nth", "first", "last"), "spans-block")
-    ws.drop("runs")
-    open_ = found.where("not done").groupBy("doc_id", "nth").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"), F.collect_list("bucket").alias("buckets"))
-    refined = ws.write(texts.join(open_.hint("shuffle_hash"), ["doc_id", "nth"]).mapInArrow(_windows(length), _ROWS), "windows")
-    of = Window.partitionBy("bucket", "name").orderBy("doc_id", "nth", "first")
-    again = refined.where("kind = 0").withColumn("place", F.row_number().over(of)).where("place > 1")
-    parts = [spans, found.where("done"), refined.where("kind = 1"), again]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.union(p.select("doc_id", "nth", "first", "last"))
-    gone = ws.write(all_.groupBy("doc_id", "nth").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")), "gone")
-    ws.drop("found", "spans-block", "windows")
-    joined = docs.join(gone.hint("shuffle_hash"), ["doc_id", "nth"], "left").select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "text", "firsts", "lasts")
-    return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    spans: list[DataFrame] = []
+    keys: DataFrame | None = None
+    for level in range(3):
+        given, sent = texts, None
+        if level:
+            if keys.count() <= most_sent:
+                sent = spark.sparkContext.broadcast(np.sort(keys.select("key").toArrow().column(0).to_numpy().view(np.uint64)))
+            else:
+                lists = keys.groupBy("doc_id", "nth").agg(F.collect_list("key").alias("open"))
+                given = texts.join(lists.hint("shuffle_hash"), ["doc_id", "nth"])
+        rows = ws.write(given.mapInArrow(_rows(length, level, sent), _ROWS), f"rows-{level}")
+        found = ws.write(_sift(rows.where("kind = 0")), f"found-{level}")
+        done = rows.where("kind = 1").select("doc_id", "nth", "first", "last").union(found.where("done").select("doc_id", "nth", "first", "last"))
+        spans.append(ws.write(done, f"spans-{level}"))
+        ws.drop(f"rows-{level}")
+        fresh = found.where("not done").select("doc_id", "nth", "first", "bucket", "name").mapInArrow(_open_keys, "doc_id long, nth int, key long")
+        fresh = ws.write(fresh, f"keys-{level}")
+        ws.drop(f"found-{level}")
+        keys = fresh if keys is None else keys.union(fresh)
+    all_ = spans[0].union(spans[1]).union(spans[2])
+    gone = all_.groupBy("doc_id", "nth").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    gone = ws.write(gone.mapInArrow(_merge(length), "doc_id long, nth int, starts array<int>, ends array<int>"), "gone")
+    ws.drop("spans-0", "spans-1", "spans-2", "keys-0", "keys-1", "keys-2")
+    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+    if (gone.agg(F.sum(F.size("starts"))).first()[0] or 0) <= most_sent:
+        flat = gone.select("doc_id", "nth", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select("doc_id", "nth", "x.starts", "x.ends").toArrow()
+        ids, nth, at, to = (flat.column(c).to_numpy() for c in ("doc_id", "nth", "starts", "ends"))
+        own = _owner(np.ascontiguousarray(ids), nth)
+        order = np.lexsort((at, own))
+        return docs.mapInArrow(_removed(spark.sparkContext.broadcast((own[order], at[order], to[order]))), fields)
+    return docs.join(gone.hint("shuffle_hash"), ["doc_id", "nth"], "left").mapInArrow(_removed(None), fields)
