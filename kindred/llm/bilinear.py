@@ -118,7 +118,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a block with their counts in training documents, and the block in codes of these words."""
     block = TaskContext.get().partitionId() << 32
     schema = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("token", pa.string()), ("ending", pa.int8()), ("count", pa.int64()), ("payload", pa.binary())])
-    for table in blocks(batches, 20_000_000):
+    for table in blocks(batches, 14_000_000):
         per, codes, words = word_codes(strings(table))
         held = np.asarray(table.column("held_out"), dtype=bool)
         end = len(words)

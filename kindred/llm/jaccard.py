@@ -9,7 +9,8 @@ connected part of the candidate graph: a bound from counts per hash range (suffi
 
 Words are [^\x20\x09-\x0D]+ with A-Z lowered; fewer words than a shingle are one shingle. Defined results: a null or
 empty text, or one without words, has an empty set and is linked with nothing; equal sets link always; repeated rows are
-documents each, and where they share an id, a component is named by that id once; other columns are not looked at.
+documents each, and where they share an id, a component is named by that id once; rows without id are linked with
+nothing; other columns are carried by deduplicate() only.
 """
 
 from __future__ import annotations
@@ -213,6 +214,7 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = ws.write(texts.mapInArrow(_classes(width), "kind byte, doc_id long, n long, key long"), "classes")
     rows = found.where("kind = 0").drop("kind")
+    named_rows = rows.where("n > 0 and doc_id is not null")
     repeats = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(RANKED).toArrow()
     tokens, times = (repeats.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
     order = np.argsort(tokens)
@@ -245,7 +247,7 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
     there = there.select("part", F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"), "a", "b")
     there = ws.write(there, "tiled")
     # A candidate class is reread from its first document, and goes to the tiles of its pairs.
-    chosen = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(placed.select("key"), "key", "left_semi")
+    chosen = named_rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(placed.select("key"), "key", "left_semi")
     chosen = ws.write(chosen.select("doc_id").distinct(), "chosen")
     if chosen.count() <= SENT:
         ids = spark.sparkContext.broadcast(chosen.toArrow().column("doc_id").to_numpy())
@@ -260,7 +262,7 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
     ws.drop("tiled", "placed")
 
     # Classes with copies or links; every other document stands alone.
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = named_rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = classes.select(F.col("key"), "rep", "copies")
     named = links.join(reps.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("copies").alias("ca")), "a").join(reps.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("copies").alias("cb")), "b")
     named = ws.write(named, "named")
@@ -269,16 +271,21 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
     known = classes.join(partners, "key", "left").where("copies > 1 or partners is not null")
     known = known.join(components, known["rep"] == components["node"], "left")
     known = ws.write(known.select("key", "rep", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
-    out = rows.join(known, (rows["key"] == known["key"]) & (rows["n"] > 0), "left")
+    out = rows.join(known, (rows["key"] == known["key"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The document of smallest id of each component, with all its columns; of rows that repeat an id, one."""
+    """The document of smallest id of each component, with all its columns; of rows that repeat an id, one; rows without id stay."""
     found = similar(docs, **options)
     ws = Workspace(docs.sparkSession, "jaccard-kept")
     found = ws.write(found.select("doc_id", "component_id"), "found")
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).groupBy("_id").count()
-    ids = ws.write(ids, "ids")
-    kept = docs.join(ids.drop("count").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    return kept if ids.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    names = docs.columns
+    place = {c: f"_c{i}" for i, c in enumerate(names)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items()))
+    key = F.col(place["doc_id"])
+    kept = docs.join(ids.hint("shuffle_hash"), key.cast("long") == F.col("id"), "left_semi")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([place["doc_id"]])
+    return kept.union(docs.where(key.isNull())).select(*(F.col(n).alias(c) for c, n in place.items()))

@@ -210,15 +210,18 @@ def apply(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share an id take the copies of that id in an order of their sizes.
     """
-    given = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"), "size")
-    docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    names = docs.columns
+    given = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"), F.col("size").alias("_size"))
+    place = {c: f"_c{i}" for i, c in enumerate(names)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items())).withColumn("_key", F.col(place["doc_id"]).cast("long"))
     repeated = not docs.groupBy("_key").count().where("count > 1").isEmpty()
     on = F.col("_key").eqNullSafe(F.col("_id"))
     if repeated:
-        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-        docs = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(size, F.col("source").asc_nulls_last())))
-        given = given.withColumn("_of", F.row_number().over(Window.partitionBy("_id").orderBy("size", "_copies")))
+        size = F.coalesce(F.regexp_count(place["text"], F.lit(WORD)), F.lit(0))
+        docs = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(size, F.col(place["source"]).asc_nulls_last())))
+        given = given.withColumn("_of", F.row_number().over(Window.partitionBy("_id").orderBy("_size", "_copies")))
         on = on & (F.col("_nth") == F.col("_of"))
-    given = given.drop("size").where(F.col("_copies") > 0)
+    given = given.drop("_size").where(F.col("_copies") > 0)
     joined = docs.join(given.hint("shuffle_hash"), on)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_key", "_id", "_copies", "_copy", "_nth", "_of")
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return joined.select(*(F.col(n).alias(c) for c, n in place.items()))

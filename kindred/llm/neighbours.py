@@ -52,13 +52,13 @@ def _planes(bits: int, seed: int):
 
     def run(batches):
         for batch in batches:
-            x = _unit(batch.column("vec"))
-            if not len(x):
-                continue
-            h = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], max(bits, 1)))
-            signs = (x @ h > 0)[:, :bits]
-            leaf = signs @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), batch.column("dim"), pa.array(leaf.astype(np.int64))], ["id", "vec", "dim", "leaf"])
+            dims = batch.column("dim").to_numpy()
+            for d in np.unique(dims):
+                some = batch.filter(pa.array(dims == d))
+                h = np.random.default_rng([seed, int(d)]).normal(size=(int(d), max(bits, 1)))
+                signs = (_unit(some.column("vec")) @ h > 0)[:, :bits]
+                leaf = signs @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(some.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("vec"), some.column("dim"), pa.array(leaf.astype(np.int64))], ["id", "vec", "dim", "leaf"])
 
     return run
 

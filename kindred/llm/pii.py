@@ -153,7 +153,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with the personal data in their texts masked and n_chars, where there is one, brought up to date; a null text stays null."""
-    out = find_spans(docs, lambda: finder(True), BASE, keep=tuple(docs.columns), text_out=True)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    keep = tuple(c for c in docs.columns if c != "text")
+    out = find_spans(docs, lambda: finder(True), BASE, keep=keep, text_out=True)
+    made = {c: F.col(f"_k{i}") for i, c in enumerate(keep)} | {"text": F.col("text")}
+    if "n_chars" in keep:
+        made["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(made[c].alias(c) for c in docs.columns))

@@ -19,15 +19,14 @@ def joined(spans: list[Span]) -> str:
 
 
 def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], tuple[list[Span], list[Span], str]]], counted: tuple[str, ...], keep: tuple[str, ...] = (), text_out: bool = False) -> DataFrame:
-    """doc_id, a count per base kind, base and all spans as strings; with text_out also the rewritten text, and the columns to keep.
+    """doc_id, a count per base kind, base and all spans as strings; with text_out also the rewritten text, and the columns to keep as _k0, _k1 and so on, whatever their names.
 
     finder() makes, once per task, a function from a text to (base spans, all spans, new text).
     """
     ship(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name in keep]
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{f.name}`") for f in kept if f.name not in ("doc_id", "text"))]
-    others = [f for f in kept if f.name not in ("doc_id", "text")]
-    fields = ["doc_id long", *(f"n_{k} long" for k in counted), "base string", "spans string", *(["text string"] if text_out else []), *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)]
+    others = [(f"_k{i}", docs.schema[name].dataType) for i, name in enumerate(keep)]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{name}`").alias(f"_k{i}") for i, name in enumerate(keep))]
+    fields = ["doc_id long", *(f"n_{k} long" for k in counted), "base string", "spans string", *(["text string"] if text_out else []), *(f"{name} {kind.simpleString()}" for name, kind in others)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
@@ -46,8 +45,8 @@ def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], tuple[list[
             arrays = [table.column("doc_id").combine_chunks(), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_out, pa.string()), pa.array(all_out, pa.string())]
             if text_out:
                 arrays.append(pa.array(new, pa.string()))
-            arrays += [table.column(f.name).combine_chunks() for f in others]
-            names = ["doc_id", *(f"n_{k}" for k in counted), "base", "spans", *(["text"] if text_out else []), *(f.name for f in others)]
+            arrays += [table.column(name).combine_chunks() for name, _ in others]
+            names = ["doc_id", *(f"n_{k}" for k in counted), "base", "spans", *(["text"] if text_out else []), *(name for name, _ in others)]
             yield from pa.table(dict(zip(names, arrays))).to_batches()
 
     return docs.select(*columns).mapInArrow(run, ", ".join(fields))

@@ -209,7 +209,7 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = SAMPLE, target: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, p_<category> for each of the chain, toxic boolean; and the columns to carry."""
+    """doc_id, p_<category> for each of the chain, toxic boolean; and the columns to carry as _c0, _c1 and so on, whatever their names."""
     spark = docs.sparkSession
     ship(spark)
     table = labelled(docs, labels, categories, sample)
@@ -220,8 +220,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, categories: tuple[tuple[str,
     chain = train(strings(table), ys, np.asarray(table.column("doc_id"), dtype=np.int64)) if trained else None
     sent = spark.sparkContext.broadcast(chain)
     names = [name for name, _ in categories]
-    others = [f for f in docs.schema.fields if f.name in carry and f.name not in ("doc_id", "text")]
-    extra = ["text string"] * ("text" in carry) + [f"`{f.name}` {f.dataType.simpleString()}" for f in others]
+    others = [(f"_c{i}", docs.schema[name].dataType) for i, name in enumerate(carry)]
+    extra = [f"{name} {kind.simpleString()}" for name, kind in others]
     fields = ", ".join(["doc_id long", *(f"p_{n} double" for n in names), "toxic boolean", *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,16 +234,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, categories: tuple[tuple[str,
             p[empty] = 0
             flag = p[:, names.index(target)] >= (model.threshold if model else 2.0)
             arrays = {"doc_id": block.column("doc_id"), **{f"p_{c}": p[:, k] for k, c in enumerate(names)}, "toxic": flag}
-            if "text" in carry:
-                arrays["text"] = block.column("text")
-            arrays |= {f.name: block.column(f.name) for f in others}
+            arrays |= {name: block.column(name) for name, _ in others}
             yield from pa.table(arrays).to_batches()
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{f.name}`") for f in others))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{name}`").alias(f"_c{i}") for i, name in enumerate(carry)))
     return given.mapInArrow(run, fields)
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not toxic, with the columns they came with."""
     found = classify(docs, labels, carry=tuple(docs.columns), **options)
-    return found.where(~F.col("toxic")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.where(~F.col("toxic")).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
