@@ -48,8 +48,22 @@ def _stir(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(set size per text, the sets' hashes, ascending within a text) of at most BLOCK_DOCS texts."""
     per, codes, words = word_codes(texts)
-    h = hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
-    starts = np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.int64)
+    named = hashes(words)
+    starts = np.concatenate([[0], np.cumsum(per)]).astype(np.int64)
+    keys = [np.zeros(0, np.uint64)]
+    doc = 0
+    while doc < len(per):  # a few documents at a time, as each step needs several arrays as long as their words
+        stop = max(doc + 1, int(np.searchsorted(starts, starts[doc] + 300_000, side="right")) - 1)
+        keys.append(_shingles(per[doc:stop], named[codes[starts[doc] : starts[stop]]], width, doc))
+        doc = stop
+    key = np.concatenate(keys)
+    owner = (key >> np.uint64(HASH_BITS)).astype(np.int64)
+    return np.bincount(owner, minlength=len(per)), (key & np.uint64(2**HASH_BITS - 1)).astype(np.int64)
+
+
+def _shingles(per: np.ndarray, h: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Distinct (document, shingle) keys, ascending, of documents of these word counts and word hashes; base is the first one's number."""
+    starts = np.cumsum(per) - per
     grams = np.where(per >= width, per - width + 1, np.minimum(per, 1))
     owner = np.repeat(np.arange(len(per)), grams)
     ends = np.cumsum(grams)
@@ -66,11 +80,9 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
             else:
                 acc = _stir(acc) + h[at + k]
         acc = _stir(np.where(short, acc + length.astype(np.uint64), acc))
-    key = (owner.astype(np.uint64) << np.uint64(HASH_BITS)) | (acc >> np.uint64(64 - HASH_BITS))
+    key = ((owner + base).astype(np.uint64) << np.uint64(HASH_BITS)) | (acc >> np.uint64(64 - HASH_BITS))
     key.sort()
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    owner = (key >> np.uint64(HASH_BITS)).astype(np.int64)
-    return np.bincount(owner, minlength=len(per)), (key & np.uint64(2**HASH_BITS - 1)).astype(np.int64)
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
 
 
 def _small_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -188,7 +188,7 @@ def pack(
             ]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"]
             sequence += int(seq.max()) + 1 if len(seq) else 0
-            step = 2000 if ids else 1 << 20
+            step = 500 if ids else 1 << 20
             for k in range(0, len(doc), step):
                 some = [c.slice(k, step) for c in columns]
                 if ids:

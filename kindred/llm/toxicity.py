@@ -30,7 +30,7 @@ from kindred.runtime import ship
 
 #: (category, label as SQL over the label table), in the order of the chain.
 CATEGORIES = (("junk", "1 - quality"), ("toxic", "toxic"))
-SAMPLE = 8_000
+SAMPLE = 6_000
 FEATURES = 200_000
 _TRIM = ".,;:!?*%&$#()[]{}<>\"'`~-_=+/\\|@^"
 DENSE = 5
@@ -158,13 +158,27 @@ def cut(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip(1 / (1 + np.exp(-middle)), 0.05, 0.95)) if f1[at] > 0 else 0.5
 
 
+def gathered(texts: pa.Array, step: int = 500) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """features() of many texts, a few at a time."""
+    known: dict[str, int] = {}
+    owners, codes, denses = [], [], [np.zeros((0, DENSE))]
+    for at in range(0, len(texts), step):
+        owner, code, names, dense = features(texts.slice(at, step))
+        mapped = np.fromiter((known.setdefault(x, len(known)) for x in names), np.int32, len(names))
+        owners.append((owner + at).astype(np.int32))
+        codes.append(mapped[code] if len(names) else code.astype(np.int32))
+        denses.append(dense)
+    none = [np.zeros(0, np.int32)]
+    return np.concatenate(owners or none), np.concatenate(codes or none), list(known), np.concatenate(denses)
+
+
 def train(texts: pa.Array, labels: dict[str, np.ndarray], ids: np.ndarray, folds: int = 4) -> Chain:
     """The chain of models of these documents; labels by category in the chain's order."""
-    owner, code, names, dense = features(texts)
+    owner, code, names, dense = gathered(texts)
     df = np.bincount(code, minlength=len(names))
     keep = np.flatnonzero(df >= 3)
     keep = np.sort(keep[np.argsort(-df[keep], kind="stable")[:FEATURES]])
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[keep] = np.arange(len(keep))
     code = place[code] if len(names) else code
     inside = code >= 0
