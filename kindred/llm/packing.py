@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,16 +40,31 @@ class Encoder:
     spaces in a row can be cut before each space. Texts with such runs, or with a special token, are encoded whole.
     """
 
+    #: Of this process, by path: the tokenizer and the ids of the runs seen first, at most KEPT of them (about 200 bytes each).
+    _known: dict[str, tuple] = {}
+    KEPT = 150_000
+
     def __init__(self, path: str, end_id: int = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only take from other tasks
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if path not in self._known:
+            self._known[path] = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache = self._known[path]
         self.end_id = end_id
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as unsigned 32-bit values."""
+        out = list(map(self.cache.get, pieces))
+        new = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for i, x in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+                out[i] = array("I", x.ids).tobytes()
+        room = self.KEPT - len(self.cache)
+        self.cache.update((pieces[i], out[i]) for i in new[: max(room, 0)] if len(pieces[i]) < 40)
+        return out
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each text's followed by the end id; their number per text)."""
@@ -70,18 +86,13 @@ class Encoder:
         odd = np.flatnonzero(whole)
         codes[first[odd]] = len(words) + len(used) + np.arange(len(odd))
         source = [" " + w for w in words] + [words[i] for i in used] + texts.take(pa.array(odd)).to_pylist()
-        ids: list[np.ndarray] = []
-        lengths = np.empty(len(source) + 1, np.int64)
-        for at in range(0, len(source), 20_000):
-            some = self.encode(source[at : at + 20_000])
-            lengths[at : at + len(some)] = [len(x) for x in some]
-            ids.append(np.fromiter((i for x in some for i in x), np.uint32))
-        lengths[-1] = 1
-        ids.append(np.array([self.end_id], np.uint32))
-        table = np.concatenate(ids)
+        ids = self.encode(source)
+        ids.append(np.uint32(self.end_id).tobytes())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), np.uint32)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         end = len(source)
-        del source, words, parts, encoded
+        del source, words, parts, encoded, ids
         counts = np.add.reduceat(lengths[codes], first) + 1
         out = np.empty(int(counts.sum()), np.uint32)
         doc, filled = 0, 0
