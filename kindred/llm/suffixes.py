@@ -13,7 +13,8 @@ left open is refined: into parts of a run, in buckets named by what all windows
 single windows. Texts are reread for that, not shuffled, while the open rows are few enough to be sent to the tasks.
 
 Blocks resolve what repeats within them before anything is shuffled, so a passage that a third of all documents hold is
-sent once per block. Identifiers that are compared are 96 bits in sum (bucket and name).
+sent once per block. Names have 64 bits of their own: however many rows share an anchor, and so a bucket, m of them with
+different names are taken for each other with a chance of about m * m / 2**65. Bytes are not compared.
 
 Texts are UTF-8 bytes; matches never cross documents. Defined results: a null text is empty; texts shorter than `length`
 keep all; rows that share an id are told apart in the order of their texts, the equal ones in any order; a null id comes
@@ -73,7 +74,7 @@ def name(h64: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _key(owner: np.ndarray, first: np.ndarray, bucket: np.ndarray, names: np.ndarray) -> np.ndarray:
     """What tells one row from all others; owner is a hash of its document."""
-    x = _mix(bucket.astype(np.uint64), names.astype(np.int64).view(np.uint64), 6)
+    x = _mix(bucket.astype(np.uint64), np.ascontiguousarray(names).view(np.uint64), 6)
     return _mix(_mix(x, owner, 7), first.astype(np.uint64), 5)
 
 
@@ -88,10 +89,6 @@ def _in(open_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return open_[np.minimum(np.searchsorted(open_, keys), len(open_) - 1)] == keys
 
 
-def _short(names: np.ndarray) -> np.ndarray:
-    return (names >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, level: int = 0, owner: np.ndarray | None = None, open_: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(document, first window, last window, bucket, name) of each run of windows; documents are slices of data.
 
@@ -137,7 +134,7 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, l
         b = np.append(a[1:], len(new)) - 1
         shift = (local + np.repeat([at for _, at, _ in piece], took) - window)[a]  # from places in the piece to windows of the document
         doc, anchor, first, last = doc[a], anchor[a], window[a], window[b]
-        bucket, names = h32[anchor], _short(name(h64, first, last - first + length))
+        bucket, names = h32[anchor], name(h64, first, last - first + length).view(np.int64)
         for k in range(level):
             keep = _in(open_, _key(owner[doc], first + shift, bucket, names))
             doc, anchor, first, last, shift, bucket = (x[keep] for x in (doc, anchor, first, last, shift, bucket))
@@ -149,10 +146,10 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, l
             first, last = np.maximum(first, anchor - step * j - step + 1), np.minimum(last, anchor - step * j)
             common = name(h64, anchor - step * j, np.full(len(j), length - step + 1))
             bucket = _mix(_mix(bucket, common, 6), j.astype(np.uint64), 7)
-            names = _short(name(h64, first, last - first + length))
+            names = name(h64, first, last - first + length).view(np.int64)
         out.append((doc, first + shift, last + shift, bucket, names))
     if not out:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -172,7 +169,7 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, nth, rank
 
 
-_ROWS = "kind byte, bucket long, name int, doc_id long, nth int, first int, last int"
+_ROWS = "kind byte, bucket long, name long, doc_id long, nth int, first int, last int"
 
 
 def _table(kind: int, bucket: np.ndarray, names: np.ndarray, ids: np.ndarray, nth: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:

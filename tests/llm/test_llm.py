@@ -419,6 +419,17 @@ def test_repeats_awkward(spark, awkward, empty):
     assert sorted(r["n_removed"] for r in suffixes.repeats(twice).collect()) == [0, 300, 300]
 
 
+def test_repeats_names_that_share_32_bits(spark):
+    from kindred.llm import suffixes
+
+    passage = "buqougwizijkiuecxjfusttpzdujrwlzfsdebweeligjikqdoeotibzklazmscjarvifbvygluklvrszvfqqcctmzertacilhbjmgxzuemuxgmagednvpduq"
+    heads = ["cqgrswlkhjodmrgfeuzjfqtskbsodbklvzrthtga", "vvehdnotsocnvpkcrtxmdszhqzmtiejlcfxelrad", "qnxlzipzqielmezwgcwrlkpqrykdmnmljukacfsm", "dwtsmdiqmajzchgvynpcunihaesgqtvbsmvkpqsw", "eksegwjsnrunxkhagmtptyonvhyqplarffwuwgkz", "vgefzvtmzbholcreibejrryhobuinriljywzokkh"]
+    for k in (0, 2, 4):  # the runs that cross into the passage have one anchor and names of equal upper halves
+        texts = [(i, heads[k + i] + passage) for i in range(2)]
+        got = by_id(suffixes.repeats(spark.createDataFrame(texts, "doc_id long, text string")), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute_repeats(texts, 100)
+
+
 # -- 9
 
 
