@@ -31,13 +31,16 @@ from kindred.runtime import ship
 
 #: How many of the cheapest sequences are tried before a piece is cut.
 TRIES = 8
+#: Unicode white space, and what some tables count as such.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
     """Token ids of many texts at once: each distinct space-led run of a block is encoded once.
 
-    The byte-level pattern never joins a space to what precedes it unless white space runs on, so a text without two
-    spaces in a row can be cut before each space. Texts with such runs, or with a special token, are encoded whole.
+    The byte-level pattern joins a space to what precedes it only inside white space: both before it and after it, or at
+    the end of the text. All other texts can be cut before each space; these, and those with a special token, are
+    encoded whole.
     """
 
     #: Of this process, by path: the tokenizer and the ids of the runs seen first, at most KEPT of them (about 200 bytes each).
@@ -71,7 +74,7 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        whole = np.asarray(pc.match_substring(texts, "  "))
+        whole = np.asarray(pc.match_substring_regex(texts, rf"{SPACE} (?:{SPACE}|\z)"))
         for token in self.special:
             whole |= np.asarray(pc.match_substring(texts, token))
         parts = pc.split_pattern(pc.if_else(pa.array(~whole), texts, pa.scalar("", pa.large_string())), " ")

@@ -530,6 +530,23 @@ def test_packing(docs, awkward, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_encoder_is_lossless_in_white_space():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from kindred.llm.packing import Encoder
+
+    encoder = Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    r = random.Random(12)
+    pieces = [" ", " ", " ", "\u00a0", "\u00a0", "\n", "\t", "\r\n", "\u2003", "\u3000", "\x85", "\x1c", "\u180e", "\u200b", "a", "Zb", "7", "'s", ".", "é", "日"]
+    texts = ["a \u00a0 \u00a0 b", "Name: \u00a0 \u00a0 \u00a0 x", "x \u00a0 ", "two  x", "end\n ", " "] + ["".join(r.choice(pieces) for _ in range(r.randint(0, 12))) for _ in range(20_000)]
+    flat, counts = encoder.flat(pa.array(texts, pa.large_string()))
+    at = 0
+    for t, n in zip(texts, counts.tolist()):
+        assert flat[at : at + n].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1], t
+        at += n
+
+
 def test_assignment_balances_cost():
     from kindred.llm.packing import assign
 
