@@ -6,10 +6,10 @@ with something new in them, and keeps the best per list; a hub's neighbours are
 entry reaches the threshold is saturated and is enlarged, doubling up to `most`. What is still saturated then lies in
 a dense part of the graph, whose links are counted in full by tiles of matrix products; counts leave a tile, not pairs.
 
-Recall is audited: a fixed sample of vectors is compared with all, by brute force, and while fewer than `audit` of their
-true links are in the graph, further leaves and rounds follow. The last audit is logged and kept in LAST_AUDIT.
-
-Lists hold neighbours from cosine `floor` on: others never led to an edge, and vectors that have none cost nothing.
+Recall is audited: a sample of vectors is compared with all, by brute force, and grows until `least` of its vectors have
+links or all vectors are in it. While the graph has fewer than `audit` of the true links, or of a linked vector's on
+average, further leaves and rounds follow; if the last batch still has fewer, all vectors are compared with all, and links
+are exact. Links that only the audit found are kept. The last audit is logged and kept in LAST_AUDIT.
 
 Defined results: a vector that is null or zero, or holds null or non-finite components, links with nothing, and so does
 a row without id (not kept, without component); vectors link within their dimension; repeated rows are vectors each and link with
@@ -63,7 +63,7 @@ def _planes(bits: int, seed: int):
     return run
 
 
-def _leaf(size: int, floor: float):
+def _leaf(size: int):
     """The best neighbours of each vector within its block."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -77,14 +77,13 @@ def _leaf(size: int, floor: float):
                 continue
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
             sim = np.take_along_axis(s, top, 1)
-            good = sim >= floor
-            out.append((np.repeat(ids[at : at + len(s)], good.sum(1)), ids[top[good]], sim[good]))
+            out.append((np.repeat(ids[at : at + len(s)], k), ids[top.ravel()], sim.ravel()))
         return _edges(*(np.concatenate(x) for x in zip(*out))) if out else _edges(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     return run
 
 
-def _meet(floor: float):
+def _meet():
     """Pairs of a vector's neighbours, at least one of them new, that one of the two lists would take."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -93,7 +92,7 @@ def _meet(floor: float):
         s = x @ x.T
         i, j = np.triu_indices(len(ids), 1)
         v = s[i, j]
-        keep = (new[i] | new[j]) & (v >= floor) & ((v > least[i]) | (v > least[j]))
+        keep = (new[i] | new[j]) & ((v > least[i]) | (v > least[j]))
         i, j, v = i[keep], j[keep], v[keep]
         return _edges(np.concatenate([ids[i], ids[j]]), np.concatenate([ids[j], ids[i]]), np.concatenate([v, v]))
 
@@ -121,11 +120,59 @@ def _count(threshold: float):
     return run
 
 
+def _beside(batches, sent):
+    """(ids and copies of the vectors sent, ids of some others, which of them are which) by tiles of one dimension."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for d in np.unique(dims):
+            if int(d) not in sent.value:
+                continue
+            ids, copies, y = sent.value[int(d)]
+            some = batch.filter(pa.array(dims == d))
+            mine, x = np.asarray(some.column("id"), dtype=np.int64), _unit(some.column("vec"))
+            for at in range(0, len(mine), 512):
+                yield ids, copies, mine[at : at + 512], y @ x[at : at + 512].T, ids[:, None] != mine[None, at : at + 512]
+
+
+def _truth(threshold: float, sent):
+    """All links of the vectors sent."""
+
+    def run(batches):
+        for ids, _, mine, s, other in _beside(batches, sent):
+            p, q = np.nonzero((s >= threshold) & other)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(mine[q])], ["id", "nbr"])
+
+    return run
+
+
+def _exact(threshold: float, sent):
+    """Number of each vector's links to the vectors sent, and edges that join what these links join: no pairs."""
+
+    def run(batches):
+        for ids, copies, mine, s, other in _beside(batches, sent):
+            hit = (s >= threshold) & other
+            p, q = np.nonzero(hit)
+            if not len(p):
+                continue
+            of_p, of_q = ids.copy(), mine.copy()
+            while True:
+                low = np.minimum(of_p[p], of_q[q])
+                if (low == of_p[p]).all() and (low == of_q[q]).all():
+                    break
+                np.minimum.at(of_p, p, low)
+                np.minimum.at(of_q, q, low)
+            p, q = np.unique(p), np.unique(q)
+            links = (copies @ hit[:, q]).astype(np.int64)
+            a, b = np.concatenate([ids[p], mine[q]]), np.concatenate([of_p[p], of_q[q]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(a, mine[q])), pa.array(np.append(b, mine[q])), pa.array(np.append(np.zeros(len(a), np.int64), links))], ["id", "nbr", "links"])
+
+    return run
+
+
 def near_duplicates(
     vectors: DataFrame,
     *,
     threshold: float = 0.95,
-    floor: float = 0.5,
     size: int = 16,
     most: int = 64,
     leaf: int = 128,
@@ -133,8 +180,10 @@ def near_duplicates(
     rounds: int = 3,
     audit: float = 0.98,
     sample: int = 1024,
+    least: int = 256,
     batches: int = 6,
     tile: int = 512,
+    block: int = 4096,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id its links reach, itself included), kept."""
     spark = vectors.sparkSession
@@ -157,7 +206,7 @@ def near_duplicates(
         placed = points.mapInArrow(_planes(bits, seed), "id long, vec array<double>, dim int, leaf long")
         sizes = placed.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts"))
         blocks = placed.join(sizes, ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")))
-        return blocks.select("dim", "leaf", "part", "id", "vec").groupBy("dim", "leaf", "part").applyInArrow(_leaf(size, floor), _EDGES)
+        return blocks.select("dim", "leaf", "part", "id", "vec").groupBy("dim", "leaf", "part").applyInArrow(_leaf(size), _EDGES)
 
     def lists(found: DataFrame, old: DataFrame | None) -> DataFrame:
         """The best of old and found per vector, as many as its list takes; a saturated list takes twice as many."""
@@ -178,41 +227,33 @@ def near_duplicates(
         both = both.withColumn("parts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("id")) / (2 * most))).withColumn("part", F.pmod(F.xxhash64("nbr", "id"), F.col("parts")))
         worst = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= F.max("takes"), F.min("sim")).otherwise(F.lit(-1.0)).alias("least"))
         ends = points.join(worst, "id").select(F.col("id").alias("nbr"), "vec", "least")
-        return both.join(ends, "nbr").select("id", "part", "nbr", "new", "vec", "least").groupBy("id", "part").applyInArrow(_meet(floor), _EDGES)
+        return both.join(ends, "nbr").select("id", "part", "nbr", "new", "vec", "least").groupBy("id", "part").applyInArrow(_meet(), _EDGES)
 
     def linked(graph: DataFrame) -> DataFrame:
         return graph.where(F.col("sim") >= threshold).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
 
-    # The audit's truth: true links of a fixed sample.
-    picked = points.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    truth = None
-    if n:
-        sent = spark.sparkContext.broadcast((np.asarray(picked.column("id"), dtype=np.int64), [np.asarray(x, dtype=np.float64) for x in picked.column("vec").to_pylist()]))
-
-        def audited(batches_):
-            ids, vecs = sent.value
-            for batch in batches_:
-                x = _unit(batch.column("vec")) if batch.num_rows else np.zeros((0, 0))
-                mine = np.asarray(batch.column("id"), dtype=np.int64)
-                same = [i for i, y in enumerate(vecs) if len(x) and len(y) == x.shape[1]]
-                if not same:
-                    continue
-                y = np.array([vecs[i] for i in same])
-                y = y / np.abs(y).max(1, keepdims=True)
-                hit = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ x.T >= threshold
-                hit &= ids[same][:, None] != mine[None, :]
-                p, q = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[same][p]), pa.array(mine[q])], ["id", "nbr"])
-
-        # One dimension to a batch: vectors of others are compared with theirs.
-        dims = [r[0] for r in points.select("dim").distinct().collect()]
-        scans = [points.where(F.col("dim") == d).mapInArrow(audited, "id long, nbr long") for d in dims]
-        truth = scans[0]
-        for s in scans[1:]:
-            truth = truth.union(s)
-        truth = ws.write(truth, "truth")
-
-    graph, edges, k = None, None, 0
+    span = 1 << 40
+    place = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(span))
+
+    def beside(kernel, low: int, high: int, schema: str, name: str) -> DataFrame:
+        """What the kernel finds for the vectors of these places and all vectors."""
+        some = classes.where((place >= low) & (place < high)).select("id", "copies", "vec", "dim").toArrow().combine_chunks()
+        dims = some.column("dim").to_numpy()
+        parts = {int(d): some.filter(pa.array(dims == d)) for d in np.unique(dims)}
+        sent = {d: (np.asarray(t.column("id"), dtype=np.int64), np.asarray(t.column("copies"), dtype=np.float64), _unit(t.column("vec"))) for d, t in parts.items()}
+        return ws.write(points.mapInArrow(kernel(threshold, spark.sparkContext.broadcast(sent)), schema), name)
+
+    # The audit's truth: true links of a sample that is drawn until enough of its vectors have some.
+    truth, drawn, linked_ends, step = None, 0, 0, math.ceil(span * min(1, sample / max(n, 1)))
+    while n and drawn < span and linked_ends < least:
+        high = min(span, drawn + step)
+        some = beside(_truth, drawn, high, "id long, nbr long", f"truth-{drawn}")
+        linked_ends += (ends_found := some.select("id").distinct().count())
+        if truth is None or ends_found:
+            truth = some if truth is None else truth.union(some)
+        drawn, step = high, max(1, min(2 * step, math.ceil(span * min(1, block / n))))
+
+    graph, edges, k, exact = None, None, 0, False
     for batch in range(batches):
         found = None
         for t in range(trees):
@@ -237,11 +278,31 @@ def near_duplicates(
         ends = truth.withColumn("a", F.least("id", "nbr")).withColumn("b", F.greatest("id", "nbr"))
         ends = ends.join(edges.withColumn("edge", F.lit(1)), ["a", "b"], "left")
         ends = ends.join(inside.select(F.col("node").alias("id"), F.col("component").alias("x")), "id", "left").join(inside.select(F.col("node").alias("nbr"), F.col("component").alias("y")), "nbr", "left")
-        true, have = ends.agg(F.count(F.lit(1)), F.coalesce(F.sum(((F.col("edge") == 1) | F.coalesce(F.col("x") == F.col("y"), F.lit(False))).cast("int")), F.lit(0))).first()
-        LAST_AUDIT.update(recall=have / true if true else 1.0, links=float(true), batches=batch + 1.0)
-        _log.info("audit: %d of %d links of the sample found after %d batches", have, true, batch + 1)
-        if batch and have >= audit * true:
+        ends = ends.select("id", ((F.col("edge") == 1) | F.coalesce(F.col("x") == F.col("y"), F.lit(False))).cast("int").alias("found"))
+        each = ends.groupBy("id").agg(F.count(F.lit(1)).alias("true"), F.coalesce(F.sum("found"), F.lit(0)).alias("have"))
+        true, have, mean = each.agg(F.coalesce(F.sum("true"), F.lit(0)), F.coalesce(F.sum("have"), F.lit(0)), F.coalesce(F.avg(F.col("have") / F.col("true")), F.lit(1.0))).first()
+        LAST_AUDIT.update(recall=have / true if true else 1.0, mean_recall=mean, links=float(true), linked=float(linked_ends), batches=batch + 1.0, exact=0.0)
+        _log.info("audit: %d of %d links of the sample found after %d batches, %.4f of a vector's on average", have, true, batch + 1, mean)
+        exact = have < audit * true or mean < audit
+        if batch and (drawn >= span or not exact):
             break
+    if truth is not None and drawn >= span:  # the sample is the whole table, and the truth all links
+        exact = False
+    if exact:
+        LAST_AUDIT.update(exact=1.0)
+        _log.warning("audit: below %.3f after the last batch; all vectors are compared with all", audit)
+        step, parts = math.ceil(span * min(1, block / n)), None
+        for low in range(0, span, step):
+            some = beside(_exact, low, min(span, low + step), "id long, nbr long, links long", f"exact-{low}")
+            parts = some if parts is None else parts.union(some)
+        edges = parts.where("id <> nbr").select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+        edges = ws.write(edges, "edges-exact")
+        components = connected_components(ws, edges, "components-exact")
+        dense = dense.limit(0)
+    elif truth is not None and have < true:
+        edges = ws.write(edges.union(truth.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"))).distinct(), "edges-all")
+        components = connected_components(ws, edges, "components-all")
+        dense = graph.where("saturated").select(F.col("id").alias("node")).distinct().join(components, "node").select("component").distinct()
 
     # Links: counted in full inside dense parts, from the graph elsewhere.
     copies = classes.select("id", "copies")
@@ -254,7 +315,8 @@ def near_duplicates(
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(edges.select("b", "a"))
     ends = ends.join(members.select(F.col("node").alias("id")), "id", "left_anti")
     plain = ends.join(copies.select(F.col("id").alias("nbr"), "copies"), "nbr").groupBy("id").agg(F.sum("copies").alias("links"))
-    links = ws.write(counted.union(plain), "links")
+    found = parts.groupBy("id").agg(F.sum("links").alias("links")) if exact else counted.union(plain)
+    links = ws.write(found, "links")
 
     named = classes.select(F.col("id").alias("node"), "named")
     smallest = components.join(named, "node").groupBy("component").agg(F.min("named").alias("component_id"))

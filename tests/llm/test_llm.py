@@ -170,6 +170,37 @@ def test_neighbours(spark):
     assert twice == {50: 1, 51: 0}
 
 
+def pairs_apart(n, pairs, seed=5):
+    """Vectors with few links: near copies in pairs that have no other neighbour."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 32))
+    x[n - pairs :] = x[:pairs] + r.normal(size=(pairs, 32)) * 0.2
+    return x
+
+
+@pytest.mark.parametrize("pairs,sample,batches", [(6, 64, 6), (500, 512, 1)])
+def test_neighbours_whose_links_are_rare_or_missed(spark, pairs, sample, batches):
+    from kindred.llm import neighbours
+
+    x = pairs_apart(2000, pairs)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(df, leaf=8, size=2, trees=1, rounds=1, sample=sample, batches=batches).collect()}
+    links, label = brute_links(x, 0.95)
+    assert links.sum() >= pairs and {i: g for i, g in got.items() if g != (links[i], label[i])} == {}
+    assert neighbours.LAST_AUDIT["exact"] == (batches == 1)
+
+
+def test_neighbours_by_exact_comparison(spark):
+    from kindred.llm import neighbours
+
+    x = vectors()  # with copies and a dense part
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1004, [1.0, 2.0]), (1005, [1.0, 2.1])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(df, sample=32, least=8, audit=1.1, batches=1, block=100).collect()}
+    links, label = brute_links(x, 0.95)
+    want = {i: (links[i], label[i]) for i in range(len(x))} | {1004: (1, 1004), 1005: (1, 1004)}
+    assert got == want and neighbours.LAST_AUDIT["exact"] == 1
+
+
 # -- 3
 
 
