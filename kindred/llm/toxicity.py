@@ -30,7 +30,7 @@ from kindred.runtime import ship
 
 #: (category, label as SQL over the label table), in the order of the chain.
 CATEGORIES = (("junk", "1 - quality"), ("toxic", "toxic"))
-SAMPLE = 6_000
+SAMPLE = 8_000
 FEATURES = 200_000
 _TRIM = ".,;:!?*%&$#()[]{}<>\"'`~-_=+/\\|@^"
 DENSE = 5
@@ -212,13 +212,14 @@ def train(texts: pa.Array, labels: dict[str, np.ndarray], ids: np.ndarray, folds
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int) -> pa.Table:
-    """The training documents: those labels, up to sample, whose ids have the smallest hashes, with their texts."""
+    """The training documents: of the labels that have a text, up to sample, those whose ids have the smallest hashes."""
     usable: Column = F.lit(True)
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(f"cast({sql} as double)").alias(f"_{name}") for name, sql in categories))
     for name, _ in categories:
         usable = usable & F.col(f"_{name}").isNotNull()
-    chosen = chosen.where(usable & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", *(f"_{name}" for name, _ in categories)).limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    chosen = chosen.where(usable & F.col("doc_id").isNotNull()).join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", *(f"_{name}" for name, _ in categories)).limit(sample)
     return texts.join(F.broadcast(chosen), "doc_id").toArrow()
 
 

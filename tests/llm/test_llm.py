@@ -116,6 +116,15 @@ def test_toxicity_chain_uses_held_out_predictions():
     assert len(chain.models[1].dense) == toxicity.DENSE + 1 and chain.held_out["toxic"] > 0.95
 
 
+def test_toxicity_labels_without_text_use_up_nothing(spark):
+    from kindred.llm import toxicity
+
+    docs, labels = toxic_rows(n=100)
+    df = spark.createDataFrame(docs + [(5000 + i, None, "en", "s", 0) for i in range(300)], SCHEMA)
+    known = spark.createDataFrame(labels + [(5000 + i, 1, 0) for i in range(300)] + [(9000 + i, 1, 1) for i in range(300)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled(df, known, toxicity.CATEGORIES, 60).num_rows == 60
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     from kindred.llm import toxicity
 
