@@ -1,8 +1,8 @@
 """Cost-balanced packing of token ids into fixed-length training sequences.
 
 Attention costs a piece of n tokens ``linear * n + quadratic * n * n``. Every document is cut into full sequences and
-one shorter rest; rests go, longest first, to the sequence of lowest cost that has token capacity left, cut only where
-none of the cheapest ones holds it whole. A block of documents is packed by the task that tokenises it, so nothing is
+one shorter rest; rests go, longest first, to the sequence of lowest cost that has room for all of it, found in an index by
+free capacity; where no sequence has, to the one of lowest cost with any room, and what does not fit waits its turn again. A block of documents is packed by the task that tokenises it, so nothing is
 shuffled, and a block has as many sequences as its tokens fill: no padding. What is left of a block, less than one
 sequence, goes into sequences whose lengths are the powers of two that sum to it; those need no padding either.
 
@@ -14,6 +14,7 @@ other columns of the input are not looked at, whatever their names.
 from __future__ import annotations
 
 import heapq
+import math
 import os
 import zlib
 from array import array
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 from kindred.llm.textarrow import blocks, strings
 from kindred.runtime import ship
 
-#: How many of the cheapest sequences are tried before a piece is cut.
-TRIES = 8
 #: Unicode white space, and what some tables count as such.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -111,6 +110,61 @@ class Encoder:
         return out, counts
 
 
+class Sequences:
+    """Open sequences by free capacity: a heap of (cost, sequence) per capacity, under a tree of the least of each range."""
+
+    def __init__(self, bins: int, size: int) -> None:
+        self.leaves = 1 << size.bit_length()  # capacities 0 to size
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+        self.heaps[size] = [(0.0, s) for s in range(bins)]
+        none = (math.inf, 0)
+        self.tree = [none] * (2 * self.leaves)
+        self._raise(size)
+
+    def _raise(self, room: int) -> None:
+        tree, heap, at = self.tree, self.heaps[room], room + self.leaves
+        tree[at] = heap[0] if heap else (math.inf, 0)
+        while at > 1:
+            at >>= 1
+            x, y = tree[2 * at], tree[2 * at + 1]
+            new = x if x <= y else y
+            if tree[at] == new:
+                break
+            tree[at] = new
+
+    def _least(self, room: int) -> tuple[float, int]:
+        """The least of all with at least this room."""
+        tree, at = self.tree, room + self.leaves
+        best = tree[at]
+        while at > 1:
+            if not at & 1 and tree[at + 1] < best:
+                best = tree[at + 1]
+            at >>= 1
+        return best
+
+    def any(self, room: int = 1) -> bool:
+        return room < len(self.heaps) and self._least(room)[0] < math.inf
+
+    def pop(self, room: int) -> tuple[float, int, int]:
+        """(cost, sequence, free capacity) of the cheapest with at least this room, taken out."""
+        best = self._least(room)
+        at = room + self.leaves
+        while self.tree[at] != best:  # up to a range that holds it, then down
+            while at & 1:
+                at >>= 1
+            at += 1
+        while at < self.leaves:
+            at = 2 * at if self.tree[2 * at] == best else 2 * at + 1
+        found = at - self.leaves
+        heapq.heappop(self.heaps[found])
+        self._raise(found)
+        return *best, found
+
+    def push(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._raise(room)
+
+
 def assign(counts: np.ndarray, size: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of these token counts, in their order on a tie."""
     out = []
@@ -127,24 +181,15 @@ def assign(counts: np.ndarray, size: int, linear: float, quadratic: float) -> li
     left = -sum(r[0] for r in rests)
     base, bins = sequence, left // size
     heapq.heapify(rests)
-    free = [size] * bins
-    open_ = [(0.0, s) for s in range(bins)]
-    while rests and open_:
+    open_ = Sequences(bins, size)
+    while rests and open_.any():
         length, doc, at = heapq.heappop(rests)
         length = -length
-        tried = []
-        while open_ and len(tried) < TRIES and (not tried or free[tried[-1][1]] < length):
-            tried.append(heapq.heappop(open_))
-        chosen = len(tried) - 1 if free[tried[-1][1]] >= length else 0
-        for k, x in enumerate(tried):
-            if k != chosen:
-                heapq.heappush(open_, x)
-        cost, s = tried[chosen]
-        took = min(length, free[s])
-        out.append((doc, at, took, base + s, size - free[s]))
-        free[s] -= took
-        if free[s]:
-            heapq.heappush(open_, (cost + linear * took + quadratic * took * took, s))
+        cost, s, room = open_.pop(length if open_.any(length) else 1)
+        took = min(length, room)
+        out.append((doc, at, took, base + s, size - room))
+        if room > took:
+            open_.push(cost + linear * took + quadratic * took * took, s, room - took)
         if took < length:
             heapq.heappush(rests, (took - length, doc, at + took))
     sequence = base + bins

@@ -42,7 +42,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).drop("source").select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
 def _digest(found: DataFrame, counted: tuple[str, ...]) -> DataFrame:

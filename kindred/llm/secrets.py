@@ -4,7 +4,8 @@ Strong findings need no company: assignments to a secret's name, access key ids,
 parts are looked for: identifiers (user, client or account ids given as key and value, key ids too short to be strong),
 secrets (mixed strings of 20 characters and more with high entropy) and endpoints (URLs, host:port). A weak part is
 reported only when it co-occurs with a complementary part - an identifier or an endpoint with a secret - within a scope:
-the paragraph it stands in, and at most `reach` code points away. Scopes are intervals of one document, so the
+the paragraph it stands in (a blank line ends one, whatever the line ends), and at most `reach` code points away. The path
+of a URL is part of the endpoint and no secret; what follows its "?", "#", "@" or a ":" may be one. Scopes are intervals of one document, so the
 interval join is a sweep over that document's parts in order of their positions; nothing is shuffled.
 
 Spans are code points, end exclusive. Defined results: a null or empty text has no spans; a match overlapping one of its
@@ -41,7 +42,7 @@ _HEXISH = re.compile(r"[0-9a-f]{32}")
 IDENT = re.compile(r"""(?:[uU]ser(?:name|_?id)?|[lL]ogin|[cC]lient_?id|[aA]ccount_?id|[aA]ccess_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""")
 KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+:[0-9]{2,5}(?![0-9])""")
-_PARA = re.compile(r"\n[\x20\t]*\n")
+_PARA = re.compile(r"\n[\x20\t\r]*\n")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20}")
 
 
@@ -71,14 +72,24 @@ def linked(text: str, base: list[Span], reach: int, bits: float) -> list[Span]:
     """Weak parts with a complementary part in their scope."""
     secrets = [s for s in base if s[0] != "access"]
     weak_secrets: list[Span] = []
+    endpoints: list[Span] = []
     if _LONG.search(text):
         weak_secrets = [("key", m.start(), m.end()) for m in KEY.finditer(text) if mixed(m[0]) and entropy(m[0]) >= bits]
     if not secrets and not weak_secrets:
         return []
-    partners: list[Span] = [("ident", m.start(1), m.end(1)) for m in IDENT.finditer(text)]
-    partners += [("ident", m.start(), m.end()) for m in ACCESS.finditer(text) if 8 <= m.end() - m.start() < 16]
     if ":" in text:
-        partners += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+        endpoints = [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+        heads = [a for _, a, _ in endpoints]
+
+        def in_path(a: int) -> bool:
+            at = bisect_left(heads, a + 1) - 1
+            return at >= 0 and a < endpoints[at][2] and text[a - 1] != ":" and not any(c in text[heads[at] : a] for c in "?#@")
+
+        weak_secrets = [s for s in weak_secrets if not in_path(s[1])]
+        if not secrets and not weak_secrets:
+            return []
+    partners: list[Span] = [("ident", m.start(1), m.end(1)) for m in IDENT.finditer(text)] + endpoints
+    partners += [("ident", m.start(), m.end()) for m in ACCESS.finditer(text) if 8 <= m.end() - m.start() < 16]
     strong_ids = [s for s in base if s[0] == "access"]
     breaks = [m.start() for m in _PARA.finditer(text)]
 

@@ -1,8 +1,9 @@
 """Exact top-k search by integer inner product: tiled matrix products, selection per tile, tree merging.
 
-Rows and queries are cut into shards and blocks of a fixed size by a hash of their ids; a tile is one shard against one
-block. A tile's product is taken in sub-tiles, of which only the k best per query are kept, and the lists of a query are
-merged level by level, a fan of lists at a time.
+Rows are cut into shards by a hash of their places in the input, so that rows of one id are spread too, and queries into
+blocks by a hash of their ids, both of bounded bytes; a tile is one shard against one block. A tile's product is taken in
+sub-tiles, of which only the k best per query are kept, and the lists of a query are merged level by level, a fan of lists
+at a time.
 
 Defined results: a vector that is null, empty-valued (a null component) or not finite takes no part, nor does a row
 without id; vectors meet those of their own dimension only; a query never meets rows of its own id; repeated rows are
@@ -47,8 +48,8 @@ def _best(scores: np.ndarray, base: np.ndarray, k: int) -> np.ndarray:
 def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int, side: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, row ids, scores): the k best rows of each query."""
     (qi, q), (ri, r) = queries, rows
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(r).max(initial=0)) * max(1, q.shape[1]) * (side + k + 2)
-    exact = bound < 2.0**53
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(r).max(initial=0)) * max(1, q.shape[1])  # no score is beyond
+    exact = (most + 2) * (side + k + 2) < 2.0**53
     if not exact:
         q, r = (np.vectorize(int, otypes=[object])(x) if x.size else x.astype(object) for x in (q, r))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -58,8 +59,9 @@ def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
             some = ri[b : b + side]
             s = q[a : a + 512] @ r[b : b + side].T
             if exact:
-                s[ids[:, None] == some[None, :]] = -np.inf
-                top = _best(np.where(np.isneginf(s), -(2.0**51) / (side + 1), s), np.arange(len(some), 0, -1, dtype=np.float64) - 1, k)
+                own = ids[:, None] == some[None, :]
+                top = _best(np.where(own, -most - 1, s), np.arange(len(some), 0, -1, dtype=np.float64) - 1, k)
+                s[own] = -np.inf
             else:
                 s = np.where(ids[:, None] == some[None, :], -np.inf, s)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -78,24 +80,29 @@ def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def exact_topk(rows: DataFrame, queries: DataFrame, *, k: int = 5, shard_rows: int = 65_536, block_rows: int = 32_768, fan: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score of the k rows of highest score for each query; both inputs have vec_id and embedding."""
+def exact_topk(rows: DataFrame, queries: DataFrame, *, k: int = 5, shard_rows: int = 65_536, block_rows: int = 32_768, fan: int = 64, tile_bytes: int = 64_000_000) -> DataFrame:
+    """query_id, rank, vec_id, score of the k rows of highest score for each query; both inputs have vec_id and embedding.
+
+    A shard has about shard_rows rows and a block block_rows queries, and either at most about tile_bytes of doubles.
+    """
     spark = rows.sparkSession
     ship(spark)
 
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col("embedding").cast("array<double>")
+        single = df.schema["embedding"].dataType.simpleString() == "array<float>"  # shuffled as such; the same as doubles
+        v = F.col("embedding") if single else F.col("embedding").cast("array<double>")
         finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite).withColumn("dim", F.size("embedding"))
 
     rows = usable(rows)
     queries = usable(queries).groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding"))
-    n, m = rows.count(), queries.count()
+    size = (F.count(F.lit(1)), F.coalesce(F.sum("dim"), F.lit(0)))
+    (n, of_n), (m, of_m) = rows.agg(*size).first(), queries.agg(*size).first()
     slots = spark.sparkContext.defaultParallelism
-    shards = max(math.ceil(n / shard_rows), min(2 * slots, math.ceil(n / 2048)), 1)
-    tiles = max(math.ceil(m / block_rows), 1)
+    shards = max(math.ceil(n / shard_rows), math.ceil(8 * of_n / tile_bytes), min(2 * slots, math.ceil(n / 2048)), 1)
+    tiles = max(math.ceil(m / block_rows), math.ceil(8 * of_m / tile_bytes), 1)
     spread = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    left = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")).withColumn("shard", spread)
 
     def meet(key: tuple, shard: pa.Table, block: pa.Table) -> pa.Table:

@@ -229,6 +229,13 @@ def test_topk(spark):
     for options in ({}, {"shard_rows": 16, "block_rows": 2, "fan": 3}):
         got = [tuple(r) for r in exact_topk(df, df.where("vec_id % 50 = 0"), **options).collect()]
         assert set(got) == want and len(got) == len(want)
+    low = spark.createDataFrame([(0, [3500.0])] + [(i, [-3500.0 - i]) for i in range(1, 10)], "vec_id long, embedding array<float>")
+    got = [tuple(r)[:3] for r in exact_topk(low, low.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, i, i) for i in range(1, 6)]  # scores far below zero
+    from pyspark.sql import functions as F
+
+    extra = df.select("*", *(F.lit(1).alias(c) for c in ("dim", "shard", "block", "list", "rank", "score", "query_id", "own")))
+    assert {tuple(r) for r in exact_topk(extra, extra.where("vec_id % 50 = 0"), tile_bytes=2000).collect()} == want
     few = exact_topk(df.where("vec_id < 3"), df.where("vec_id = 0")).collect()
     assert len(few) == 2 and exact_topk(df.limit(0), df.limit(0)).count() == 0
     big = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [2.0, 1.0]), (3, [1e300, 0.0])], "vec_id long, embedding array<double>")
@@ -251,25 +258,38 @@ def levels(sizes):
         capped |= new
 
 
-def test_mixing(spark, docs):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_mixing(spark, docs, small):
     from kindred.llm import mixing
 
-    got = mixing.mix(docs, leaf_docs=7).collect()
+    got = mixing.mix(docs, leaf_docs=7, small=small).collect()
     sizes = {}
     for r in docs.collect():
         sizes[r["source"]] = sizes.get(r["source"], 0) + len(WORD.findall(r["text"]))
     want = levels(sizes)
     assert len(got) == docs.count() and all(abs(r["target"] - want[r["source"]]) < 1e-6 and r["source_size"] == sizes[r["source"]] for r in got)
-    assert all(r["size"] == len(WORD.findall(t)) for r in got for t in [everything(docs)[r["doc_id"]]] if r["doc_id"] < 5)
-    biggest = {}
-    for s in want:
-        biggest[s] = max(r["size"] for r in got if r["source"] == s)
-        assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) <= biggest[s]
-    assert all(r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in got)
+    texts = everything(docs)
+    assert all(r["size"] == len(WORD.findall(texts[r["doc_id"]])) for r in got)
+    for s in want:  # each source takes its target, however long its documents are
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) <= 0.51 and sum(r["part"] > 0 for r in got if r["source"] == s) <= 1
+    assert all(r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] + r["part"] for r in got)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), leaf_docs=7).collect()), key=str)
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
-    applied = [r["doc_id"] for r in mixing.apply(docs).collect()]
-    assert {i: applied.count(i) for i in copies} == copies
+    out = [(r["doc_id"], len(WORD.findall(r["text"])), r["n_chars"] == len(r["text"]), texts[r["doc_id"]].startswith(r["text"])) for r in mixing.apply(docs, leaf_docs=7, small=small).collect()]
+    assert sorted(out) == sorted((r["doc_id"], n, True, True) for r in got for n in [r["size"]] * r["copies"] + [r["part"]] * (r["part"] > 0))
+
+
+def test_targets_of_many_sources(spark):
+    from kindred.llm import mixing
+    from kindred.runtime import Workspace
+
+    r = random.Random(13)
+    sizes = {f"s{r.random()}": r.choice([0, 1, 5, 400, 90_000]) for _ in range(300)} | {None: 70}
+    df = spark.createDataFrame([(k, n, 1) for k, n in sizes.items()], "source string, source_size long, source_docs long").repartition(7)
+    want = levels(sizes)
+    for small in (20_000, 0):
+        got = {x["source"]: x["target"] for x in mixing.targets(Workspace(spark, "test"), df, small=small).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+    assert mixing.targets(Workspace(spark, "test"), df.limit(0)).count() == 0
 
 
 def test_pivot_keeps_words_and_expectation():
@@ -289,9 +309,19 @@ def test_pivot_keeps_words_and_expectation():
 def test_mixing_awkward(awkward, empty):
     from kindred.llm import mixing
 
-    assert mixing.mix(awkward).count() == awkward.count() and mixing.mix(empty).count() == 0
-    out = mixing.apply(awkward)
-    assert out.columns == awkward.columns and out.count() == sum(r["copies"] for r in mixing.mix(awkward).collect())
+    got = mixing.mix(awkward).collect()
+    assert len(got) == awkward.count() and mixing.mix(empty).count() == 0 and mixing.apply(empty).count() == 0
+    sizes = {}
+    for r in awkward.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
+    want = levels(sizes)
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(r["doc_id"]), len(WORD.findall(r["text"] or ""))) for r in awkward.collect())
+    for s in want:
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) <= 0.51
+    out = mixing.apply(awkward).collect()
+    assert mixing.apply(awkward).columns == awkward.columns
+    for s in want:  # rows that share an id are told apart
+        assert abs(sum(len(WORD.findall(r["text"] or "")) for r in out if r["source"] == s) - want[s]) <= 0.51
 
 
 # -- 5 and 6
@@ -350,6 +380,9 @@ def test_weak_parts_need_company():
     assert weak(f"user = alice99\n\n{key}") == [] and weak(f"user = alice99 {'x ' * 300}{key}") == []
     assert weak(f"https://host.example/api {key}") == ["endpoint", "key"]
     assert weak('token = "abcdefgh" host db.example.com:5432') == ["assign", "endpoint"]
+    assert weak(f"user = alice99\r\n\r\n{key}") == [] and weak(f"user = alice99\r\n{key}") == ["ident", "key"]
+    path = "user = alice99 https://host.example/Zk3vQ9xT7/mB2nR8wL5yU"
+    assert weak(path) == [] and weak(f"https://host.example/a?{key}") == weak(f"https://bob:{key}@host.example/a") == ["endpoint", "key"]
 
 
 def test_masking(spark, awkward, empty):
@@ -587,6 +620,61 @@ def test_encoder_is_lossless_in_white_space():
         at += n
 
 
+def test_assignment_index_finds_the_cheapest_that_fits():
+    from kindred.llm.packing import Sequences
+
+    r = random.Random(14)
+    index, plain = Sequences(30, 64), [(0.0, s, 64) for s in range(30)]
+    while index.any():
+        assert bool(plain)
+        need = r.randint(1, 64)
+        fits = [x for x in plain if x[2] >= need]
+        assert index.any(need) == bool(fits)
+        if not fits:
+            need, fits = 1, plain
+        cost, s, room = index.pop(need)
+        assert (cost, s, room) == min(fits)
+        plain.remove((cost, s, room))
+        left = room - min(need, room) if r.random() < 0.7 else 0
+        if left:
+            index.push(cost + r.random(), s, left)
+            plain = [*plain, (index.heaps[left][0] if len(index.heaps[left]) == 1 else next(x for x in index.heaps[left] if x[1] == s)) + (left,)]
+    assert not plain
+
+
+def brute_assign(counts, size, linear, quadratic):
+    """Rests, longest first, to the cheapest sequence that holds them whole, else to the cheapest with any room."""
+    rests = [(-(n % size), d, n - n % size) for d, n in enumerate(counts) if n % size]
+    first = sum(n // size for n in counts)
+    bins = [[0.0, first + s, size] for s in range(-sum(r[0] for r in rests) // size)]
+    out = []
+    while rests and any(b[2] for b in bins):
+        rests.sort()
+        n, d, at = rests.pop(0)
+        n = -n
+        b = min([b for b in bins if b[2] >= n] or [b for b in bins if b[2]], key=lambda b: (b[0], b[1]))
+        took = min(n, b[2])
+        out.append((d, at, took, b[1], size - b[2]))
+        b[2] -= took
+        b[0] += linear * took + quadratic * took * took
+        if took < n:
+            rests.append((took - n, d, at + took))
+    return out
+
+
+@pytest.mark.parametrize("high", [60, 300])
+def test_assignment_equals_brute_force(high):
+    from kindred.llm.packing import assign
+
+    r = np.random.default_rng(8)
+    counts = r.integers(1, high, 400)
+    want = brute_assign(counts.tolist(), 128, 1.0, 1 / 256)
+    got = assign(counts, 128, 1.0, 1 / 256)
+    assert set(want) <= set(got) and sum(p[2] for p in got) == counts.sum()
+    tail = {p[3] for p in set(got) - set(want)} & {p[3] for p in want}
+    assert not tail
+
+
 def test_assignment_balances_cost():
     from kindred.llm.packing import assign
 
