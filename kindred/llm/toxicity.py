@@ -5,13 +5,15 @@ give. To train a later model, the earlier ones' log-odds come from models that d
 so it learns how far they can be trusted on new text; to score, the models fitted on all training documents are chained.
 
 Features are the presence of words (A-Z lowered, punctuation trimmed) and of their first letters (4, 5 and 6), and a few
-dense measures of the text. Per model and fold, those features enter whose presence differs most between the classes
-(a chi-square style score). Logistic loss, L2, Newton's method on the few columns that are left.
-
-Training reads at most `sample` labelled documents (those of the smallest hashes of their ids) and at most FEATURES of
-their words' features; everything is scored, whole texts. Defined results: a null or empty text, or a table without
-usable labels, has probability 0 and is not toxic; labels that are null or belong to no document are not used; repeated
-label rows and repeated documents count each; ties at the threshold are toxic; other columns are carried by clean() only.
+dense measures of the text. Per model and fold, all features enter whose presence differs between the classes beyond
+chance (a chi-square style score, its bound raised with the number of features tested). Logistic loss, L2, Newton steps
+solved by conjugate gradients on the sparse columns.
+
+Training reads at most `sample` labelled documents of at most `most_bytes` of text together: in the order of the hashes
+of their ids, each that still fits. Everything is scored, whole texts. Defined results: a null or empty text, or a table
+without usable labels, has probability 0 and is not toxic; labels that are null or belong to no text are not used; of
+label rows that share an id the smallest is used, and of documents the text that sorts first; ties at the threshold are
+toxic; repeated documents are scored each; other columns are carried by clean() only.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from kindred.runtime import ship
 
 #: (category, label as SQL over the label table), in the order of the chain.
 CATEGORIES = (("junk", "1 - quality"), ("toxic", "toxic"))
-SAMPLE = 8_000
-FEATURES = 200_000
+SAMPLE, MOST_BYTES = 8_000, 100_000_000
 _TRIM = ".,;:!?*%&$#()[]{}<>\"'`~-_=+/\\|@^"
 DENSE = 5
 
@@ -79,7 +80,26 @@ class Linear:
         return self.bias + dense @ self.dense + np.bincount(owner[hit], self.weights[at[hit]], minlength=len(dense))
 
 
-def fit(owner: np.ndarray, code: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, *, width: int = 300, l2: float = 1.0, rounds: int = 12) -> Linear:
+def _solve(apply, right: np.ndarray, scale: np.ndarray, most: int = 60, share: float = 0.02) -> np.ndarray:
+    """Conjugate gradients, preconditioned by the diagonal, down to a share of the first residual."""
+    x, r = np.zeros_like(right), right.copy()
+    z = r / scale
+    p, rz = z.copy(), float(r @ z)
+    stop = share * share * rz
+    for _ in range(most):
+        if rz <= stop or rz == 0:
+            break
+        ap = apply(p)
+        a = rz / float(p @ ap)
+        x += a * p
+        r -= a * ap
+        z = r / scale
+        rz, before = float(r @ z), rz
+        p = z + rz / before * p
+    return x
+
+
+def fit(owner: np.ndarray, code: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, *, l2: float = 1.0, rounds: int = 12) -> Linear:
     """A model from the documents that use marks; y is 0 or 1."""
     inside = use[owner]
     o, c = owner[inside], code[inside]
@@ -89,33 +109,33 @@ def fit(owner: np.ndarray, code: np.ndarray, dense: np.ndarray, y: np.ndarray, u
     n, p = max(use.sum(), 1), y[use].sum()
     share = min(max(p / n, 1e-6), 1 - 1e-6)
     score = np.where(all_ >= 3, (pos - all_ * share) ** 2 / np.maximum(all_ * share * (1 - share), 1e-9), 0)
-    best = np.argsort(-score, kind="stable")[:width]
-    columns = np.sort(best[score[best] > 8])
+    columns = np.flatnonzero(score > max(8.0, 2 * np.log(max((all_ >= 3).sum(), 1))))
     at = np.minimum(np.searchsorted(columns, c), max(len(columns) - 1, 0))
     hit = columns[at] == c if len(columns) else np.zeros(len(c), bool)
     rows = np.flatnonzero(use)
     place = np.full(len(use), -1)
     place[rows] = np.arange(len(rows))
-    x = np.zeros((len(rows), len(columns) + dense.shape[1] + 1), np.float32)
-    x[place[o[hit]], at[hit]] = 1
-    x[:, len(columns) : -1] = dense[rows]
-    x[:, -1] = 1
-    target = y[rows].astype(np.float32)
-    decay = np.full(x.shape[1], l2, np.float32)
-    decay[-1] = 1e-6
-    w = np.zeros(x.shape[1], np.float32)
-    w[-1] = np.log(share / (1 - share))
-    for _ in range(rounds):  # Newton steps; each moves a log-odds by a bounded amount
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -15, 15)))
+    i, j, k = place[o[hit]], at[hit], len(columns)
+    d = np.hstack([dense[rows], np.ones((len(rows), 1))])
+    target = y[rows]
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(i, w[j], minlength=len(rows)) + d @ w[k:]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(j, r[i], minlength=k), d.T @ r])
+
+    w, decay = np.zeros(k + d.shape[1]), np.full(k + d.shape[1], l2)
+    w[-1], decay[-1] = np.log(share / (1 - share)), 1e-6
+    for _ in range(rounds):  # each step moves a log-odds by a bounded amount
+        q = 1 / (1 + np.exp(-np.clip(times(w), -15, 15)))
         curve = np.maximum(q * (1 - q), 1e-4)
-        hessian = x.T @ (x * curve[:, None])
-        hessian[np.diag_indices(len(w))] += decay + 1e-5
-        step = np.linalg.solve(hessian, x.T @ (q - target) + decay * w)
+        scale = np.concatenate([np.bincount(j, curve[i], minlength=k), (d * d).T @ curve]) + decay
+        step = _solve(lambda v: back(curve * times(v)) + decay * v, back(q - target) + decay * w, scale)
         w = w - step * min(1.0, 5.0 / max(float(np.abs(step).max()), 1e-9))
-        if np.abs(step).max() < 1e-3:
+        if np.abs(step).max() < 3e-3:
             break
-    w = w.astype(np.float64)
-    return Linear(columns, w[: len(columns)], w[len(columns) : -1], float(w[-1]))
+    return Linear(columns, w[:k], w[k:-1], float(w[-1]))
 
 
 @dataclass
@@ -176,8 +196,7 @@ def train(texts: pa.Array, labels: dict[str, np.ndarray], ids: np.ndarray, folds
     """The chain of models of these documents; labels by category in the chain's order."""
     owner, code, names, dense = gathered(texts)
     df = np.bincount(code, minlength=len(names))
-    keep = np.flatnonzero(df >= 3)
-    keep = np.sort(keep[np.argsort(-df[keep], kind="stable")[:FEATURES]])
+    keep = np.flatnonzero(df >= 3)  # no score counts rarer ones
     place = np.full(len(names), -1, np.int32)
     place[keep] = np.arange(len(keep))
     code = place[code] if len(names) else code
@@ -211,23 +230,32 @@ def train(texts: pa.Array, labels: dict[str, np.ndarray], ids: np.ndarray, folds
     return Chain(tuple(labels), vocabulary, tuple(models), center, scale, threshold, quality)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int) -> pa.Table:
-    """The training documents: of the labels that have a text, up to sample, those whose ids have the smallest hashes."""
-    usable: Column = F.lit(True)
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(f"cast({sql} as double)").alias(f"_{name}") for name, sql in categories))
-    for name, _ in categories:
-        usable = usable & F.col(f"_{name}").isNotNull()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chosen = chosen.where(usable & F.col("doc_id").isNotNull()).join(texts.select("doc_id"), "doc_id", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", *(f"_{name}" for name, _ in categories)).limit(sample)
-    return texts.join(F.broadcast(chosen), "doc_id").toArrow()
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = SAMPLE, target: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int, most_bytes: int = MOST_BYTES) -> pa.Table:
+    """The training documents, one row per id: of the labels that have a text, in the order of their ids' hashes, each that fits."""
+    spark = docs.sparkSession
+    names = [f"_{name}" for name, _ in categories]
+    usable: Column = F.col("doc_id").isNotNull()
+    for name in names:
+        usable = usable & F.col(name).isNotNull()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(f"cast({sql} as double)").alias(f"_{name}") for name, sql in categories))
+    known = known.where(usable).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("bytes"))
+    first = sizes.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    chosen, held = [], 0
+    for row in first:
+        if held + row["bytes"] <= most_bytes:
+            held += row["bytes"]
+            chosen.append((row["doc_id"], *row["y"]))
+    few = spark.createDataFrame(chosen, ", ".join(["doc_id long", *(f"{n} double" for n in names)]))
+    return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text")).toArrow()
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = SAMPLE, most_bytes: int = MOST_BYTES, target: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, p_<category> for each of the chain, toxic boolean; and the columns to carry as _c0, _c1 and so on, whatever their names."""
     spark = docs.sparkSession
     ship(spark)
-    table = labelled(docs, labels, categories, sample)
+    table = labelled(docs, labels, categories, sample, most_bytes)
     order = np.argsort(np.asarray(table.column("doc_id"), dtype=np.int64), kind="stable")
     table = table.take(pa.array(order))
     ys = {name: np.asarray(table.column(f"_{name}"), dtype=np.float64) for name, _ in categories}

@@ -123,6 +123,73 @@ def test_toxicity_labels_without_text_use_up_nothing(spark):
     df = spark.createDataFrame(docs + [(5000 + i, None, "en", "s", 0) for i in range(300)], SCHEMA)
     known = spark.createDataFrame(labels + [(5000 + i, 1, 0) for i in range(300)] + [(9000 + i, 1, 1) for i in range(300)], "doc_id long, quality int, toxic int")
     assert toxicity.labelled(df, known, toxicity.CATEGORIES, 60).num_rows == 60
+    # Neither rows that repeat an id nor long texts get past the bounds.
+    again = df.union(df.where("doc_id = 3")).union(df.where("doc_id = 3"))
+    assert toxicity.labelled(again, known.union(known.where("doc_id = 3")), toxicity.CATEGORIES, 1000).num_rows == 100
+    some = toxicity.labelled(df, known, toxicity.CATEGORIES, 60, 3000)
+    assert 0 < some.num_rows < 60 and sum(len(x.as_py().encode()) for x in some.column("text")) <= 3000
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    from kindred.llm import toxicity
+
+    docs, labels = toxic_rows()
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    long_ = " ".join(d[1] for d in docs if d[0] % 7) * 20
+    got = by_id(toxicity.classify(spark.createDataFrame(docs + [(8000, long_, "en", "s", 0)], SCHEMA), known), "toxic", "p_toxic")
+    assert len(long_) > 1_000_000 and got[8000][1] is not None
+
+
+def brute_chain(docs, labels):
+    """The chain again, plainly: dense Newton on the presence of features, later models on out-of-fold log-odds."""
+    from kindred.llm import toxicity as X
+    from kindred.llm.textarrow import strings
+
+    import pyarrow as pa
+
+    owner, code, names, dense = X.features(strings(pa.table({"text": [d[1] for d in docs]})))
+    n = len(docs)
+    present = np.zeros((n, len(names)))
+    present[owner, code] = 1
+    dense = (dense - dense.mean(0)) / np.maximum(dense.std(0), 1e-6)
+    fold = np.array([(i * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 4 for i in range(n)])
+    tested = (present.sum(0) >= 3).sum()
+
+    def fit(x, y, use):
+        share = y[use].mean()
+        often = present[use].sum(0)
+        score = np.where((often >= 3), ((present[use] * y[use][:, None]).sum(0) - often * share) ** 2 / np.maximum(often * share * (1 - share), 1e-9), 0)
+        columns = np.flatnonzero(score > max(8, 2 * math.log((often >= 3).sum())))
+        a = np.hstack([present[:, columns], x, np.ones((n, 1))])
+        decay = np.append(np.ones(a.shape[1] - 1), 1e-6)
+        w = np.zeros(a.shape[1])
+        w[-1] = math.log(share / (1 - share))
+        for _ in range(60):
+            q = 1 / (1 + np.exp(-a[use] @ w))
+            h = (a[use] * (q * (1 - q))[:, None]).T @ a[use] + np.diag(decay)
+            w = w - np.linalg.solve(h, a[use].T @ (q - y[use]) + decay * w)
+        return lambda x: np.hstack([present[:, columns], x, np.ones((n, 1))]) @ w
+
+    assert tested > 0
+    earlier_out, earlier_in = np.zeros((n, 0)), np.zeros((n, 0))
+    for y in (np.array([1.0 - x[1] for x in labels]), np.array([float(x[2]) for x in labels])):
+        x = np.hstack([dense, earlier_out])
+        out = np.zeros(n)
+        for k in range(4):
+            out[fold == k] = fit(x, y, fold != k)(x)[fold == k]
+        whole = fit(x, y, np.ones(n, bool))(np.hstack([dense, earlier_in]))
+        earlier_out, earlier_in = np.hstack([earlier_out, np.clip(out, -8, 8)[:, None]]), np.hstack([earlier_in, np.clip(whole, -8, 8)[:, None]])
+    return 1 / (1 + np.exp(-whole))
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    from kindred.llm import toxicity
+
+    docs, labels = toxic_rows(seed=2, n=300)
+    df, known = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = by_id(toxicity.classify(df, known), "p_toxic")
+    want = brute_chain(docs, labels)
+    assert max(abs(got[i][0] - want[i]) for i in range(len(docs))) < 0.02
 
 
 def test_toxicity_awkward(spark, awkward, empty):
@@ -426,7 +493,12 @@ def test_bilinear(docs, awkward, empty):
         tokens = words_of(t)
         base = sum(math.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
         assert got[i][:4] == (held[i], len(tokens), sum(w in counts for w in tokens), n) and abs(got[i][4] - base) < 1e-9 * max(1, abs(base)) and got[i][5] < 0
-    assert bilinear.score(awkward).count() == awkward.count() and bilinear.score(empty).count() == 0
+    # The same scores whatever the partitions, and where the words of many rows are pre-aggregated.
+    again = by_id(bilinear.score(docs.repartition(5), hot_rows=2), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    assert {i: (got[i], again[i]) for i in got if got[i][:4] != again[i][:4] or not np.allclose(got[i][4:], again[i][4:], rtol=1e-9)} == {}
+    odd = bilinear.score(awkward).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in odd) == sorted((str(r["doc_id"]), len(words_of(r["text"] or ""))) for r in awkward.collect())
+    assert all(r["score"] < 0 and r["base_score"] < 0 for r in odd) and bilinear.score(empty).count() == 0
 
 
 def test_bilinear_learns_and_is_normalised():
@@ -467,8 +539,8 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [3_000_000, 0])
-def test_repeats(spark, docs, most):
+@pytest.mark.parametrize("most,hot", [(3_000_000, 200_000), (0, 4)])
+def test_repeats(spark, docs, most, hot):
     from kindred.llm import suffixes
 
     r = random.Random(9)
@@ -476,7 +548,7 @@ def test_repeats(spark, docs, most):
     extra = [a, "xy" + a[50:300] + "zz" + a[:260], a[100:199], a[100:200], "ab" * 200, "ab" * 90, "日" * 80, a[:150] + "!" + a[151:400]]
     texts = list(everything(docs).items()) + [(1000 + i, t) for i, t in enumerate(extra)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
-    got = by_id(suffixes.repeats(df, most_sent=most), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = by_id(suffixes.repeats(df, most_sent=most, hot_rows=hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = brute_repeats(sorted(texts), 100)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
@@ -485,7 +557,12 @@ def test_repeats_awkward(spark, awkward, empty):
     from kindred.llm import suffixes
 
     out = suffixes.repeats(awkward).collect()
-    assert len(out) == awkward.count() and suffixes.repeats(empty).count() == 0
+    # Each text but the first of equal ones goes whole where it has 100 bytes; null ids come first.
+    texts = [(r["text"] or "").encode() for r in awkward.collect()]
+    assert sorted(r["n_bytes"] for r in out) == sorted(map(len, texts)) and suffixes.repeats(empty).count() == 0
+    assert {r["n_removed"] for r in out if r["n_bytes"] < 100} == {0}
+    whole = [t for t in texts if len(t) >= 100]
+    assert sum(r["n_removed"] == r["n_bytes"] for r in out if r["n_bytes"] >= 100) >= len(whole) - len(set(whole))
     r = random.Random(1)
     long_ = "".join(r.choice("abcdefgh") for _ in range(300))
     twice = spark.createDataFrame([(5, long_), (5, long_), (None, long_)], "doc_id long, text string")
