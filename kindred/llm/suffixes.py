@@ -16,9 +16,13 @@ Blocks resolve what repeats within them before anything is shuffled, so a passag
 sent once per block. Names have 64 bits of their own: however many rows share an anchor, and so a bucket, m of them with
 different names are taken for each other with a chance of about m * m / 2**65. Bytes are not compared.
 
+Rows of a bucket meet in one task, but for the hot buckets, such as that of an anchor in a passage that very many blocks
+hold after different text: of these the first row of each name is found by a pre-aggregated minimum, and the others by a
+join with that.
+
 Texts are UTF-8 bytes; matches never cross documents. Defined results: a null text is empty; texts shorter than `length`
-keep all; rows that share an id are told apart in the order of their texts, the equal ones in any order; a null id comes
-before all; an empty table gives no rows; other columns are not looked at.
+keep all; rows that share an id are told apart, in the order of a written copy of the table; a null id comes before all; an
+empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.hot import LEAST, hot_keys
 from kindred.llm.textarrow import blocks, strings
 from kindred.runtime import Workspace
 
@@ -163,13 +168,13 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id with null as the smallest long, nth, rank of each row in their order)."""
     ids = np.asarray(pc.fill_null(table.column("doc_id"), -(2**63)), dtype=np.int64)
-    nth = np.asarray(table.column("nth"), dtype=np.int32)
+    nth = np.asarray(table.column("nth"), dtype=np.int64)
     rank = np.empty(len(ids), np.int64)
     rank[np.lexsort((nth, ids))] = np.arange(len(ids))
     return ids, nth, rank
 
 
-_ROWS = "kind byte, bucket long, name long, doc_id long, nth int, first int, last int"
+_ROWS = "kind byte, bucket long, name long, doc_id long, nth long, first int, last int"
 
 
 def _table(kind: int, bucket: np.ndarray, names: np.ndarray, ids: np.ndarray, nth: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
@@ -258,25 +263,40 @@ def _removed(sent):
     return run
 
 
-def _sift(rows: DataFrame) -> DataFrame:
+def _sift(ws: Workspace, rows: DataFrame, name: str, least: int) -> DataFrame:
     """Rows that are done (they repeat an earlier one) or open (the first of one of several names in a bucket)."""
+    columns = ("bucket", "name", "doc_id", "nth", "first", "last")
+    hot = hot_keys(rows, "bucket", ("doc_id", "nth", "first"), least=least)
+    some = rows if hot is None else rows.join(F.broadcast(hot), "bucket", "left_anti")
     of = Window.partitionBy("bucket", "name").orderBy("doc_id", "nth", "first")
     bucket = Window.partitionBy("bucket")
-    seen = rows.repartition("bucket").withColumn("place", F.row_number().over(of)).withColumn("low", F.min("name").over(bucket)).withColumn("high", F.max("name").over(bucket))
-    return seen.where("place > 1 or low <> high").select((F.col("place") > 1).alias("done"), "bucket", "name", "doc_id", "nth", "first", "last")
-
-
-def repeats(docs: DataFrame, *, length: int = 100, most_sent: int = MOST_SENT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of the removed runs)."""
+    seen = some.repartition("bucket").withColumn("place", F.row_number().over(of)).withColumn("low", F.min("name").over(bucket)).withColumn("high", F.max("name").over(bucket))
+    found = seen.where("place > 1 or low <> high").select((F.col("place") > 1).alias("done"), *columns)
+    if hot is None:
+        return found
+    many = ws.write(rows.join(F.broadcast(hot), "bucket", "left_semi").select(*columns), f"hot-{name}")
+    own = F.struct("doc_id", "nth", "first", "last")
+    heads = ws.write(many.groupBy("bucket", "name").agg(F.min(own).alias("head"), F.count(F.lit(1)).alias("rows")), f"heads-{name}")
+    several = heads.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("bucket")
+    firsts = heads.join(F.broadcast(several), "bucket", "left_semi").select(F.lit(False).alias("done"), "bucket", "name", "head.*")
+    later = many.join(heads.where("rows > 1").drop("rows"), ["bucket", "name"]).where(own != F.col("head")).select(F.lit(True).alias("done"), *columns)
+    return found.unionByName(firsts).unionByName(later)
+
+
+def repeats(docs: DataFrame, *, length: int = 100, most_sent: int = MOST_SENT, hot_rows: int = LEAST) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of the removed runs).
+
+    A bucket of more than hot_rows rows (and a ten-thousandth of all) is hot.
+    """
     if not 64 + STEP <= length <= 128:
         raise ValueError(f"length must be from {64 + STEP} to 128 bytes")
     spark = docs.sparkSession
     ws = Workspace(spark, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.withColumn("nth", F.lit(0))
+        docs = docs.withColumn("nth", F.lit(0).cast("long"))
     else:
-        docs = docs.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+        docs = ws.write(docs.withColumn("nth", F.monotonically_increasing_id()), "docs")
     least = F.lit(-(2**63)).cast("long")
     docs = docs.select(F.coalesce("doc_id", least).alias("doc_id"), "nth", "text", F.col("doc_id").isNull().alias("unnamed"))
     texts = docs.drop("unnamed")
@@ -292,17 +312,17 @@ def repeats(docs: DataFrame, *, length: int = 100, most_sent: int = MOST_SENT) -
                 lists = keys.groupBy("doc_id", "nth").agg(F.collect_list("key").alias("open"))
                 given = texts.join(lists.hint("shuffle_hash"), ["doc_id", "nth"])
         rows = ws.write(given.mapInArrow(_rows(length, level, sent), _ROWS), f"rows-{level}")
-        found = ws.write(_sift(rows.where("kind = 0")), f"found-{level}")
+        found = ws.write(_sift(ws, rows.where("kind = 0"), str(level), hot_rows), f"found-{level}")
         done = rows.where("kind = 1").select("doc_id", "nth", "first", "last").union(found.where("done").select("doc_id", "nth", "first", "last"))
         spans.append(ws.write(done, f"spans-{level}"))
-        ws.drop(f"rows-{level}")
-        fresh = found.where("not done").select("doc_id", "nth", "first", "bucket", "name").mapInArrow(_open_keys, "doc_id long, nth int, key long")
+        ws.drop(f"rows-{level}", f"hot-{level}", f"heads-{level}")
+        fresh = found.where("not done").select("doc_id", "nth", "first", "bucket", "name").mapInArrow(_open_keys, "doc_id long, nth long, key long")
         fresh = ws.write(fresh, f"keys-{level}")
         ws.drop(f"found-{level}")
         keys = fresh if keys is None else keys.union(fresh)
     all_ = spans[0].union(spans[1]).union(spans[2])
     gone = all_.groupBy("doc_id", "nth").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    gone = ws.write(gone.mapInArrow(_merge(length), "doc_id long, nth int, starts array<int>, ends array<int>"), "gone")
+    gone = ws.write(gone.mapInArrow(_merge(length), "doc_id long, nth long, starts array<int>, ends array<int>"), "gone")
     ws.drop("spans-0", "spans-1", "spans-2", "keys-0", "keys-1", "keys-2")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
     if (gone.agg(F.sum(F.size("starts"))).first()[0] or 0) <= most_sent:
