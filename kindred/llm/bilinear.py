@@ -7,8 +7,11 @@ over all units, for all pairs of contexts at once, is one matrix product of exp(
 has its unit's normalised probability times its share of its class; new words have the share that Good-Turing estimates.
 
 Corpus: each block of documents is encoded with its own dictionary; counts of words are summed over all blocks and go back
-to each. Training: in each round every partition takes its share of blocks through noise-contrastive steps (shared noise
-per batch, Adagrad), and the models are averaged, weighted by tokens, in a tree. Each training token is seen once.
+to each. Training: the documents are dealt to replicas by a hash of their ids; in each round every replica takes its share,
+in the order of a hash, through noise-contrastive steps (shared noise per batch, Adagrad), and the models are averaged,
+weighted by tokens, in a tree. Each training token is seen once. There are as many replicas as the square root of the
+training tokens says, so their number and their work both grow with the corpus, and the scores depend on neither the
+files nor the cluster.
 
 Words are [^\x20\x09-\x0D]+ with A-Z lowered, and every text ends with one end token. Held out: documents with
 crc32(doc_id as text) mod 5 = 1. Defined results: a null or empty text has the end token alone; a null id is trained on;
@@ -18,6 +21,7 @@ token; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
@@ -29,12 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.hot import LEAST, hot_keys
 from kindred.llm.textarrow import blocks, hashes, strings, word_codes
 from kindred.runtime import Workspace
 
-WORDS, BANDS, ENDINGS = 900, 12, 8
+#: Bands reach to counts of 2**31, far beyond what the first word outside WORDS has in any corpus.
+WORDS, BANDS, ENDINGS = 1791, 32, 8
 UNITS = 1 + WORDS + BANDS * ENDINGS
 WIDTH, NOISE, BATCH, ROUNDS = 24, 64, 1024, 2
+#: Replicas are the square root of the training tokens over this; so many tokens are trained on at a time.
+SPREAD, CHUNK = 2_000_000, 400_000
+#: Models that are averaged at once.
+FAN = 8
 _ZSTD = pa.Codec("zstd", 1)
 
 
@@ -159,7 +169,7 @@ class Classes:
 
 
 def _units(classes):
-    """A block's documents with everything the unigram counts give, and its tokens as units."""
+    """A block's documents with everything the unigram counts give, and their tokens as units."""
 
     def run(key: tuple, blocks_: pa.Table, words: pa.Table) -> pa.Table:
         shared: Classes = classes.value
@@ -172,8 +182,10 @@ def _units(classes):
             ids, nulls, held, per, codes = _get(raw)
             starts = np.cumsum(per) - per
             sums = [np.add.reduceat(x[codes], starts) for x in (base, share, (c > 0).astype(np.int64))]
-            out.append(_put(ids, nulls, held, per, *sums, unit[codes].astype(np.uint16)))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64()), "payload": pa.array(out, pa.binary())})
+            bytes_ = memoryview(unit[codes].astype("<u2")).cast("B")
+            texts = pa.array([bytes_[2 * a : 2 * (a + n)] for a, n in zip(starts.tolist(), per.tolist())], pa.binary())
+            out.append(pa.table({"doc_id": pa.array(ids, mask=nulls), "held_out": held, "n_tokens": per.astype(np.int64), "n_known": sums[2], "base": sums[0], "share": sums[1], "units": texts}))
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "share", "units"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))})
 
     return run
 
@@ -189,53 +201,81 @@ def _contexts(per: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return u1, u2
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, tokens per row, their units) of about `most` tokens; a longer document is a piece of its own."""
+    for batch in batches:
+        per = np.asarray(batch.column("n_tokens"), dtype=np.int64)
+        ends = np.cumsum(per)
+        at = 0
+        while at < len(per):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            some = batch.slice(at, stop - at)
+            units = np.frombuffer(b"".join(x.as_buffer() for x in some.column("units")), "<u2").astype(np.int64)
+            yield some, per[at:stop], units
+            at = stop
+
+
 def _train(sent, seed: int):
+    """A replica's documents, in their order, CHUNK tokens and more at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, state, share = pickle.loads(sent.value)
-        seen = 0
-        for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                _, _, held, per, *_, units = _get(raw)
-                units = units.astype(np.int64)
-                u1, u2 = _contexts(per, units)
-                use = np.flatnonzero(np.repeat(~held, per))
-                nce(model, state, share, u1[use], u2[use], units[use], np.random.default_rng([seed, block % 2**31, block >> 31]))
-                seen += len(use)
+        node, seen, chunk = None, 0, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def train() -> None:
+            nonlocal seen, chunk
+            per, units = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            u1, u2 = _contexts(per, units)
+            nce(model, state, share, u1, u2, units, np.random.default_rng([seed, node, chunk]))
+            seen, chunk = seen + len(units), chunk + 1
+
+        size = 0
+        for some, per, units in _pieces(batches, CHUNK):
+            node = some.column("replica")[0].as_py()
+            doc = at = 0
+            while doc < len(per):  # a chunk ends with the document that fills it, wherever batches end
+                ends = np.cumsum(per[doc:])
+                stop = min(doc + int(np.searchsorted(ends, CHUNK - size)) + 1, len(per))
+                n = int(ends[stop - doc - 1])
+                held.append((per[doc:stop], units[at : at + n]))
+                doc, at, size = stop, at + n, size + n
+                if size >= CHUNK:
+                    train()
+                    size = 0
+        if held:
+            train()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(seen)]), pa.array([_put(*model.arrays(), *state)], pa.binary())], ["node", "tokens", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([float(seen)]), pa.array([_put(*model.arrays(), *state)], pa.binary())], ["node", "tokens", "payload"])
 
     return run
 
 
-def _average(key: tuple, table: pa.Table) -> pa.Table:
-    total, sums = 0.0, None
-    for n, raw in zip(table.column("tokens").to_pylist(), table.column("payload").to_pylist()):
+def _average(table: pa.Table) -> pa.Table:
+    total, sums, first = 0.0, None, None
+    for node, n, raw in sorted(zip(*(table.column(c).to_pylist() for c in ("node", "tokens", "payload")))):
         arrays = _get(raw)
         sums = [n * a.astype(np.float64) for a in arrays] if sums is None else [s + n * a for s, a in zip(sums, arrays)]
-        total += n
+        total, first = total + n, node if first is None else first
     payload = _put(*((s / total).astype(np.float32) for s in sums))
-    return pa.table({"node": pa.array([key[0].as_py() // 8], pa.int32()), "tokens": [total], "payload": pa.array([payload], pa.binary())})
+    return pa.table({"node": pa.array([first // FAN], pa.int32()), "tokens": [total], "payload": pa.array([payload], pa.binary())})
 
 
 def _score(sent, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, z = sent.value
-        for batch in batches:
-            for raw in batch.column("payload").to_pylist():
-                ids, nulls, held, per, base, share, known, units = _get(raw)
-                units = units.astype(np.int64)
-                u1, u2 = _contexts(per, units)
-                log = a[u1, units] + b[u2, units] - z[u1, u2]
-                score = np.add.reduceat(log.astype(np.float64), np.cumsum(per) - per) / np.log(10) + share
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=nulls), *(pa.array(x) for x in (held, per.astype(np.int64), known, np.full(len(ids), total, np.int64), base, score))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for some, per, units in _pieces(batches, CHUNK):
+            u1, u2 = _contexts(per, units)
+            log = a[u1, units] + b[u2, units] - z[u1, u2]
+            score = np.add.reduceat(log.astype(np.float64), np.cumsum(per) - per) / np.log(10) + np.asarray(some.column("share"))
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names[:4]), pa.array(np.full(len(per), total, np.int64)), some.column("base"), pa.array(score)], names)
 
     return run
 
 
-def score(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, *, rounds: int = ROUNDS, hot_rows: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "bilinear")
@@ -243,11 +283,22 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
     encoded = ws.write(given.mapInArrow(_encode, "block long, code int, token string, ending byte, count long, payload binary"), "encoded")
 
+    # The counts of a word meet in one task, but those of the words that very many blocks hold, which are pre-aggregated.
+    columns = ("block", "code", "token", "ending", "c", "first")
+    given_words = encoded.where("payload is null").drop("payload")
+    hot = hot_keys(given_words, "token", ("block", "code"), least=hot_rows)
     by_word = Window.partitionBy("token")
-    words = encoded.where("payload is null").drop("payload")
-    words = words.withColumn("c", F.sum("count").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
-    words = ws.write(words.select("block", "code", "token", "ending", "c", "first"), "words")
+    words = given_words if hot is None else given_words.join(F.broadcast(hot), "token", "left_anti")
+    words = words.withColumn("c", F.sum("count").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1).select(*columns)
+    known = None
+    if hot is not None:
+        many = given_words.join(F.broadcast(hot), "token", "left_semi")
+        known = ws.write(many.groupBy("token").agg(F.min("ending").alias("ending"), F.sum("count").alias("c")), "hot")
+        words = words.unionByName(many.join(F.broadcast(known.select("token", "c")), "token").withColumn("first", F.lit(False)).select(*columns))
+    words = ws.write(words, "words")
     types = words.where("first and c > 0").select("token", "ending", "c")
+    if known is not None:
+        types = types.unionByName(known.where("c > 0").select("token", "ending", "c"))
     n, v = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = types.where("token <> ''").orderBy(F.col("c").desc(), "token").limit(WORDS).toArrow()
     ends = types.where("token = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -274,19 +325,26 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     sent = spark.sparkContext.broadcast(classes)
     given_words = words.join(F.broadcast(tops), "token", "left").select("block", "code", "c", "ending", F.coalesce("top", F.lit(-1)).alias("top"))
     payloads = encoded.where("payload is not null").select("block", "payload")
-    units = payloads.groupBy("block").cogroup(given_words.groupBy("block")).applyInArrow(_units(sent), "block long, payload binary")
-    units = ws.write(units, "units")
-    ws.drop("encoded", "words")
+    tasks = max(1, math.ceil(payloads.count() / 2))  # as many as two blocks each need, whatever the session's setting
+    units = payloads.repartition(tasks, "block").groupBy("block").cogroup(given_words.repartition(tasks, "block").groupBy("block"))
+    units = ws.write(units.applyInArrow(_units(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, units binary"), "units")
+    ws.drop("encoded", "words", "hot")
 
     model = Model.start(share)
     state = [np.full(x.shape, 1e-6, np.float32) for x in model.arrays()]
+    replicas = max(1, math.ceil(math.sqrt(int(n) / SPREAD)))
+    place = F.xxhash64("doc_id", "units")
+    trained = units.where(~F.col("held_out")).withColumn("place", place).withColumn("replica", F.pmod(F.xxhash64("place"), F.lit(replicas)).cast("int"))
     for k in range(rounds):
         now = spark.sparkContext.broadcast(pickle.dumps((model, state, share)))
-        part = units.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k)
+        part = trained.where(F.pmod("place", F.lit(rounds)) == k).select("replica", "place", "doc_id", "n_tokens", "units")
+        part = part.repartitionById(replicas, F.col("replica")).sortWithinPartitions("place", "doc_id", "units")
         tree = part.mapInArrow(_train(now, k), "node int, tokens double, payload binary")
-        for _ in range(2):  # 64 nodes, 8, 1
-            tree = tree.groupBy("node").applyInArrow(_average, "node int, tokens double, payload binary")
-        found = tree.collect()
+        nodes = replicas
+        while nodes > FAN:
+            tree = tree.groupBy(F.floor(F.col("node") / FAN)).applyInArrow(_average, "node int, tokens double, payload binary")
+            nodes = math.ceil(nodes / FAN)
+        found = sorted(tree.collect(), key=lambda r: r["node"])
         if found:
             total = sum(r["tokens"] for r in found)
             arrays = [sum(r["tokens"] / total * a for r, a in zip(found, x)) for x in zip(*(_get(r["payload"]) for r in found))]
