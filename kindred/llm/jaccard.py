@@ -5,12 +5,16 @@ ones first: first those that no block of documents repeats, by their hash, then
 repeat. Two classes of coefficient t or more share a shingle among the first n - ceil(t n) + 1 of each, so only these
 prefixes are shuffled and joined. Of the pairs that meet, those survive whose sizes are close enough (length filter) and
 whose places leave room for enough common shingles (positional filter). They are verified once each, in tiles of a
-connected part of the candidate graph: a bound from counts per hash range (suffix filter), then the exact overlap.
+connected part of the candidate graph: a bound from counts per hash range (suffix filter), then the exact overlap. A tile
+gives the number of each class's links and edges that join what the links join, not the links one by one.
+
+The holders of a shingle meet in one task, but for hot shingles, which are counted by pre-aggregation; and where more than
+CELL classes hold one, they are joined in cells of a hash of theirs against one of the others', so no task has them all.
 
 Words are [^\x20\x09-\x0D]+ with A-Z lowered; fewer words than a shingle are one shingle. Defined results: a null or
 empty text, or one without words, has an empty set and is linked with nothing; equal sets link always; repeated rows are
-documents each, and where they share an id, a component is named by that id once; rows without id are linked with
-nothing; other columns are carried by deduplicate() only.
+documents each, and where rows of different texts share an id, each belongs to its own text's component; rows without id
+are linked with nothing; other columns are carried by deduplicate() only.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.graph import connected_components
+from kindred.llm.graph import connected_components, union
+from kindred.llm.hot import LEAST, hot_keys
 from kindred.llm.textarrow import blocks, hashes, strings, word_codes
 from kindred.runtime import Workspace
 
@@ -37,6 +42,8 @@ RANKED = 200_000
 TILE = 128
 #: Up to so many ids (8 bytes each) of candidate documents are sent to the tasks that reread texts; more are joined.
 SENT = 1_000_000
+#: Classes of a cell, where the holders of a shingle are joined in cells.
+CELL = 1024
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,14 +114,14 @@ def _classes(width: int):
         for table in _small_blocks(batches):
             sizes, sets = shingle_sets(strings(table), width)
             keys = _set_keys(sizes, sets)
-            yield from pa.table({"kind": np.zeros(len(keys), np.int8), "doc_id": table.column("doc_id"), "n": sizes.astype(np.int64), "key": keys}).to_batches()
+            yield from pa.table({"kind": np.zeros(len(keys), np.int8), "doc_id": table.column("doc_id"), "row": table.column("row"), "n": sizes.astype(np.int64), "key": keys}).to_batches()
             first = np.zeros(len(keys), bool)
             first[np.unique(keys, return_index=True)[1]] = True
             found = np.sort(sets[np.repeat(first, sizes)])
             starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
             counts = np.diff(np.append(starts, len(found)))
             often = counts >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(often.sum(), np.int8)), pa.nulls(int(often.sum()), pa.int64()), pa.array(counts[often].astype(np.int64)), pa.array(found[starts[often]])], ["kind", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(often.sum(), np.int8)), *[pa.nulls(int(often.sum()), pa.int64())] * 2, pa.array(counts[often].astype(np.int64)), pa.array(found[starts[often]])], ["kind", "doc_id", "row", "n", "key"])
 
     return run
 
@@ -184,10 +191,13 @@ def overlaps(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndar
 
 
 def _verify(percent: int):
-    """Rows sorted by (part, ta, tb, kind): a tile's sets, then its pairs; a tile is never held longer than its rows last."""
+    """Rows sorted by (part, ta, tb, kind): a tile's sets with their copies, then its pairs; a tile is never held longer than its rows last.
+
+    Per class with links in the tile: key, how many documents it links to there, and the smallest key they reach.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sets, pairs = None, {}, []
+        tile, sets, copies, pairs = None, {}, {}, []
 
         def close() -> pa.RecordBatch | None:
             if not pairs:
@@ -196,8 +206,14 @@ def _verify(percent: int):
             at = {k: i for i, k in enumerate(names)}
             p = np.array([(at[a], at[b]) for a, b in pairs if a in at and b in at], dtype=np.int64).reshape(-1, 2)
             good = p[overlaps([sets[k] for k in names], p, percent)] if len(p) else p
-            ids = np.array(names, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids[good[:, 0]]), pa.array(ids[good[:, 1]])], ["a", "b"])
+            if not len(good):
+                return None
+            ids, times = np.array(names, dtype=np.int64), np.array([copies[k] for k in names], dtype=np.float64)
+            links = np.bincount(good[:, 0], times[good[:, 1]], len(ids)) + np.bincount(good[:, 1], times[good[:, 0]], len(ids))
+            nodes, roots = union(ids[good[:, 0]], ids[good[:, 1]])
+            order = np.argsort(ids)
+            mine = order[np.searchsorted(ids[order], nodes)]
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links[mine].astype(np.int64)), pa.array(roots)], ["key", "links", "root"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("part", "ta", "tb", "a", "b", "tokens")]
@@ -205,9 +221,9 @@ def _verify(percent: int):
                 if (part, ta, tb) != tile:
                     if (done := close()) is not None:
                         yield done
-                    tile, sets, pairs = (part, ta, tb), {}, []
+                    tile, sets, copies, pairs = (part, ta, tb), {}, {}, []
                 if tokens is not None:
-                    sets[a] = np.frombuffer(tokens, np.int64)
+                    sets[a], copies[a] = np.frombuffer(tokens, np.int64), b
                 else:
                     pairs.append((a, b))
         if (done := close()) is not None:
@@ -216,15 +232,64 @@ def _verify(percent: int):
     return run
 
 
-def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = TILE) -> DataFrame:
+def _shared(ws: Workspace, prefixes: DataFrame, least: int) -> DataFrame:
+    """The rows of tokens with several holders, with their number, two hashes of who they are, and the first of them."""
+    columns = ("token", "key", "n", "place")
+    signs = {"in": F.count(F.lit(1)), "s1": F.bit_xor(F.xxhash64("key", "n")), "s2": F.bit_xor(F.xxhash64("n", "key", F.lit(7))), "low": F.min(F.struct("key", "place"))}
+    hot = hot_keys(prefixes, "token", ("key",), least=least)
+    some = prefixes if hot is None else prefixes.join(F.broadcast(hot), "token", "left_anti")
+    # A token's rows are counted and joined in one partitioning; rows of one class from different blocks are one.
+    held = some.repartition("token").groupBy(*columns).agg(F.lit(1).alias("one")).drop("one")
+    token = Window.partitionBy("token")
+    shared = held.withColumn("in", F.count(F.lit(1)).over(token)).where(F.col("in") > 1)
+    shared = shared.select(*columns, "in", *(c.over(token).alias(name) for name, c in signs.items() if name != "in"))
+    if hot is None:
+        return shared
+    many = ws.write(prefixes.join(F.broadcast(hot), "token", "left_semi").groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "hot")
+    known = many.groupBy("token").agg(*(c.alias(name) for name, c in signs.items())).where(F.col("in") > 1)
+    return shared.unionByName(many.join(F.broadcast(known), "token").select(*shared.columns))
+
+
+def _meet(shared: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Pairs a < b of the classes that share a token, by lengths and places."""
+    names = ("key", "n", "place")
+    a, b = (shared.select("token", "in", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "ab")
+    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (room >= least)
+    few = F.col("in") <= cell
+    pairs = a.where(few).join(b.where(few).drop("in"), "token").where((F.col("key_a") < F.col("key_b")) & near).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    if shared.where(~few).isEmpty():
+        return pairs
+    parts = F.ceil(F.col("in") / cell).cast("int")
+
+    def cells(side: DataFrame, key: str, first: bool) -> DataFrame:
+        own = side.where(~few).withColumn("own", F.pmod(F.xxhash64(key), parts).cast("int"))
+        other = F.sequence(F.col("own"), parts - 1) if first else F.sequence(F.lit(0), F.col("own"))
+        own = own.withColumn("other", F.explode(other))
+        x, y = ("own", "other") if first else ("other", "own")
+        return own.select("token", F.col(x).alias("x"), F.col(y).alias("y"), *(c for c in own.columns if c[-2:] in ("_a", "_b")))
+
+    met = cells(a, "key_a", True).join(cells(b, "key_b", False), ["token", "x", "y"])
+    met = met.where(near & F.when(F.col("x") == F.col("y"), F.col("key_a") < F.col("key_b")).otherwise(F.col("key_a") != F.col("key_b")))
+    return pairs.union(met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")))
+
+
+def similar(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_similar, component_id (smallest doc_id its links reach, its own included), class_id.
 
-    Every link between different sets is found; documents of one set are one class and not expanded into pairs.
+    Every link between different sets is found; documents of one set are one class and not expanded into pairs. Options:
+    percent, width (words of a shingle), tile and cell (classes), hot_rows (rows of a token beyond which it is hot).
     """
+    return _similar(docs.withColumn("_row", F.lit(0).cast("long")), **options).drop("row", "component_key")
+
+
+def _similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = TILE, cell: int = CELL, hot_rows: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = ws.write(texts.mapInArrow(_classes(width), "kind byte, doc_id long, n long, key long"), "classes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
+    found = ws.write(texts.mapInArrow(_classes(width), "kind byte, doc_id long, row long, n long, key long"), "classes")
+    texts = texts.drop("row")
     rows = found.where("kind = 0").drop("kind")
     named_rows = rows.where("n > 0 and doc_id is not null")
     repeats = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(RANKED).toArrow()
@@ -233,21 +298,12 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
     ranked = spark.sparkContext.broadcast((tokens[order], times[order]))
     prefixes = ws.write(texts.mapInArrow(_prefixes(width, percent, ranked), "token long, key long, n int, place int"), "prefixes")
 
-    # A token's rows are counted and joined in one partitioning; rows of one class from different blocks are one.
-    held = prefixes.repartition("token").groupBy("token", "key", "n", "place").agg(F.lit(1).alias("one")).drop("one")
-    token = Window.partitionBy("token")
-    shared = held.withColumn("in", F.count(F.lit(1)).over(token)).where("in > 1")
-    shared = shared.select("token", "key", "n", "place", "in", F.bit_xor(F.xxhash64("key", "n")).over(token).alias("s1"), F.bit_xor(F.xxhash64("n", "key", F.lit(7))).over(token).alias("s2"), F.min(F.struct("key", "place")).over(token).alias("low"))
-    shared = ws.write(shared, "shared")
-    ws.drop("prefixes")
+    shared = ws.write(_shared(ws, prefixes, hot_rows), "shared")
+    ws.drop("prefixes", "hot")
     # Of tokens with the same holders the first in order is enough: it is the first that any two of these holders share.
     once = shared.groupBy("s1", "s2", "in", F.col("low.key")).agg(F.min(F.struct("low.place", "token")).alias("first")).select("first.token")
-    shared = ws.write(shared.select("token", "key", "n", "place").join(once, "token", "left_semi"), "first-shared")
-    a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "place"))) for s in "ab")
-    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
-    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    pairs = a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (room >= least))
-    pairs = ws.write(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), "pairs")
+    shared = ws.write(shared.select("token", "key", "n", "place", "in").join(once, "token", "left_semi"), "first-shared")
+    pairs = ws.write(_meet(shared, percent, cell).distinct(), "pairs")
     ws.drop("shared", "first-shared")
 
     # Tiles: the parts of the candidate graph, cut by a hash where they are large.
@@ -259,45 +315,50 @@ def similar(docs: DataFrame, *, percent: int = 90, width: int = 5, tile: int = T
     there = there.select("part", F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"), "a", "b")
     there = ws.write(there, "tiled")
     # A candidate class is reread from its first document, and goes to the tiles of its pairs.
-    chosen = named_rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(placed.select("key"), "key", "left_semi")
-    chosen = ws.write(chosen.select("doc_id").distinct(), "chosen")
+    classes = named_rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    chosen = ws.write(classes.join(placed.select("key"), "key", "left_semi").select(F.col("rep").alias("doc_id"), "key", "copies"), "chosen")
+    ids_of = chosen.select("doc_id").distinct()
     if chosen.count() <= SENT:
-        ids = spark.sparkContext.broadcast(chosen.toArrow().column("doc_id").to_numpy())
+        ids = spark.sparkContext.broadcast(ids_of.toArrow().column("doc_id").to_numpy())
         sets = texts.mapInArrow(_wanted(width, ids), "key long, tokens binary")
     else:
-        sets = texts.join(chosen.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_wanted(width, None), "key long, tokens binary")
-    goes = there.select(F.col("a").alias("key"), "part", "ta", "tb").union(there.select("b", "part", "ta", "tb")).distinct()
-    spread = goes.hint("shuffle_hash").join(sets, "key").select("part", "ta", "tb", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+        sets = texts.join(ids_of.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_wanted(width, None), "key long, tokens binary")
+    goes = there.select(F.col("a").alias("key"), "part", "ta", "tb").union(there.select("b", "part", "ta", "tb")).distinct().join(chosen.select("key", "copies"), "key")
+    spread = goes.hint("shuffle_hash").join(sets, "key").select("part", "ta", "tb", F.col("key").alias("a"), F.col("copies").alias("b"), "tokens")
     rows_ = spread.unionByName(there.withColumn("tokens", F.lit(None).cast("binary")))
-    links = rows_.repartition("part", "ta", "tb").sortWithinPartitions("part", "ta", "tb", F.col("tokens").isNull()).mapInArrow(_verify(percent), "a long, b long")
+    links = rows_.repartition("part", "ta", "tb").sortWithinPartitions("part", "ta", "tb", F.col("tokens").isNull()).mapInArrow(_verify(percent), "key long, links long, root long")
     links = ws.write(links, "links")
     ws.drop("tiled", "placed")
 
-    # Classes with copies or links; every other document stands alone.
-    classes = named_rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = classes.select(F.col("key"), "rep", "copies")
-    named = links.join(reps.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("copies").alias("ca")), "a").join(reps.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("copies").alias("cb")), "b")
-    named = ws.write(named, "named")
-    components = connected_components(ws, named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    partners = named.select("a", F.col("cb").alias("c")).union(named.select("b", "ca")).groupBy(F.col("a").alias("key")).agg(F.sum("c").alias("partners"))
+    # Classes with copies or links; every other document stands alone. Components are those of classes, named by their smallest id.
+    components = connected_components(ws, links.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct())
+    partners = links.groupBy("key").agg(F.sum("links").alias("partners"))
     known = classes.join(partners, "key", "left").where("copies > 1 or partners is not null")
-    known = known.join(components, known["rep"] == components["node"], "left")
-    known = ws.write(known.select("key", "rep", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
-    out = rows.join(known, (rows["key"] == known["key"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    known = known.join(components.select(F.col("node").alias("key"), F.col("component").alias("component_key")), "key", "left")
+    known = ws.write(known.withColumn("component_key", F.coalesce("component_key", "key")), "members")
+    names = known.groupBy("component_key").agg(F.min("rep").alias("component"))
+    known = ws.write(known.join(names, "component_key").select("key", "rep", "component_key", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("links"), "component"), "known")
+    out = rows.join(known, (rows["key"] == known["key"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left").drop(known["key"])
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), "row", F.coalesce("component_key", "key").alias("component_key"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The document of smallest id of each component, with all its columns; of rows that repeat an id, one; rows without id stay."""
-    found = similar(docs, **options)
+    """One document of each component, with all its columns: that of the smallest id, and of rows that repeat it, the first.
+
+    Rows without id or without words stay. Where ids repeat, rows are told apart by their places in a written copy.
+    """
     ws = Workspace(docs.sparkSession, "jaccard-kept")
-    found = ws.write(found.select("doc_id", "component_id"), "found")
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
     names = docs.columns
     place = {c: f"_c{i}" for i, c in enumerate(names)}
     docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items()))
-    key = F.col(place["doc_id"])
-    kept = docs.join(ids.hint("shuffle_hash"), key.cast("long") == F.col("id"), "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([place["doc_id"]])
-    return kept.union(docs.where(key.isNull())).select(*(F.col(n).alias(c) for c, n in place.items()))
+    key = F.col(place["doc_id"]).cast("long")
+    repeated = not docs.where(key.isNotNull()).groupBy(key).count().where("count > 1").isEmpty()
+    docs = ws.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows") if repeated else docs.withColumn("_row", F.lit(0).cast("long"))
+    found = ws.write(_similar(docs.select(key.alias("doc_id"), F.col(place["text"]).alias("text"), "_row"), **options).where("doc_id = component_id"), "found")
+    if repeated:
+        with_words = found.where("n_shingles > 0").groupBy("component_key").agg(F.min("row").alias("id")).select("id")
+        ids = with_words.union(found.where("n_shingles = 0").select("row"))
+        kept = docs.join(ids.hint("shuffle_hash"), F.col("_row") == F.col("id"), "left_semi")
+    else:
+        kept = docs.join(found.select(F.col("doc_id").alias("id")).hint("shuffle_hash"), key == F.col("id"), "left_semi")
+    return kept.where(key.isNotNull()).union(docs.where(key.isNull())).select(*(F.col(n).alias(c) for c, n in place.items()))

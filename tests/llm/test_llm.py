@@ -599,8 +599,8 @@ def brute_similar(texts):
     return {i: (len(sets[i]), links[i], label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("tile,sent", [(128, 1_000_000), (2, 0)])
-def test_similar(spark, docs, tile, sent, monkeypatch):
+@pytest.mark.parametrize("tile,sent,hot,cell", [(128, 1_000_000, 200_000, 1024), (2, 0, 10, 3)])
+def test_similar(spark, docs, tile, sent, hot, cell, monkeypatch):
     from kindred.llm import jaccard
 
     monkeypatch.setattr(jaccard, "SENT", sent)
@@ -614,7 +614,7 @@ def test_similar(spark, docs, tile, sent, monkeypatch):
         extra.append(" ".join(t))
     texts = list(everything(docs).items()) + [(1000 + i, t) for i, t in enumerate(extra)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    got = by_id(jaccard.similar(df, tile=tile), "n_shingles", "n_similar", "component_id")
+    got = by_id(jaccard.similar(df, tile=tile, hot_rows=hot, cell=cell), "n_shingles", "n_similar", "component_id")
     want = brute_similar(texts)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
@@ -624,10 +624,18 @@ def test_deduplicate(awkward, empty, docs):
 
     want = {i for i, x in brute_similar(list(everything(docs).items())).items() if x[2] == i}
     assert {r["doc_id"] for r in jaccard.deduplicate(docs).collect()} == want
+    # Rows that share an id belong to the component of their own text each: brute force over rows, by id and then text.
+    given = [(r["doc_id"], r["text"] or "") for r in awkward.collect() if r["doc_id"] is not None]
+    found = brute_similar([((i, k), t) for k, (i, t) in enumerate(given)])
+    blank = {x for x, f in found.items() if not f[0]}
+    want = sorted((x[0], given[x[1]][1]) for x, f in found.items() if f[2] == x or x in blank)
     out = jaccard.deduplicate(awkward)
-    ids = [r["doc_id"] for r in out.collect()]
-    assert out.columns == awkward.columns and len(set(ids)) == len([i for i in ids if i is not None]) + 1 and ids.count(None) == 2
-    assert jaccard.similar(awkward).count() == awkward.count() and jaccard.deduplicate(empty).count() == 0
+    assert out.columns == awkward.columns and sorted((r["doc_id"], r["text"] or "") for r in out.collect() if r["doc_id"] is not None) == want
+    assert [i for i, _ in want].count(7) == 2 and sum(r["doc_id"] is None for r in out.collect()) == awkward.where("doc_id is null").count()
+    size = {t: f[0] for (_, k), f in found.items() for t in [given[k][1]]}
+    got = jaccard.similar(awkward).collect()
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] is not None) == sorted(size[t] for _, t in given) and len(got) == awkward.count()
+    assert all(r["n_similar"] == 0 for r in got if r["doc_id"] is None) and jaccard.deduplicate(empty).count() == 0
 
 
 def test_components(spark):
