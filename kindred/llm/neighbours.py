@@ -1,15 +1,18 @@
 r"""Near duplicates among vectors: NN-descent on a neighbour graph, kept down to the edges of a cosine threshold.
 
 Equal vectors are one class. First lists come from random-projection leaves: vectors with the same signs on random planes
-meet in blocks of bounded size. NN-descent then joins the neighbours of each vector's neighbours, both ways, only pairs
-with something new in them, and keeps the best per list; a hub's neighbours are met in salted groups. A list whose every
-entry reaches the threshold is saturated and is enlarged, doubling up to `most`. What is still saturated then lies in
-a dense part of the graph, whose links are counted in full by tiles of matrix products; counts leave a tile, not pairs.
-
-Recall is audited: a sample of vectors is compared with all, by brute force, and grows until `least` of its vectors have
-links or all vectors are in it. While the graph has fewer than `audit` of the true links, or of a linked vector's on
-average, further leaves and rounds follow; if the last batch still has fewer, all vectors are compared with all, and links
-are exact. Links that only the audit found are kept. The last audit is logged and kept in LAST_AUDIT.
+meet in blocks of bounded size. NN-descent then joins the neighbours of each vector's neighbours, both ways, where some of
+them are new, and keeps the best per list; a hub's neighbours are met in salted groups. A list holds the neighbours that may
+share a link with the vector (twice the threshold's angle away, at most) and in any case the best few. A list whose every
+entry reaches the threshold is saturated and is enlarged, doubling up to `most`. What is still saturated then lies in a dense
+part of the graph, whose links are counted in full by pairs of tiles: a pair that bounds on the angles put wholly inside or
+outside the threshold needs no vectors, the others a matrix product. Counts leave a tile, not pairs.
+
+Recall is audited twice. Probes are vectors made at known angles to some of the table's, which take part in the search:
+the share of them whose origin was found is measured however rare links are. And `sample` vectors are compared with all, by
+brute force. While the graph has fewer than `audit` of either, or of a linked vector's links on average, further leaves and
+rounds follow; if the last batch still has fewer, all vectors are compared with all, and links are exact. The last audit is
+logged and kept in LAST_AUDIT; without links in the sample its recall is not measured and not reported.
 
 Defined results: a vector that is null or zero, or holds null or non-finite components, links with nothing, and so does
 a row without id (not kept, without component); vectors link within their dimension; repeated rows are vectors each and link with
@@ -30,6 +33,8 @@ from kindred.llm.graph import connected_components
 from kindred.runtime import Workspace
 
 LAST_AUDIT: dict[str, float] = {}
+#: Neighbours that a list holds whatever their cosine.
+FEW = 4
 _log = logging.getLogger(__name__)
 _EDGES = "id long, nbr long, sim double"
 
@@ -47,23 +52,45 @@ def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.Table:
     return pa.table({"id": a, "nbr": b, "sim": s})
 
 
-def _planes(bits: int, seed: int):
-    """The leaf of each vector: signs on `bits` random planes."""
+def _probes(threshold: float):
+    """A vector at an angle within the threshold to each, named -1 - id."""
+
+    def run(batches):
+        for batch in batches:
+            ids, dims = batch.column("id").to_numpy(), batch.column("dim").to_numpy()
+            for d in np.unique(dims):
+                some = batch.filter(pa.array(dims == d))
+                mine, u = some.column("id").to_numpy(), _unit(some.column("vec"))
+                rng = np.random.default_rng([int(d), len(ids), int(mine[0])])
+                cos = threshold + (1 - threshold) * (0.02 + 0.48 * rng.random((len(mine), 1)))
+                r = rng.normal(size=u.shape)
+                r -= (r * u).sum(1, keepdims=True) * u
+                r /= np.linalg.norm(r, axis=1, keepdims=True)
+                v = cos * u + np.sqrt(1 - cos * cos) * r
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, int(d), dtype=np.int32)), pa.array(v.ravel())).cast(some.schema.field("vec").type)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - mine), vec, some.column("dim")], ["id", "vec", "dim"])
+
+    return run
+
+
+def _planes(bits: int, seeds: list[int]):
+    """The leaf of each vector in each tree: signs on `bits` random planes."""
 
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims):
                 some = batch.filter(pa.array(dims == d))
-                h = np.random.default_rng([seed, int(d)]).normal(size=(int(d), max(bits, 1)))
-                signs = (_unit(some.column("vec")) @ h > 0)[:, :bits]
-                leaf = signs @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(some.num_rows, np.int64)
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("vec"), some.column("dim"), pa.array(leaf.astype(np.int64))], ["id", "vec", "dim", "leaf"])
+                x = _unit(some.column("vec"))
+                for seed in seeds:
+                    h = np.random.default_rng([seed, int(d)]).normal(size=(int(d), max(bits, 1)))
+                    leaf = (x @ h > 0)[:, :bits] @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(some.num_rows, np.int64)
+                    yield pa.RecordBatch.from_arrays([some.column("id"), some.column("vec"), some.column("dim"), pa.array(leaf.astype(np.int64)), pa.array(np.full(some.num_rows, seed, np.int32))], ["id", "vec", "dim", "leaf", "tree"])
 
     return run
 
 
-def _leaf(size: int):
+def _leaf(size: int, floor: float):
     """The best neighbours of each vector within its block."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -77,45 +104,61 @@ def _leaf(size: int):
                 continue
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
             sim = np.take_along_axis(s, top, 1)
-            out.append((np.repeat(ids[at : at + len(s)], k), ids[top.ravel()], sim.ravel()))
+            order = np.argsort(-sim, axis=1)
+            top, sim = np.take_along_axis(top, order, 1), np.take_along_axis(sim, order, 1)
+            p, q = np.nonzero((sim >= floor) | (np.arange(k) < FEW)[None, :])
+            out.append((ids[at + p], ids[top[p, q]], sim[p, q]))
         return _edges(*(np.concatenate(x) for x in zip(*out))) if out else _edges(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     return run
 
 
-def _meet():
+def _meet(floor: float):
     """Pairs of a vector's neighbours, at least one of them new, that one of the two lists would take."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, x = np.asarray(table.column("nbr"), dtype=np.int64), _unit(table.column("vec"))
-        new, least = np.asarray(table.column("new"), dtype=bool), np.asarray(table.column("least"), dtype=np.float64)
+        new, least, best = (np.asarray(table.column(c)) for c in ("new", "least", "best"))
         s = x @ x.T
         i, j = np.triu_indices(len(ids), 1)
         v = s[i, j]
-        keep = (new[i] | new[j]) & ((v > least[i]) | (v > least[j]))
+        # A list takes what is better than its last entry, below the floor only what is among its best few.
+        take = lambda k: v > np.where(v >= floor, least[k], np.maximum(least[k], best[k]))
+        keep = (new[i] | new[j]) & (take(i) | take(j))
         i, j, v = i[keep], j[keep], v[keep]
         return _edges(np.concatenate([ids[i], ids[j]]), np.concatenate([ids[j], ids[i]]), np.concatenate([v, v]))
 
     return run
 
 
+def _ball(key: tuple, table: pa.Table) -> pa.Table:
+    """A tile's centre, the angle of its farthest vector, and its size."""
+    x = _unit(table.column("vec"))
+    c = x.sum(0)
+    n = np.linalg.norm(c)
+    c = c / n if n > 0 else x[0]
+    far = float(np.arccos(np.clip(x @ c, -1, 1)).max())
+    return pa.table({"component": [key[0].as_py()], "tile": pa.array([key[1].as_py()], pa.int32()), "center": pa.array([c.tolist()], pa.list_(pa.float64())), "radius": [far], "size": pa.array([len(x)], pa.int64()), "copies": pa.array([int(np.asarray(table.column("copies")).sum())], pa.int64())})
+
+
 def _count(threshold: float):
-    """Links of each vector within a tile pair, weighted by copies; a tile with itself counts each pair once per end."""
+    """Links of each vector within a tile pair, to classes and weighted by copies; a tile with itself counts each pair once per end."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, ta, tb = (k.as_py() for k in key)
         ids, x = np.asarray(table.column("id"), dtype=np.int64), _unit(table.column("vec"))
         tile, copies = np.asarray(table.column("tile"), dtype=np.int64), np.asarray(table.column("copies"), dtype=np.float64)
+        weights = np.column_stack([copies, np.ones(len(ids))])
         a, b = np.flatnonzero(tile == ta), np.flatnonzero(tile == tb)
-        links = np.zeros(len(ids))
+        links = np.zeros((len(ids), 2))
         for at in range(0, len(a), 512):
             some = a[at : at + 512]
             hit = x[some] @ x[b].T >= threshold
             hit[some[:, None] == b[None, :]] = False
-            links[some] += hit @ copies[b]
+            links[some] += hit @ weights[b]
             if ta != tb:
-                links[b] += copies[some] @ hit
-        return pa.table({"id": ids, "links": links.astype(np.int64)})
+                links[b] += hit.T @ weights[some]
+        return pa.table({"id": ids, "links": links[:, 0].astype(np.int64), "ends": links[:, 1].astype(np.int64)})
 
     return run
 
@@ -135,12 +178,13 @@ def _beside(batches, sent):
 
 
 def _truth(threshold: float, sent):
-    """All links of the vectors sent."""
+    """Numbers of the classes that the vectors sent link to."""
 
     def run(batches):
-        for ids, _, mine, s, other in _beside(batches, sent):
-            p, q = np.nonzero((s >= threshold) & other)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(mine[q])], ["id", "nbr"])
+        for ids, _, _, s, other in _beside(batches, sent):
+            n = ((s >= threshold) & other).sum(1)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64))], ["id", "true"])
 
     return run
 
@@ -176,152 +220,169 @@ def near_duplicates(
     size: int = 16,
     most: int = 64,
     leaf: int = 128,
-    trees: int = 4,
+    trees: int = 8,
     rounds: int = 3,
     audit: float = 0.98,
     sample: int = 1024,
-    least: int = 256,
+    probes: int = 1024,
     batches: int = 6,
-    tile: int = 512,
+    tile: int = 4096,
     block: int = 4096,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id its links reach, itself included), kept."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "neighbours")
-    v = F.col("embedding").cast("array<double>")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # shuffled as such, computed with as doubles
+    v = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    kind = "array<float>" if single else "array<double>"
     good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec"), F.coalesce(good, F.lit(False)).alias("good"))
     h1, h2 = F.xxhash64("vec"), F.xxhash64(F.lit(1), F.col("vec"))
     rows = ws.write(rows.withColumn("h1", h1).withColumn("h2", h2), "rows")
     dim = F.size("vec").alias("dim")
-    classes = rows.where("good").groupBy("h1", "h2", dim).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
-    # Rows that repeat an id with another vector make classes that share an id: these are told apart by a negative name.
-    classes = classes.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("h1", "h2")))
-    classes = ws.write(classes.withColumn("named", F.col("id")).withColumn("id", F.when(F.col("nth") == 1, F.col("id")).otherwise(F.bitwise_not(F.abs("h1")))).drop("nth"), "classes")
+    classes = rows.where("good").groupBy("h1", "h2", dim).agg(F.min("vec_id").alias("named"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    classes = ws.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    n = classes.count()
+    place = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 40))
+
+    def some(low: int, high: int) -> DataFrame:
+        """About high - low of the classes, always the same ones."""
+        at = lambda k: math.ceil((1 << 40) * min(1, k / max(n, 1)))
+        return classes.where((place >= at(low)) & (place < at(high)))
+
     points = classes.select("id", "vec", "dim")
-    n = points.count()
+    asked = ws.write(some(0, probes).where("dim > 1").select("id", "vec", "dim").mapInArrow(_probes(threshold), f"id long, vec {kind}, dim int"), "probes")
+    n_asked = asked.count()
+    searched = points.unionByName(asked)
     bits = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
+    floor = min(0.5, 2 * threshold * threshold - 1) if threshold > 0 else -1.0
 
-    def leaves(seed: int) -> DataFrame:
-        placed = points.mapInArrow(_planes(bits, seed), "id long, vec array<double>, dim int, leaf long")
-        sizes = placed.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts"))
-        blocks = placed.join(sizes, ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")))
-        return blocks.select("dim", "leaf", "part", "id", "vec").groupBy("dim", "leaf", "part").applyInArrow(_leaf(size), _EDGES)
+    def leaves(seeds: list[int]) -> DataFrame:
+        placed = searched.mapInArrow(_planes(bits, seeds), f"id long, vec {kind}, dim int, leaf long, tree int")
+        large = placed.groupBy("tree", "dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts")).where("parts > 1")
+        large = ws.write(large, f"large-{seeds[0]}")
+        part = F.pmod(F.xxhash64("id", "tree"), F.coalesce("parts", F.lit(1)))
+        blocks = placed.join(large, ["tree", "dim", "leaf"], "left").withColumn("part", part)
+        return blocks.select("tree", "dim", "leaf", "part", "id", "vec").groupBy("tree", "dim", "leaf", "part").applyInArrow(_leaf(size, floor), _EDGES)
 
     def lists(found: DataFrame, old: DataFrame | None) -> DataFrame:
         """The best of old and found per vector, as many as its list takes; a saturated list takes twice as many."""
         all_ = found.select("id", "nbr", "sim", F.lit(True).alias("new"), F.lit(size).alias("takes"))
         if old is not None:
             all_ = all_.unionByName(old.select("id", "nbr", "sim", F.lit(False).alias("new"), "takes"))
-        all_ = all_.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"), F.max("takes").alias("takes"))
+        all_ = all_.repartition("id").groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"), F.max("takes").alias("takes"))
         own = Window.partitionBy("id")
         all_ = all_.withColumn("takes", F.max("takes").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.col("sim").desc(), "nbr")))
-        all_ = all_.where(F.col("rank") <= most).withColumn("full", F.sum((F.col("sim") >= threshold).cast("int")).over(own))
+        all_ = all_.where((F.col("rank") <= most) & ((F.col("sim") >= floor) | (F.col("rank") <= FEW))).withColumn("full", F.sum((F.col("sim") >= threshold).cast("int")).over(own))
         all_ = all_.withColumn("takes", F.when(F.col("full") >= F.col("takes"), F.least(F.col("takes") * 2, F.lit(most))).otherwise(F.col("takes")))
-        return all_.where(F.col("rank") <= F.col("takes")).select("id", "nbr", "sim", "new", "takes", (F.col("full") >= most).alias("saturated"))
+        return all_.where(F.col("rank") <= F.col("takes")).select("id", "nbr", "sim", "new", "takes", "rank", (F.col("full") >= most).alias("saturated"))
 
     def descend(graph: DataFrame) -> DataFrame:
         """Candidates from the neighbours of all vectors' neighbours, forward and reverse."""
         both = graph.select("id", "nbr", "new").union(graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "new"))
-        both = both.groupBy("id", "nbr").agg(F.max("new").alias("new"))
-        both = both.withColumn("parts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("id")) / (2 * most))).withColumn("part", F.pmod(F.xxhash64("nbr", "id"), F.col("parts")))
-        worst = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= F.max("takes"), F.min("sim")).otherwise(F.lit(-1.0)).alias("least"))
-        ends = points.join(worst, "id").select(F.col("id").alias("nbr"), "vec", "least")
-        return both.join(ends, "nbr").select("id", "part", "nbr", "new", "vec", "least").groupBy("id", "part").applyInArrow(_meet(), _EDGES)
-
-    def linked(graph: DataFrame) -> DataFrame:
-        return graph.where(F.col("sim") >= threshold).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
-
-    span = 1 << 40
-    place = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(span))
+        both = both.repartition("id").groupBy("id", "nbr").agg(F.max("new").alias("new"))
+        own = Window.partitionBy("id")
+        # Vectors are attached where a pair can come of it: several neighbours, one of them new.
+        both = both.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("any", F.max("new").over(own)).where("any and n > 1")
+        both = both.withColumn("part", F.pmod(F.xxhash64("nbr", "id"), F.ceil(F.col("n") / (2 * most))))
+        full = F.count(F.lit(1)) >= F.max("takes")
+        worst = graph.groupBy("id").agg(F.when(full, F.min("sim")).otherwise(F.lit(-2.0)).alias("least"), F.coalesce(F.min(F.when(F.col("rank") == FEW, F.col("sim"))), F.lit(-2.0)).alias("best"))
+        ends = searched.join(worst, "id").select(F.col("id").alias("nbr"), "vec", "least", "best")
+        return both.join(ends, "nbr").select("id", "part", "nbr", "new", "vec", "least", "best").groupBy("id", "part").applyInArrow(_meet(floor), _EDGES)
 
     def beside(kernel, low: int, high: int, schema: str, name: str) -> DataFrame:
-        """What the kernel finds for the vectors of these places and all vectors."""
-        some = classes.where((place >= low) & (place < high)).select("id", "copies", "vec", "dim").toArrow().combine_chunks()
-        dims = some.column("dim").to_numpy()
-        parts = {int(d): some.filter(pa.array(dims == d)) for d in np.unique(dims)}
+        """What the kernel finds for some vectors and all."""
+        table = some(low, high).select("id", "copies", "vec", "dim").toArrow().combine_chunks()
+        dims = table.column("dim").to_numpy()
+        parts = {int(d): table.filter(pa.array(dims == d)) for d in np.unique(dims)}
         sent = {d: (np.asarray(t.column("id"), dtype=np.int64), np.asarray(t.column("copies"), dtype=np.float64), _unit(t.column("vec"))) for d, t in parts.items()}
         return ws.write(points.mapInArrow(kernel(threshold, spark.sparkContext.broadcast(sent)), schema), name)
 
-    # The audit's truth: true links of a sample that is drawn until enough of its vectors have some.
-    truth, drawn, linked_ends, step = None, 0, 0, math.ceil(span * min(1, sample / max(n, 1)))
-    while n and drawn < span and linked_ends < least:
-        high = min(span, drawn + step)
-        some = beside(_truth, drawn, high, "id long, nbr long", f"truth-{drawn}")
-        linked_ends += (ends_found := some.select("id").distinct().count())
-        if truth is None or ends_found:
-            truth = some if truth is None else truth.union(some)
-        drawn, step = high, max(1, min(2 * step, math.ceil(span * min(1, block / n))))
-
-    graph, edges, k, exact = None, None, 0, False
-    for batch in range(batches):
-        found = None
-        for t in range(trees):
-            one = leaves(batch * trees + t)
-            found = one if found is None else found.unionByName(one)
-        graph = ws.write(lists(found, graph), f"graph-{k}")
-        for r in range(rounds):
+    def counted(edges: DataFrame, components: DataFrame, graph: DataFrame, name: str) -> DataFrame:
+        """id, links (with copies), ends (classes): in full inside dense parts, from the graph elsewhere."""
+        copies = classes.select("id", "copies")
+        both = edges.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(edges.select("b", "a"))
+        each = (F.sum("copies").cast("long").alias("links"), F.count(F.lit(1)).alias("ends"))
+        dense = graph.where("saturated and id >= 0").select(F.col("id").alias("node")).distinct().join(components, "node").select("component").distinct()
+        members = ws.write(components.join(dense, "component", "left_semi"), f"members-{name}")
+        if members.isEmpty():
+            return ws.write(both.join(copies.withColumnRenamed("id", "nbr"), "nbr").groupBy("id").agg(*each), name)
+        both = both.join(members.select(F.col("node").alias("id")), "id", "left_anti")
+        plain = both.join(copies.withColumnRenamed("id", "nbr"), "nbr").groupBy("id").agg(*each)
+        tiles = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+        held = members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumnRenamed("node", "id").drop("tiles")
+        held = ws.write(held.join(classes.select("id", "vec", "copies"), "id"), f"held-{name}")
+        balls = ws.write(held.select("component", "tile", "vec", "copies").groupBy("component", "tile").applyInArrow(_ball, "component long, tile int, center array<double>, radius double, size long, copies long"), f"balls-{name}")
+        a, b = (balls.select("component", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "center", "radius", "size", "copies"))) for s in "ab")
+        dot = F.aggregate(F.zip_with("center_a", "center_b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+        angle = F.when(F.col("tile_a") == F.col("tile_b"), 0.0).otherwise(F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))))
+        limit, reach = math.acos(threshold), F.col("radius_a") + F.col("radius_b")
+        pairs = a.join(b, "component").where("tile_a <= tile_b").withColumn("angle", angle)
+        pairs = pairs.withColumn("inside", F.col("angle") + reach <= limit - 1e-6).where(F.col("inside") | (F.col("angle") - reach <= limit + 1e-6)).drop("center_a", "center_b")
+        pairs = ws.write(pairs, f"pairs-{name}")
+        # Of a tile wholly inside another's reach every vector is linked; with itself all but the vector and its copies.
+        inside = pairs.where("inside")
+        full = inside.select("component", F.col("tile_a").alias("tile"), F.col("copies_b").alias("links"), F.col("size_b").alias("ends"), (F.col("tile_a") == F.col("tile_b")).cast("int").alias("self"))
+        full = full.union(inside.where("tile_a < tile_b").select("component", "tile_b", "copies_a", "size_a", F.lit(0)))
+        full = full.groupBy("component", "tile").agg(*(F.sum(c).alias(c) for c in ("links", "ends", "self")))
+        whole = held.select("component", "tile", "id", F.col("copies").alias("own")).join(full, ["component", "tile"]).select("id", (F.col("links") - F.col("self") * F.col("own")).cast("long").alias("links"), (F.col("ends") - F.col("self")).cast("long").alias("ends"))
+        open_ = pairs.where("not inside").select("component", F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb"))
+        goes = open_.select("component", "ta", "tb", F.col("ta").alias("tile")).union(open_.where("ta < tb").select("component", "ta", "tb", "tb"))
+        met = held.join(goes, ["component", "tile"]).select("component", "ta", "tb", "id", "vec", "tile", "copies")
+        met = met.groupBy("component", "ta", "tb").applyInArrow(_count(threshold), "id long, links long, ends long")
+        within = whole.union(met).groupBy("id").agg(F.sum("links").alias("links"), F.sum("ends").alias("ends"))
+        return ws.write(within.union(plain), name)
+
+    truth = ws.write(beside(_truth, 0, sample, "id long, true long", "truth").groupBy("id").agg(F.sum("true").alias("true")), "true")
+    graph, k, exact = None, 0, False
+    LAST_AUDIT.clear()
+    for batch in range(batches if n else 1):
+        graph = ws.write(lists(leaves([batch * trees + t for t in range(trees)]), graph), f"graph-{k}")
+        for _ in range(rounds):
             k += 1
             graph = ws.write(lists(descend(graph), graph), f"graph-{k}")
             ws.drop(f"graph-{k - 1}")
-            if graph.where("new").isEmpty():
+            if graph.where("new and sim >= %r" % floor).isEmpty():
                 break
         k += 1
-        edges = ws.write(linked(graph), f"edges-{batch}")
+        met = graph.where(F.col("sim") >= threshold)
+        # Where a probe or its origin has a saturated list, links are counted in full and no single edge is needed.
+        probe, ends = F.least("id", "nbr"), asked.select(F.col("id").alias("probe"), F.explode(F.array("id", -1 - F.col("id"))).alias("id"))
+        seen = met.where((probe < 0) & (F.greatest("id", "nbr") == -1 - probe)).select(probe.alias("probe"), F.lit(1).alias("found"), F.lit(0).alias("dense"))
+        full = graph.where("saturated").select("id").distinct().join(F.broadcast(ends), "id").select("probe", F.lit(0).alias("found"), F.lit(1).alias("dense"))
+        dense, have = seen.union(full).groupBy("probe").agg(F.max("found").alias("found"), F.max("dense").alias("dense")).agg(F.coalesce(F.sum("dense"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("dense") == 0, 1)), F.lit(0))).first()
+        measured = n_asked - dense
+        LAST_AUDIT.update(probes=float(measured), probe_recall=have / max(measured, 1), batches=batch + 1.0, exact=0.0)
+        exact = have < audit * measured
+        if exact and batch < batches - 1:
+            continue
+        edges = met.where("id >= 0 and nbr >= 0").select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+        edges = ws.write(edges, f"edges-{batch}")
         components = connected_components(ws, edges, f"components-{batch}")
-        if truth is None:
-            break
-        # Within a dense part all links are counted in full, so a true link is found if it is an edge or both ends lie there.
-        dense = graph.where("saturated").select(F.col("id").alias("node")).distinct().join(components, "node").select("component").distinct()
-        dense = ws.write(dense, f"dense-{batch}")
-        inside = components.join(dense, "component", "left_semi")
-        ends = truth.withColumn("a", F.least("id", "nbr")).withColumn("b", F.greatest("id", "nbr"))
-        ends = ends.join(edges.withColumn("edge", F.lit(1)), ["a", "b"], "left")
-        ends = ends.join(inside.select(F.col("node").alias("id"), F.col("component").alias("x")), "id", "left").join(inside.select(F.col("node").alias("nbr"), F.col("component").alias("y")), "nbr", "left")
-        ends = ends.select("id", ((F.col("edge") == 1) | F.coalesce(F.col("x") == F.col("y"), F.lit(False))).cast("int").alias("found"))
-        each = ends.groupBy("id").agg(F.count(F.lit(1)).alias("true"), F.coalesce(F.sum("found"), F.lit(0)).alias("have"))
-        true, have, mean = each.agg(F.coalesce(F.sum("true"), F.lit(0)), F.coalesce(F.sum("have"), F.lit(0)), F.coalesce(F.avg(F.col("have") / F.col("true")), F.lit(1.0))).first()
-        LAST_AUDIT.update(recall=have / true if true else 1.0, mean_recall=mean, links=float(true), linked=float(linked_ends), batches=batch + 1.0, exact=0.0)
-        _log.info("audit: %d of %d links of the sample found after %d batches, %.4f of a vector's on average", have, true, batch + 1, mean)
-        exact = have < audit * true or mean < audit
-        if batch and (drawn >= span or not exact):
+        links = counted(edges, components, graph, f"links-{batch}")
+        each = truth.join(links, "id", "left").select("true", F.coalesce("ends", F.lit(0)).alias("ends"))
+        true, ends, mean = each.agg(F.coalesce(F.sum("true"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0)), F.avg(F.col("ends") / F.col("true"))).first()
+        if true:
+            LAST_AUDIT.update(recall=ends / true, mean_recall=mean, links=float(true))
+            exact = exact or ends < audit * true or mean < audit
+        _log.info("audit after %d batches: %s", batch + 1, LAST_AUDIT)
+        if not exact:
             break
-    if truth is not None and drawn >= span:  # the sample is the whole table, and the truth all links
-        exact = False
     if exact:
         LAST_AUDIT.update(exact=1.0)
         _log.warning("audit: below %.3f after the last batch; all vectors are compared with all", audit)
-        step, parts = math.ceil(span * min(1, block / n)), None
-        for low in range(0, span, step):
-            some = beside(_exact, low, min(span, low + step), "id long, nbr long, links long", f"exact-{low}")
-            parts = some if parts is None else parts.union(some)
+        parts = None
+        for low in range(0, n, block):
+            one = beside(_exact, low, low + block, "id long, nbr long, links long", f"exact-{low}")
+            parts = one if parts is None else parts.union(one)
         edges = parts.where("id <> nbr").select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
-        edges = ws.write(edges, "edges-exact")
-        components = connected_components(ws, edges, "components-exact")
-        dense = dense.limit(0)
-    elif truth is not None and have < true:
-        edges = ws.write(edges.union(truth.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"))).distinct(), "edges-all")
-        components = connected_components(ws, edges, "components-all")
-        dense = graph.where("saturated").select(F.col("id").alias("node")).distinct().join(components, "node").select("component").distinct()
-
-    # Links: counted in full inside dense parts, from the graph elsewhere.
-    copies = classes.select("id", "copies")
-    members = ws.write(components.join(dense, "component", "left_semi") if truth is not None else components.limit(0), "members")
-    tiles = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    held = members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumnRenamed("node", "id")
-    held = held.join(classes.select("id", "vec", "copies"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    held = held.select("component", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "id", "vec", "tile", "copies")
-    counted = held.groupBy("component", "ta", "tb").applyInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("nbr")).union(edges.select("b", "a"))
-    ends = ends.join(members.select(F.col("node").alias("id")), "id", "left_anti")
-    plain = ends.join(copies.select(F.col("id").alias("nbr"), "copies"), "nbr").groupBy("id").agg(F.sum("copies").alias("links"))
-    found = parts.groupBy("id").agg(F.sum("links").alias("links")) if exact else counted.union(plain)
-    links = ws.write(found, "links")
+        components = connected_components(ws, ws.write(edges, "edges-exact"), "components-exact")
+        links = ws.write(parts.groupBy("id").agg(F.sum("links").alias("links")), "links-exact")
 
     named = classes.select(F.col("id").alias("node"), "named")
     smallest = components.join(named, "node").groupBy("component").agg(F.min("named").alias("component_id"))
     of = components.join(smallest, "component").select(F.col("node").alias("id"), "component_id")
-    known = classes.drop("vec").join(links, "id", "left").join(of, "id", "left")
+    known = classes.drop("vec").join(links.select("id", "links"), "id", "left").join(of, "id", "left")
     known = ws.write(known.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "named").alias("component_id")).where("links > 0"), "known")
     slim = rows.select("vec_id", "good", F.when(F.col("good"), F.col("h1")).alias("h1"), F.when(F.col("good"), F.col("h2")).alias("h2"))
     out = slim.join(known, ["h1", "h2"], "left")
