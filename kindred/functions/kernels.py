@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 OFFSET, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 MERSENNE = np.uint64(2**61 - 1)
@@ -23,16 +24,23 @@ def _fold(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
     """FNV-1a over the UTF-8 bytes of one more code point each."""
     if not len(cp):
         return h
-    if cp.max() < 0x80:
-        return (h ^ cp.astype(np.uint64)) * PRIME
-    cp = cp.astype(np.uint64)
-    two, three, four = cp >= 0x80, cp >= 0x800, cp >= 0x10000
+    out = (h ^ cp.astype(np.uint64)) * PRIME
+    wide = np.flatnonzero(cp >= 0x80)
+    if len(wide):
+        out[wide] = _fold_wide(h[wide], cp[wide].astype(np.uint64))
+    return out
+
+
+def _fold_wide(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
+    """The same for code points of two to four bytes."""
+    three, four = cp >= 0x800, cp >= 0x10000
     six = np.uint64(0x3F)
-    lead = np.where(four, 0xF0 | cp >> np.uint64(18), np.where(three, 0xE0 | cp >> np.uint64(12), np.where(two, 0xC0 | cp >> np.uint64(6), cp)))
+    lead = np.where(four, 0xF0 | cp >> np.uint64(18), np.where(three, 0xE0 | cp >> np.uint64(12), 0xC0 | cp >> np.uint64(6)))
     h = (h ^ lead) * PRIME
-    for shift, has in ((12, four), (6, three), (0, two)):
-        h = np.where(has, (h ^ (np.uint64(0x80) | (cp >> np.uint64(shift)) & six)) * PRIME, h)
-    return h
+    for shift, has in ((12, four), (6, three)):
+        if has.any():
+            h = np.where(has, (h ^ (np.uint64(0x80) | (cp >> np.uint64(shift)) & six)) * PRIME, h)
+    return (h ^ (np.uint64(0x80) | cp & six)) * PRIME
 
 
 def fnv1a(texts: Sequence[str]) -> np.ndarray:
@@ -52,22 +60,26 @@ def shingle_hashes(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndar
         raise ValueError("a shingle has at least one character")
     cp, lengths = code_points(texts)
     counts = np.where(lengths >= size, lengths - size + 1, 1)
-    starts = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(texts)), counts)
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
-    h = np.full(len(owner), OFFSET)
-    whole = (lengths >= size)[owner]
-    if whole.all():
-        for k in range(size):
-            h = _fold(h, cp[at + k])
-    else:
-        inside = at[whole]
-        some = h[whole]
-        for k in range(size):
-            some = _fold(some, cp[inside + k])
-        h[whole] = some
-        h[~whole] = fnv1a([texts[i] for i in owner[~whole]])
-    return h, counts
+    total = len(cp) - size + 1
+    # All windows of the texts in a row, without a gather; those that begin in the last size - 1 characters of a text go.
+    h = np.full(max(total, 0), OFFSET)
+    for k in range(size if total > 0 else 0):
+        h = _fold(h, cp[k : k + total])
+    short = lengths < size
+    ends = np.cumsum(lengths)
+    inside = np.ones(max(total, 0), bool)
+    for k in range(1, size):
+        at = ends[(ends >= k) & (lengths >= k)] - k
+        inside[at[at < total]] = False
+    if not short.any():
+        return h[inside], counts
+    starts = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.uint64)
+    one = np.zeros(len(out), bool)
+    one[starts[short]] = True
+    out[~one] = h[inside]
+    out[one] = fnv1a([texts[i] for i in np.flatnonzero(short)])
+    return out, counts
 
 
 def minhash_coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,22 +92,58 @@ def minhash(texts: Sequence[str], size: int = 3, k: int = 128) -> np.ndarray:
     if k < 1:
         raise ValueError("a signature has at least one hash")
     h, counts = shingle_hashes(texts, size)
-    starts = np.cumsum(counts) - counts
+    ends = np.cumsum(counts)
+    starts = ends - counts
     a, b = minhash_coefficients(k)
     out = np.empty((len(texts), k), np.int64)
-    for i in range(k):
-        out[:, i] = np.minimum.reduceat((a[i] * h + b[i]) % MERSENNE, starts).astype(np.int64) if len(texts) else 0
+    at = 0
+    while at < len(texts):  # some windows at a time, which stay in the cache for all k hashes
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + 40_000, side="right")))
+        some, first = h[starts[at] : ends[stop - 1]], starts[at:stop] - starts[at]
+        for i in range(k):
+            x = a[i] * some + b[i]
+            x = (x & MERSENNE) + (x >> np.uint64(61))  # less than twice the modulus
+            out[at:stop, i] = np.minimum.reduceat(np.minimum(x, x - MERSENNE), first)
+        at = stop
     return out
 
 
+#: The bits of a byte, each in a byte of its own.
+_SPREAD = np.array([sum(((x >> i) & 1) << (8 * i) for i in range(8)) for x in range(256)], dtype=np.uint64)
+
+
+def rows(matrix: np.ndarray) -> pa.Array:
+    """A matrix as an array of lists."""
+    n, k = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, max(k, 1), dtype=np.int32)), pa.array(matrix.ravel()))
+
+
 def simhash(texts: Sequence[str], size: int = 4) -> np.ndarray:
-    """Fingerprints as signed 64-bit values; a tied bit is 0."""
+    """Fingerprints as signed 64-bit values; a tied bit is 0.
+
+    Eight bits are counted at once, in the bytes of one word, over runs of up to 255 windows.
+    """
+    out, at = [np.zeros(0, np.int64)], 0
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    while at < len(texts):  # some texts at a time, which stay in the cache
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 30_000, side="right")))
+        out.append(_simhash(texts[at:stop], size))
+        at = stop
+    return np.concatenate(out)
+
+
+def _simhash(texts: Sequence[str], size: int) -> np.ndarray:
     h, counts = shingle_hashes(texts, size)
-    starts = np.cumsum(counts) - counts
+    runs = (counts + 254) // 255
+    first = np.cumsum(runs) - runs
+    owner = np.repeat(np.arange(len(counts)), runs)
+    begins = (np.cumsum(counts) - counts)[owner] + 255 * (np.arange(len(owner)) - first[owner])
     out = np.zeros(len(texts), np.uint64)
-    for i in range(64 if len(texts) else 0):
-        ones = np.add.reduceat((h >> np.uint64(i)) & np.uint64(1), starts).astype(np.int64)
-        out |= (2 * ones > counts).astype(np.uint64) << np.uint64(i)
+    parts = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+    for j in range(8):  # little-endian: byte j holds the bits from 8 * j on
+        sums = np.add.reduceat(_SPREAD[parts[:, j]], begins).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        ones = np.add.reduceat(sums, first, axis=0)
+        out |= ((2 * ones > counts[:, None]).astype(np.uint64) << np.arange(8 * j, 8 * j + 8, dtype=np.uint64)).sum(1, dtype=np.uint64)
     return out.view(np.int64)
 
 
@@ -169,26 +217,44 @@ def jaro_winkler(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return score + prefix * 0.1 * (1.0 - score)
 
 
-def bm25_pair(a: Sequence[str], b: Sequence[str], k1: float = 1.2, length_weight: float = 0.75) -> float:
+def _counts(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of rows of two token lists: lengths, and per distinct token of a row its row, its count there and on the other side."""
+    la, lb = (np.asarray(pc.fill_null(pc.list_value_length(x), 0), dtype=np.int64) for x in (a, b))
+    codes = np.asarray(pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices, dtype=np.int64)
+    span = int(codes.max(initial=0)) + 1
+    ka, na = np.unique(np.repeat(np.arange(len(la)), la) * span + codes[: la.sum()], return_counts=True)
+    kb, nb = np.unique(np.repeat(np.arange(len(lb)), lb) * span + codes[la.sum() :], return_counts=True)
+
+    def beside(k: np.ndarray, others: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(others, k), max(len(others) - 1, 0))
+        return np.where(others[at] == k, n[at], 0) if len(others) else np.zeros(len(k), np.int64)
+
+    return la, lb, ka // span, na, beside(ka, kb, nb), kb // span, nb, beside(kb, ka, na)
+
+
+def bm25_pairs(a: pa.Array, b: pa.Array, k1: float = 1.2, length_weight: float = 0.75) -> np.ndarray:
     """Tokens of a as the query over the two documents: b's score over the larger one; 0 if none is positive."""
-    fa, fb = Counter(a), Counter(b)
-    mean = (len(a) + len(b)) / 2.0
+    la, lb, row, n, other, *_ = _counts(a, b)
+    mean = np.maximum((la + lb) / 2.0, 0.5)
+    idf = np.where(other > 0, math.log(1.2), math.log(2.0))
 
-    def total(tf: Counter, size: int) -> float:
-        norm = k1 * (1 - length_weight + length_weight * size / mean) if mean else 0.0
-        return sum(n * (math.log(1.2) if t in fb else math.log(2.0)) * tf[t] * (k1 + 1) / (tf[t] + norm) for t, n in fa.items() if t in tf)
+    def total(tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        norm = (k1 * (1 - length_weight + length_weight * size / mean))[row]
+        return np.bincount(row, np.where(tf > 0, n * idf * tf * (k1 + 1) / (tf + norm), 0.0), len(la))
 
-    other = total(fb, len(b))
-    top = max(total(fa, len(a)), other, 0.0)
-    return other / top if top > 0 else 0.0
+    sb = total(other, lb)
+    top = np.maximum(total(n, la), sb)
+    return np.where(top > 0, sb / np.where(top > 0, top, 1.0), 0.0)
 
 
-def tfidf_pair(a: Sequence[str], b: Sequence[str]) -> float:
+def tfidf_pairs(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Cosine of the two documents' weights; 1 for two empty ones, 0 for one."""
-    if not a or not b:
-        return 1.0 if not a and not b else 0.0
-    fa, fb = Counter(a), Counter(b)
+    la, lb, row, n, other, row_b, n_b, other_b = _counts(a, b)
     alone = math.log(1.5) + 1.0
-    dot = float(sum(n * fb[t] for t, n in fa.items() if t in fb))
-    sizes = [math.sqrt(sum((n * (1.0 if t in other else alone)) ** 2 for t, n in own.items())) for own, other in ((fa, fb), (fb, fa))]
-    return dot / (sizes[0] * sizes[1])
+
+    def size(row: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.bincount(row, (n * np.where(other > 0, 1.0, alone)) ** 2, len(la)))
+
+    dot = np.bincount(row, n * other.astype(np.float64), len(la))
+    norm = size(row, n, other) * size(row_b, n_b, other_b)
+    return np.where(norm > 0, dot / np.where(norm > 0, norm, 1.0), ((la == 0) & (lb == 0)).astype(np.float64))

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,23 +113,35 @@ def jaccard_word_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 
 def _present(kernel: Callable, kind: str, count: int = 2):
-    """An Arrow UDF of a kernel that sees only rows without NULL."""
+    """An Arrow UDF of a kernel that sees only rows without NULL: lists of strings in, one array out."""
 
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        has = a.notna() & b.notna()
-        out = pd.Series([None] * len(a), dtype=object)
-        if has.any():
-            out[has.to_numpy()] = list(kernel(a[has].tolist(), b[has].tolist()))
-        return out
+    def run(*columns: pa.Array) -> pa.Array:
+        has = columns[0].is_valid()
+        for c in columns[1:]:
+            has = pc.and_(has, c.is_valid())
+        some = [c.filter(has).to_pylist() for c in columns]
+        out = kernel(*some) if some[0] else []
+        return _placed(out if isinstance(out, pa.Array) else pa.array(out, to_arrow_type(kind)), has)
 
-    def one(a: pd.Series) -> pd.Series:
-        has = a.notna()
-        out = pd.Series([None] * len(a), dtype=object)
-        if has.any():
-            out[has.to_numpy()] = pd.Series(list(kernel(a[has].tolist())), dtype=object).values
-        return out
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return run(a, b)
 
-    return F.pandas_udf(two if count == 2 else one, kind)
+    def one(a: pa.Array) -> pa.Array:
+        return run(a)
+
+    return F.arrow_udf(two if count == 2 else one, kind)
+
+
+def to_arrow_type(kind: str) -> pa.DataType:
+    return {"double": pa.float64(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "string": pa.string()}[kind]
+
+
+def _placed(values: pa.Array, has: pa.Array) -> pa.Array:
+    """The values at the rows that has marks, NULL elsewhere."""
+    if len(values) == len(has):
+        return values
+    where = np.asarray(has)
+    return values.take(pa.array(np.cumsum(where) - 1, mask=~where))
 
 
 def jaro_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -147,7 +161,7 @@ def fnv1a(s: ColumnOrName) -> Column:
     """64-bit FNV-1a of the UTF-8 bytes, as a signed long."""
     from kindred.functions import kernels
 
-    return _present(lambda x: kernels.fnv1a(x).view("int64").tolist(), "long", 1)(_c(s))
+    return _present(lambda x: kernels.fnv1a(x).view("int64"), "long", 1)(_c(s))
 
 
 def minhash_signature(s: ColumnOrName, shingle: int = 3, hashes: int = 128) -> Column:
@@ -155,7 +169,7 @@ def minhash_signature(s: ColumnOrName, shingle: int = 3, hashes: int = 128) -> C
 
     if shingle < 1 or hashes < 1:
         raise ValueError("shingle and hashes must be at least 1")
-    return _present(lambda x: kernels.minhash(x, shingle, hashes).tolist(), "array<long>", 1)(_c(s))
+    return _present(lambda x: kernels.rows(kernels.minhash(x, shingle, hashes)), "array<long>", 1)(_c(s))
 
 
 def signature_similarity(x: ColumnOrName, y: ColumnOrName) -> Column:
@@ -175,7 +189,7 @@ def simhash_fingerprint(s: ColumnOrName, shingle: int = 4) -> Column:
 
     if shingle < 1:
         raise ValueError("shingle must be at least 1")
-    return _present(lambda x: kernels.simhash(x, shingle).tolist(), "long", 1)(_c(s))
+    return _present(lambda x: kernels.simhash(x, shingle), "long", 1)(_c(s))
 
 
 def fingerprint_distance(x: ColumnOrName, y: ColumnOrName) -> Column:
@@ -193,16 +207,19 @@ def simhash_similarity(a: ColumnOrName, b: ColumnOrName, shingle: int = 4) -> Co
 def _of_tokens(name: str):
     from kindred.functions import kernels
 
-    pair = getattr(kernels, name)
-    return _present(lambda x, y: [pair(list(p), list(q)) for p, q in zip(x, y)], "double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        has = pc.and_(x.is_valid(), y.is_valid())
+        return _placed(pa.array(getattr(kernels, name)(x.filter(has), y.filter(has))), has)
+
+    return F.arrow_udf(run, "double")
 
 
 def bm25_tokens(x: Column, y: Column) -> Column:
-    return _of_tokens("bm25_pair")(x, y)
+    return _of_tokens("bm25_pairs")(x, y)
 
 
 def tfidf_tokens(x: Column, y: Column) -> Column:
-    return _of_tokens("tfidf_pair")(x, y)
+    return _of_tokens("tfidf_pairs")(x, y)
 
 
 def bm25_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:

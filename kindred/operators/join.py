@@ -1,22 +1,28 @@
-"""Threshold similarity joins with lossless blocking: candidates by equi-joins, then exact scores.
+"""Threshold similarity joins with lossless blocking: candidates by equi-joins on small keys, then exact scores.
 
-Texts are joined once per distinct value and spread to their ids at the end. Each algorithm has keys such that two texts
-above the threshold share at least one: segments of an edit-distance partition, positions, rare-first prefixes of gram,
-word or character sets, or bands of signatures.
+Texts are one row per distinct value, named by a number; only names, keys and fingerprints are joined, candidates are made
+distinct by names, and texts (or what an algorithm prepares of them) are attached once per pair to be scored. Each algorithm
+has keys such that two texts above the threshold share at least one: segments of an edit-distance partition, positions,
+rare-first prefixes of gram, word or character sets or of weighted tokens, or bands of signatures.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions import text as T
 from kindred.plans import algorithms as A
 from kindred.plans.algorithms import Algorithm
+from kindred.runtime import Workspace
 
 SLACK = 1e-9
+#: Pairs of up to so many edits are found by segments, others by their grams.
+EDITS = 6
 
 
 def similarity_join(df: DataFrame, algorithm: str | Algorithm, threshold: float, *, key: str = "id", text: str = "text", other: DataFrame | None = None, strict: bool = True) -> DataFrame:
@@ -28,130 +34,248 @@ def similarity_join(df: DataFrame, algorithm: str | Algorithm, threshold: float,
         raise ValueError("a threshold is from 0 to 1")
     algorithm = A.by_name(algorithm)
     itself = other is None
-    left = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
-    right = left if itself else other.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
-    values = left.select("text").union(right.select("text")).distinct() if not itself else left.select("text").distinct()
-    values = values.withColumn("p", algorithm.prepare(F.col("text")))
-    candidates = _candidates(values, algorithm, threshold)
-    score = algorithm.compare(F.col("p_a"), F.col("p_b"))
+    ws = Workspace(df.sparkSession, "simjoin")
+    h = (F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+
+    def side(frame: DataFrame) -> DataFrame:
+        return frame.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null and id is not null").select("id", "text", *h)
+
+    left = side(df)
+    right = left if itself else side(other)
+    every = left if itself else left.unionByName(right)
+    values = every.groupBy("h1", "h2").agg(F.first("text").alias("text")).select("h1", "h2", "text", algorithm.prepare(F.col("text")).alias("p"))
     enough = F.col("score") > threshold if strict else F.col("score") >= threshold
-    scored = candidates.withColumn("score", score).where(enough).select("text_a", "text_b", "score")
-    same = values.withColumn("score", algorithm.compare(F.col("p"), F.col("p"))).where(enough).select(F.col("text").alias("text_a"), F.col("text").alias("text_b"), "score")
-    if algorithm is A.BM25:  # the one that is not symmetric
-        back = candidates.withColumn("score", algorithm.compare(F.col("p_b"), F.col("p_a"))).where(enough).select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "score")
-    else:
-        back = scored.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "score")
-    pairs = scored.union(back).union(same)
-    x = left.select(F.col("id").alias("index_a"), F.col("text").alias("text_a"))
-    y = right.select(F.col("id").alias("index_b"), F.col("text").alias("text_b"))
-    out = pairs.join(x, "text_a").join(y, "text_b")
-    return (out.where("index_a < index_b") if itself else out).select("index_a", "index_b", "score")
 
+    def spread(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs of names, in either order, as pairs of ids."""
+        ids = [frame.select("id", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(f"index_{s}"), F.col(name).alias(f"{name}_{s}")) for frame, s in ((left, "a"), (right, "b"))]
+        out = pairs.join(ids[0], f"{name}_a").join(ids[1], f"{name}_b")
+        return (out.where("index_a < index_b") if itself else out).select("index_a", "index_b", "score")
+
+    def both(scored: DataFrame, name: str) -> DataFrame:
+        return scored.union(scored.select(F.col(f"{name}_b").alias(f"{name}_a"), F.col(f"{name}_a").alias(f"{name}_b"), "score"))
 
-def _candidates(values: DataFrame, algorithm: Algorithm, t: float) -> DataFrame:
-    """Pairs of distinct texts, text_a < text_b, with their prepared values: at least all that score t or more."""
+    if algorithm.name == "simhash":  # fingerprints say all
+        named = ws.write(values.select("h1", "h2", F.col("p").alias("f")), "values")
+        scored = _near(named.select("f").distinct(), threshold, strict)
+        same = named.select(F.col("f").alias("f_a"), F.col("f").alias("f_b"), F.lit(1.0).alias("score")).distinct().where(enough)
+        return spread(both(ws.write(scored, "scored"), "f").union(same), "f")
+
+    values = ws.write(values.withColumn("t", F.monotonically_increasing_id()), "values")
+    named = values.select("h1", "h2", "t")
+    candidates, directed = _candidates(values, algorithm, threshold, strict)
+    a, b = (values.select(*(F.col(c).alias(f"{c}_{s}") for c in ("t", "p"))) for s in "ab")
+    pairs = candidates.distinct().join(a, "t_a").join(b, "t_b")
+    if algorithm.name == "levenshtein":
+        longest = F.greatest(F.char_length("p_a"), F.char_length("p_b"))
+        bound = F.floor((1 - threshold) * longest + SLACK).cast("int")
+        # Spark's banded distance gives -1 beyond the bound.
+        pairs = pairs.withColumn("bound", bound).where((F.abs(F.char_length("p_a") - F.char_length("p_b")) <= F.col("bound")) & (F.expr("levenshtein(p_a, p_b, bound)") >= 0))
+    scored = ws.write(pairs.select("t_a", "t_b", algorithm.compare(F.col("p_a"), F.col("p_b")).alias("score")).where(enough), "scored")
+    same = values.select(F.col("t").alias("t_a"), F.col("t").alias("t_b"), algorithm.compare(F.col("p"), F.col("p")).alias("score")).where(enough)
+    return spread((scored if directed else both(scored, "t")).union(same), "t")
+
+
+def _candidates(values: DataFrame, algorithm: Algorithm, t: float, strict: bool) -> tuple[DataFrame, bool]:
+    """Pairs (t_a, t_b) of names: at least all that score t or more, t_a < t_b, or, if directed, in the order they are scored."""
     name = algorithm.name
+    if t <= 0 and not strict:
+        every = _everything(values)
+        return (every.union(every.select(F.col("t_b").alias("t_a"), F.col("t_a").alias("t_b"))), True) if name == "bm25" else (every, False)
     if name == "levenshtein":
-        keyed = _edit_keys(values, t)
-        longest = F.greatest(F.char_length("text_a"), F.char_length("text_b"))
-        bound = F.floor((1 - t) * longest + SLACK).cast("int")
-        return _pairs(keyed).where((F.abs(F.char_length("text_a") - F.char_length("text_b")) <= bound) & (F.expr("levenshtein(text_a, text_b, cast(floor((1 - %r) * greatest(char_length(text_a), char_length(text_b)) + %r) as int))" % (t, SLACK)) >= 0))
+        return (_edits(values, t), False) if t > 0 else (_everything(values), False)
     if name == "hamming":
         size = F.char_length("text")
         parts = F.floor((1 - t) * size + SLACK).cast("int") + 1
-        cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(size.alias("n"), i.alias("i"), F.substring(F.col("text"), (F.floor(i * size / parts) + 1).cast("int"), (F.floor((i + 1) * size / parts) - F.floor(i * size / parts)).cast("int")).alias("s")))
-        return _pairs(values.withColumn("key", F.explode(cut)))
+        cut = F.transform(F.sequence(F.lit(0), F.least(parts, F.greatest(size, F.lit(1))) - 1), lambda i: F.xxhash64(size, i, F.substring(F.col("text"), (F.floor(i * size / parts) + 1).cast("int"), (F.floor((i + 1) * size / parts) - F.floor(i * size / parts)).cast("int"))))
+        whole = parts > size  # more segments than characters: an empty one is shared by all of the length
+        return _pairs(values.select("t", F.explode(F.when(whole, F.array(F.xxhash64(size))).otherwise(cut)).alias("key"))), False
     if name.startswith("jaccard"):
-        return _sets(values.withColumn("items", F.col("p")), lambda n: F.greatest(F.ceil(t * n - SLACK), F.lit(1)), lambda x, y: F.least(x, y) >= t * F.greatest(x, y) - SLACK)
+        return _sets(values.withColumn("items", F.col("p")), lambda n: F.greatest(F.ceil(t * n - SLACK), F.lit(1)), lambda x, y: F.least(x, y) >= t * F.greatest(x, y) - SLACK), False
     if name == "jaro_winkler":
         need = 3 * (t - 0.4) / 0.6 - 1  # m / la + m / lb of the least Jaro that four common first characters lift to t
-        chars = F.when(F.char_length("text") > 0, F.split("text", "")).otherwise(F.array().cast("array<string>"))
-        counted = F.transform(chars, lambda c, i: F.concat(c, F.lit("\u0000"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
         if need <= 0:
-            return _everything(values)
+            return _everything(values), False
         # m <= min(la, lb): the other text has at least (need - 1) * la characters, and m >= need * la * lb / (la + lb).
         def least(n: Column) -> Column:
             low = F.greatest((need - 1) * n, F.lit(1.0))
             return F.greatest(F.ceil(need * n * low / (n + low) - SLACK), F.lit(1))
 
-        return _sets(values.withColumn("items", counted), least, lambda x, y: F.least(x, y) * (1 / x + 1 / y) >= need - SLACK, empty=True)
-    if name in ("minhash", "simhash"):
-        if name == "simhash":
-            bands = min(64, math.floor(64 * (1 - t) + SLACK) + 1)
-            cuts = [(i * 64 // bands, (i + 1) * 64 // bands) for i in range(bands)]
-            keys = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft(F.col("p"), 64 - hi), 64 - hi + lo).alias("v")) for i, (lo, hi) in enumerate(cuts)])
-            if t * 64 <= SLACK:
-                return _everything(values)
-        else:
-            size = F.size("p")
-            bands_ = F.floor((1 - t) * size + SLACK).cast("int") + 1
-            keys = F.transform(F.sequence(F.lit(0), F.least(bands_, size) - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("p", (F.floor(i * size / bands_) + 1).cast("int"), (F.floor((i + 1) * size / bands_) - F.floor(i * size / bands_)).cast("int"))).alias("v")))
-            if t <= SLACK:
-                return _everything(values)
-        return _pairs(values.withColumn("key", F.explode(keys)))
-    # Token weightings are 0 without a shared token; at 0 and not strict all pairs count.
-    if t <= 0:
-        return _everything(values)
-    return _pairs(values.withColumn("key", F.explode(F.when(F.size("p") > 0, F.array_distinct("p")).otherwise(F.array(F.lit(""))))))
+        return _sets(values.withColumn("items", _numbered(1)("text")), least, lambda x, y: F.least(x, y) * (1 / x + 1 / y) >= need - SLACK, empty=False), False
+    if name == "minhash":
+        if t <= SLACK:
+            return _everything(values), False
+        size = F.size("p")
+        bands = F.floor((1 - t) * size + SLACK).cast("int") + 1
+        keys = F.transform(F.sequence(F.lit(0), F.least(bands, size) - 1), lambda i: F.xxhash64(i, F.slice("p", (F.floor(i * size / bands) + 1).cast("int"), (F.floor((i + 1) * size / bands) - F.floor(i * size / bands)).cast("int"))))
+        return _pairs(values.select("t", F.explode(keys).alias("key"))), False
+    return _weighted(values, name, t)
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
-    a, b = (keyed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("text", "p"))) for s in "ab")
-    found = a.join(b, "key").where("text_a < text_b")
-    return found.groupBy("text_a", "text_b").agg(F.first("p_a").alias("p_a"), F.first("p_b").alias("p_b"))
+    a, b = (keyed.select("key", F.col("t").alias(f"t_{s}")) for s in "ab")
+    return a.join(b, "key").where("t_a < t_b").select("t_a", "t_b")
 
 
 def _everything(values: DataFrame) -> DataFrame:
-    """No key can be had at this threshold: blocks of one side meet all of the other."""
+    """No key can be had at this threshold: blocks of one side meet all of the other, both ways."""
     blocks = max(2, 2 * values.sparkSession.sparkContext.defaultParallelism)
-    a = values.select(F.col("text").alias("text_a"), F.col("p").alias("p_a"), F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("key"))
-    b = values.select(F.col("text").alias("text_b"), F.col("p").alias("p_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("key"))
-    return a.join(b, "key").where("text_a < text_b").drop("key")
+    a = values.select(F.col("t").alias("t_a"), F.pmod(F.xxhash64("t"), F.lit(blocks)).alias("key"))
+    b = values.select(F.col("t").alias("t_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("key"))
+    return a.join(b, "key").where("t_a < t_b").select("t_a", "t_b")
+
 
+def _near(prints: DataFrame, t: float, strict: bool) -> DataFrame:
+    """f_a, f_b, score of different fingerprints above the threshold.
 
-def _sets(values: DataFrame, least, sizes, empty: bool = False) -> DataFrame:
-    """Rare-first prefix filter: two sets of enough common items share one of the first n - least(n) + 1 of each."""
-    flat = values.select("text", F.explode("items").alias("item"))
+    Of most + 2 bands two equal ones are left by `most` differing bits; keys are pairs of bands, and of the keys that two
+    fingerprints share the first alone gives a row.
+    """
+    most = max(d for d in range(65) if 1 - d / 64 > t or (not strict and 1 - d / 64 >= t) or d == 0)
+    bands = min(most + 2, 64)
+    cuts = [(i * 64 // bands, (i + 1) * 64 // bands) for i in range(bands)]
+    score = T.fingerprint_similarity("f_a", "f_b").alias("score")
+    if most > 12:  # so many keys that most pairs share one
+        blocks = max(2, 2 * prints.sparkSession.sparkContext.defaultParallelism)
+        a = prints.select(F.col("f").alias("f_a"), F.pmod(F.xxhash64("f"), F.lit(blocks)).alias("key"))
+        b = prints.select(F.col("f").alias("f_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("key"))
+        return a.join(b, "key").where("f_a < f_b").where(T.fingerprint_distance("f_a", "f_b") <= most).select("f_a", "f_b", score)
+
+    def band(f: Column, i: int) -> Column:
+        lo, hi = cuts[i]
+        return F.shiftrightunsigned(F.shiftleft(f, 64 - hi), 64 - hi + lo)
+
+    two = [(i, j) for i in range(bands) for j in range(i + 1, bands)]
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), band(F.col("f"), i).alias("x"), band(F.col("f"), j).alias("y")) for k, (i, j) in enumerate(two)]))
+    a, b = (prints.select(F.col("f").alias(f"f_{s}"), keys.alias("key")) for s in "ab")
+    a, b = (x.select(f"f_{s}", "key.*") for x, s in ((a, "a"), (b, "b")))
+    met = a.join(b, ["k", "x", "y"]).where((F.col("f_a") < F.col("f_b")) & (T.fingerprint_distance("f_a", "f_b") <= most))
+    # The places of the first two equal bands, as bits.
+    equal = sum((F.when(band(F.col("f_a"), i) == band(F.col("f_b"), i), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bands)), F.lit(0).cast("long"))
+    first = equal.bitwiseAND(-equal)
+    rest = equal - first
+    own = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in two]), F.col("k") + 1)
+    return met.where(own == first.bitwiseOR(rest.bitwiseAND(-rest))).select("f_a", "f_b", score)
+
+
+def _sets(values: DataFrame, least, sizes, empty: bool = True) -> DataFrame:
+    """Rare-first prefix filter: two sets of enough common items share one of the first n - least(n) + 1 of each.
+
+    With empty, texts without items are candidates of one another.
+    """
+    flat = values.select("t", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = flat.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    n = F.size("items")
-    ranked = flat.join(often, "item").withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy("df", "item")))
-    known = values.select("text", "p", n.alias("n"))
-    prefix = ranked.join(known, "text").where(F.col("place") <= F.col("n") - least(F.col("n")) + 1)
-    a, b = (prefix.select(F.col("item").alias("key"), *(F.col(c).alias(f"{c}_{s}") for c in ("text", "p", "n"))) for s in "ab")
-    found = a.join(b, "key").where((F.col("text_a") < F.col("text_b")) & sizes(F.col("n_a"), F.col("n_b")))
-    return found.groupBy("text_a", "text_b").agg(F.first("p_a").alias("p_a"), F.first("p_b").alias("p_b"))
+    ranked = flat.join(often.where("df > 1"), "item", "left").withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("df", F.lit(1)), "item")))
+    prefix = ranked.where(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - least(F.col("n")) + 1))
+    a, b = (prefix.select(F.col("item").alias("key"), *(F.col(c).alias(f"{c}_{s}") for c in ("t", "n"))) for s in "ab")
+    found = a.join(b, "key").where((F.col("t_a") < F.col("t_b")) & sizes(F.col("n_a"), F.col("n_b"))).select("t_a", "t_b")
+    if not empty:
+        return found
+    return found.union(_pairs(values.where(F.size("items") == 0).select("t", F.lit(0).alias("key"))))
+
 
+def _weighted(values: DataFrame, name: str, t: float) -> tuple[DataFrame, bool]:
+    """Prefix filter on weighted tokens, rare ones first.
 
-def _edit_keys(values: DataFrame, t: float) -> DataFrame:
-    """Keys of the partition scheme: within k edits, a text contains one of the k + 1 segments of the other, about in place.
+    TF-IDF: a weight alone is at least one that is shared, so the cosine is at most that of the plain counts, and two texts
+    that share only what is after a prefix have at most the norm of the rest over the whole. BM25 is directed: the tokens
+    of a that b has must carry a share of a's own score that follows from the bounds of the saturated counts; b's tokens
+    have no such bound, all of them are keys.
+    """
+    flat = values.where(F.size("p") > 0).select("t", F.explode("p").alias("item")).groupBy("t", "item").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    often = flat.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    if name == "tfidf":
+        weight, whole = F.col("n") * F.col("n"), F.col("n") * F.col("n")
+        need = t * t
+    else:
+        shared, alone = math.log(1.2), math.log(2.0)
+        own = F.col("n") * 2.2 * F.col("n") / (F.col("n") + 2.1)  # the least a token gives a's own score, over its idf
+        weight, whole = F.col("n") * shared * 2.2 + t * (alone - shared) * own, own
+        need = t * alone
+    ranked = flat.join(often, "item", "left").select("t", "item", "df", weight.alias("w"), whole.alias("o"))
+    by_text = Window.partitionBy("t")
+    order = by_text.orderBy(F.coalesce("df", F.lit(1)).desc(), F.col("item").desc())  # the rest of a token: it and all more frequent ones
+    rest = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    prefix = ranked.withColumn("rest", rest).withColumn("all", F.sum("o").over(by_text)).where(F.col("df").isNotNull() & (F.col("rest") >= need * F.col("all") * (1 - SLACK)))
+    a = prefix.select(F.col("item").alias("key"), F.col("t").alias("t_a"))
+    if name == "tfidf":
+        found = _pairs(prefix.select("t", F.col("item").alias("key")))
+        return found.union(_pairs(values.where(F.size("p") == 0).select("t", F.lit(0).alias("key")))), False
+    b = flat.select(F.col("item").alias("key"), F.col("t").alias("t_b"))
+    return a.join(b, "key").where("t_a <> t_b").select("t_a", "t_b"), True
+
+
+def _numbered(q: int):
+    """The q-grams of a text, each with the number of its occurrence, as hashes: a multiset as a set."""
+
+    def run(s: pa.Array) -> pa.Array:
+        out = []
+        for x in s.to_pylist():
+            seen: dict[str, int] = {}
+            items = []
+            for i in range(len(x) - q + 1):
+                g = x[i : i + q]
+                seen[g] = k = seen.get(g, 0) + 1
+                items.append(f"{g}\u0000{k}")
+            out.append(items)
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")
+
+
+def _edits(values: DataFrame, t: float) -> DataFrame:
+    """Pairs within floor((1 - t) * the longer one's length) edits.
 
-    Of two texts the shorter (or equally long) one is cut; k follows from the longer one's length.
+    Where that allows at most EDITS edits, by the partition scheme: within k edits, a text contains one of the k + 1
+    segments of the other, about in place; of two texts the shorter (or equally long) one is cut. Longer texts share all
+    but k * q of their q-grams, so there the prefix filter on these holds.
     """
+    most = min(math.ceil((EDITS + 1) / (1 - t)) + 1, 1_000_000) if t < 1 else 1_000_000  # the longest text with at most EDITS edits
+    while math.floor((1 - t) * most + SLACK) > EDITS:
+        most -= 1
+    size = F.char_length("text")
+    short = values.where(size <= most)
+    found = _pairs(short.select("t", F.explode(_segments(t, most)("text")).alias("key")))
+    q = max(1, min(4, math.floor(1 / (2 * (1 - t))))) if t < 1 else 4
+    long_ = values.where(size >= max(q, math.floor(t * most)))
+    if long_.where(size > most).isEmpty():
+        return found
+
+    def least(n: Column) -> Column:
+        """Grams that a text with n of them shares at least: L - q + 1 - (1 - t) * L * q, where L, the longer one's length, is its own or more."""
+        return F.greatest(F.ceil((n + (q - 1)) * (1 - q * (1 - t)) - (q - 1) - SLACK), F.lit(1))
+
+    def sizes(x: Column, y: Column) -> Column:
+        longest = F.greatest(x, y) + (q - 1)
+        return (longest > most) & (F.abs(x - y) <= F.floor((1 - t) * longest + SLACK))
+
+    return found.union(_sets(long_.withColumn("items", _numbered(q)("text")), least, sizes, empty=False))
+
+
+def _segments(t: float, most: int):
+    def edits(longer: int) -> int:
+        return math.floor((1 - t) * longer + SLACK)
+
+    def key(shorter: int, longer: int, i: int, part: str) -> int:
+        # Of 64 bits; segments that share one are candidates more, no more.
+        return (zlib.crc32(part.encode()) << 31) ^ (shorter * 1_000_003 + longer * 8191 + i)
+
+    def one(x: str) -> list[int]:
+        n, out = len(x), set()
+        longer = n
+        while longer - n <= edits(longer) and longer <= most:  # as the shorter one
+            parts = edits(longer) + 1
+            out |= {key(n, longer, i, x[i * n // parts : (i + 1) * n // parts]) for i in range(parts)}
+            longer += 1
+        k = edits(n)
+        for shorter in range(max(0, n - k), n + 1):  # as the longer one
+            for i in range(k + 1):
+                lo, hi = i * shorter // (k + 1), (i + 1) * shorter // (k + 1)
+                for at in range(max(0, lo - k), min(n - (hi - lo), lo + k) + 1):
+                    out.add(key(shorter, n, i, x[at : at + hi - lo]))
+        return list(out)
+
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([one(x) for x in s.to_pylist()], pa.list_(pa.int64()))
 
-    @F.pandas_udf("array<string>")
-    def keys(s: pd.Series) -> pd.Series:
-        def edits(longer: int) -> int:
-            return math.floor((1 - t) * longer + SLACK)
-
-        def segments(size: int, parts: int) -> list[tuple[int, int]]:
-            return [(i * size // parts, (i + 1) * size // parts) for i in range(parts)]
-
-        def one(x: str) -> list[str]:
-            n, out = len(x), set()
-            longer = n
-            while longer - n <= edits(longer):  # as the shorter one
-                parts = edits(longer) + 1
-                out |= {f"{n}|{longer}|{i}|{x[lo:hi]}" for i, (lo, hi) in enumerate(segments(n, parts))}
-                longer += 1
-                if t <= 0 and longer > 4 * n + 64:
-                    break
-            k = edits(n)
-            for shorter in range(max(0, n - k), n + 1):  # as the longer one
-                for i, (lo, hi) in enumerate(segments(shorter, k + 1)):
-                    for at in range(max(0, lo - k), min(n - (hi - lo), lo + k) + 1):
-                        out.add(f"{shorter}|{n}|{i}|{x[at:at + hi - lo]}")
-            return sorted(out)
-
-        return s.map(one)
-
-    return values.withColumn("key", F.explode(keys(F.col("text"))))
+    return F.arrow_udf(run, "array<long>")

@@ -1,8 +1,11 @@
 """Kernels against golden values and slow scalar versions."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kindred.functions import kernels as K
@@ -76,11 +79,40 @@ def test_jaro(most):
     assert K.jaro_winkler(["MARTHA", "abcde"], ["MARHTA", "axxxx"]).round(6).tolist() == [0.961111, 0.52]
 
 
+def slow_pair(a, b):
+    """(BM25, TF-IDF) of two token lists, term by term."""
+    fa, fb = Counter(a), Counter(b)
+    mean = (len(a) + len(b)) / 2
+
+    def total(tf, size):
+        norm = 1.2 * (0.25 + 0.75 * size / mean) if mean else 0.0
+        return sum(n * math.log(1.2 if t in fb else 2.0) * tf[t] * 2.2 / (tf[t] + norm) for t, n in fa.items() if t in tf)
+
+    other = total(fb, len(b))
+    top = max(total(fa, len(a)), other, 0.0)
+    if not a or not b:
+        return 0.0, float(not a and not b)
+    size = lambda own, rest: math.sqrt(sum((n * (1 if t in rest else math.log(1.5) + 1)) ** 2 for t, n in own.items()))
+    return (other / top if top else 0.0), sum(n * fb[t] for t, n in fa.items()) / (size(fa, fb) * size(fb, fa))
+
+
 def test_pairs_of_tokens():
-    assert round(K.bm25_pair(["a", "a", "b"], ["a", "b", "c"]), 6) == 0.8
-    assert round(K.bm25_pair(["a", "b", "c"], ["a", "a", "b"]), 6) == 0.409357
-    assert K.bm25_pair([], []) == 0.0 and K.tfidf_pair([], []) == 1.0 and K.tfidf_pair(["a"], []) == 0.0
-    assert round(K.tfidf_pair("the quick brown fox".split(), "the lazy dog".split()), 6) == 0.170776
+    a = [["a", "a", "b"], ["a", "b", "c"], [], ["a"], "the quick brown fox".split()]
+    b = [["a", "b", "c"], ["a", "a", "b"], [], [], "the lazy dog".split()]
+    bm25, tfidf = (f(pa.array(a, pa.list_(pa.string())), pa.array(b, pa.list_(pa.string()))).round(6).tolist() for f in (K.bm25_pairs, K.tfidf_pairs))
+    assert bm25[:4] == [0.8, 0.409357, 0.0, 0.0] and tfidf[2:] == [1.0, 0.0, 0.170776]
+    r = random.Random(5)
+    a, b = ([[r.choice("abcdefgh") for _ in range(r.randint(0, 12))] for _ in range(400)] for _ in range(2))
+    got = list(zip(K.bm25_pairs(pa.array(a), pa.array(b)), K.tfidf_pairs(pa.array(a), pa.array(b))))
+    assert np.allclose(got, [slow_pair(x, y) for x, y in zip(a, b)])
+
+
+def test_simhash_counts_long_texts():
+    some = ["ab" * 400, "x" * 1000, *texts(50, 900, 6)]
+    h, counts = K.shingle_hashes(some, 4)
+    bits = [[sum(int(x) >> i & 1 for x in part) for i in range(64)] for part in np.split(h, np.cumsum(counts)[:-1])]
+    want = [sum((2 * n > c) << i for i, n in enumerate(b)) for b, c in zip(bits, counts.tolist())]
+    assert K.simhash(some).view(np.uint64).tolist() == want
 
 
 def test_sizes_are_checked():
