@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,13 +13,17 @@ from kindred.functions.stopwords import DEFAULT
 from kindred.functions.text import SPACE, ColumnOrName, _c
 
 
-def _nfc(s: Column) -> Column:
-    def run(s: pd.Series) -> pd.Series:
+#: Text without such characters is in NFC already.
+WIDE = r"[^\x{0000}-\x{02FF}]"
+
+
+def nfc_udf():
+    def run(s: pa.Array) -> pa.Array:
         import unicodedata
 
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
-    return F.pandas_udf(run, "string")(s)
+    return F.arrow_udf(run, "string")
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,7 @@ class Cleaner:
     def apply(self, text: ColumnOrName) -> Column:
         s = _c(text)
         if self.normalize_unicode:  # text below U+0300 is in NFC already and never reaches Python
-            s = F.coalesce(_nfc(F.when(s.rlike(r"[^\x{0000}-\x{02FF}]"), s)), s)
+            s = F.coalesce(nfc_udf()(F.when(s.rlike(WIDE), s)), s)
         if self.lowercase:
             s = F.lower(s)
         if self.collapse_whitespace:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import kernels
+from kindred.functions.cleaning import WIDE, nfc_udf
 from kindred.functions.stopwords import DEFAULT
-from kindred.functions.text import _BREAK, SPACE
+from kindred.functions.text import _BREAK, SPACE, bm25_udf, placed, tfidf_udf, to_arrow_type
 from kindred.runtime import ship
 
 
@@ -31,7 +33,15 @@ def _native() -> dict[str, tuple[str, str, str]]:
 
     differ = "size(filter(zip_with(split(a, ''), split(b, ''), (x, y) -> x <> y), z -> z))"
     two = "a STRING, b STRING"
+    # Text below U+0300 is in NFC already and never reaches Python.
+    nfc = f"coalesce(kindred_nfc(CASE WHEN s RLIKE {_q(WIDE)} THEN s END), s)"
+    clean = f"regexp_replace(regexp_replace(lower({nfc}), {_q(SPACE)}, ' '), '^ | $', '')"
+    listed = "array(" + ", ".join("'" + w + "'" for w in sorted(DEFAULT)) + ")"
     return {
+        "clean_text": ("s STRING", "STRING", clean),
+        "clean_text_stopwords": ("s STRING", "STRING", f"array_join(filter(split({clean}, ' '), x -> x <> '' AND NOT array_contains({listed}, x)), ' ')"),
+        "bm25_similarity": (two, "DOUBLE", f"kindred_bm25_tokens({tokens.replace('split(s', 'split(a')}, {tokens.replace('split(s', 'split(b')})"),
+        "tfidf_similarity": (two, "DOUBLE", f"kindred_tfidf_tokens({tokens.replace('split(s', 'split(a')}, {tokens.replace('split(s', 'split(b')})"),
         "levenshtein_distance": (two, "INT", "levenshtein(a, b)"),
         "levenshtein_similarity": (two, "DOUBLE", "CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN greatest(char_length(a), char_length(b)) = 0 THEN 1.0D ELSE 1.0D - levenshtein(a, b) / greatest(char_length(a), char_length(b)) END"),
         "hamming_distance": (two, "INT", f"CASE WHEN char_length(a) = char_length(b) THEN CASE WHEN a = b THEN 0 ELSE {differ} END END"),
@@ -47,58 +57,43 @@ def _native() -> dict[str, tuple[str, str, str]]:
     }
 
 
-def _tokens(s: str) -> list[str]:
-    import regex
+def _column_wise(kernel, kind: str, arity: int):
+    """An Arrow UDF that sees only rows without NULL: lists in, one array out."""
 
-    return [x.lower() for x in regex.split(r"[\p{White_Space}!-/:-@\[-`{-~]+", s) if x]
-
-
-def _clean(s: str, drop: bool) -> str:
-    import unicodedata
-
-    import regex
-
-    out = regex.sub(r"\p{White_Space}+", " ", unicodedata.normalize("NFC", s).lower()).strip(" ")
-    return " ".join(w for w in out.split(" ") if w and w not in DEFAULT) if drop else out
-
-
-def _row_wise(kernel, kind: str, arity: int):
-    def run(*columns: pd.Series) -> pd.Series:
-        has = columns[0].notna()
+    def run(*columns: pa.Array) -> pa.Array:
+        has = columns[0].is_valid()
         for c in columns[1:]:
-            has &= c.notna()
-        out = pd.Series([None] * len(has), dtype=object)
-        some = [c[has].tolist() for c in columns]
-        if has.any():
-            out[has.to_numpy()] = pd.Series(list(kernel(*some)), dtype=object).values
-        return out
+            has = pc.and_(has, c.is_valid())
+        some = [c.filter(has).to_pylist() for c in columns]
+        out = kernel(*some) if some[0] else []
+        return placed(out if isinstance(out, pa.Array) else pa.array(out, to_arrow_type(kind)), has)
 
-    return F.pandas_udf({1: _one, 2: _two, 3: _three, 4: _four}[arity](run), kind)
+    return F.arrow_udf({1: _one, 2: _two, 3: _three, 4: _four}[arity](run), kind)
 
 
 def _one(run):
-    def f(a: pd.Series) -> pd.Series:
+    def f(a: pa.Array) -> pa.Array:
         return run(a)
 
     return f
 
 
 def _two(run):
-    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+    def f(a: pa.Array, b: pa.Array) -> pa.Array:
         return run(a, b)
 
     return f
 
 
 def _three(run):
-    def f(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    def f(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         return run(a, b, c)
 
     return f
 
 
 def _four(run):
-    def f(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    def f(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
         return run(a, b, c, d)
 
     return f
@@ -115,6 +110,8 @@ def _near(x, y) -> list[float]:
 def register_all(spark: SparkSession) -> list[str]:
     """Registers every scalar function for SQL and returns their names."""
     ship(spark)
+    for name, udf in (("kindred_nfc", nfc_udf()), ("kindred_bm25_tokens", bm25_udf()), ("kindred_tfidf_tokens", tfidf_udf())):
+        spark.udf.register(name, udf)
     for name, (args, kind, body) in _native().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
@@ -156,11 +153,7 @@ def register_all(spark: SparkSession) -> list[str]:
         "simhash_fingerprint_default": (lambda a: kernels.simhash(a).tolist(), "long", 1),
         "simhash_similarity": (per_size(simhash_similarity), "double", 3),
         "simhash_similarity_default": (lambda a, b: _near(kernels.simhash(a), kernels.simhash(b)), "double", 2),
-        "bm25_similarity": (lambda a, b: [kernels.bm25_pair(_tokens(x), _tokens(y)) for x, y in zip(a, b)], "double", 2),
-        "tfidf_similarity": (lambda a, b: [kernels.tfidf_pair(_tokens(x), _tokens(y)) for x, y in zip(a, b)], "double", 2),
-        "clean_text": (lambda a: [_clean(x, False) for x in a], "string", 1),
-        "clean_text_stopwords": (lambda a: [_clean(x, True) for x in a], "string", 1),
     }
     for name, (kernel, kind, arity) in udfs.items():
-        spark.udf.register(name, _row_wise(kernel, kind, arity))
+        spark.udf.register(name, _column_wise(kernel, kind, arity))
     return sorted([*_native(), *udfs])

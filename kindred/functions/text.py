@@ -121,7 +121,7 @@ def _present(kernel: Callable, kind: str, count: int = 2):
             has = pc.and_(has, c.is_valid())
         some = [c.filter(has).to_pylist() for c in columns]
         out = kernel(*some) if some[0] else []
-        return _placed(out if isinstance(out, pa.Array) else pa.array(out, to_arrow_type(kind)), has)
+        return placed(out if isinstance(out, pa.Array) else pa.array(out, to_arrow_type(kind)), has)
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
         return run(a, b)
@@ -136,7 +136,7 @@ def to_arrow_type(kind: str) -> pa.DataType:
     return {"double": pa.float64(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "string": pa.string()}[kind]
 
 
-def _placed(values: pa.Array, has: pa.Array) -> pa.Array:
+def placed(values: pa.Array, has: pa.Array) -> pa.Array:
     """The values at the rows that has marks, NULL elsewhere."""
     if len(values) == len(has):
         return values
@@ -209,17 +209,25 @@ def _of_tokens(name: str):
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         has = pc.and_(x.is_valid(), y.is_valid())
-        return _placed(pa.array(getattr(kernels, name)(x.filter(has), y.filter(has))), has)
+        return placed(pa.array(getattr(kernels, name)(x.filter(has), y.filter(has))), has)
 
     return F.arrow_udf(run, "double")
 
 
+def bm25_udf():
+    return _of_tokens("bm25_pairs")
+
+
+def tfidf_udf():
+    return _of_tokens("tfidf_pairs")
+
+
 def bm25_tokens(x: Column, y: Column) -> Column:
-    return _of_tokens("bm25_pairs")(x, y)
+    return bm25_udf()(x, y)
 
 
 def tfidf_tokens(x: Column, y: Column) -> Column:
-    return _of_tokens("tfidf_pairs")(x, y)
+    return tfidf_udf()(x, y)
 
 
 def bm25_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:

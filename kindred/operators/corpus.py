@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.functions.text import tokens
+from kindred.runtime import Workspace
 
 
 @dataclass(frozen=True)
@@ -28,16 +34,43 @@ class Index:
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params = Params(), tokenized: bool = False) -> Index:
-    """Counts of a corpus; a NULL text has no tokens, and documents without tokens count for n and avgdl."""
+    """Counts of a corpus; a NULL text has no tokens, and documents without tokens count for n and avgdl.
+
+    Every row is a document. Tokens are counted where they are made, without a shuffle, and the postings are written
+    once to the shared folder: whatever is asked of the index reads them there.
+    """
     toks = F.col(text) if tokenized else tokens(F.col(text))
+    kind = docs.schema[key].dataType
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(toks, F.array().cast("array<string>")).alias("toks"))
-    lengths = base.select("doc_id", F.size("toks").cast("long").alias("len"))
-    postings = base.select("doc_id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ws = Workspace(docs.sparkSession, "index")
+    counted = ws.write(base.mapInArrow(_counted, T.StructType([T.StructField("doc_id", kind), T.StructField("len", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])), "counted")
+    # A document's row without a term stands for the document itself.
+    lengths = counted.where("term is null").select("doc_id", "len")
+    postings = counted.where("term is not null").select("doc_id", "len", "term", "tf")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_tokens"))
     return Index(lengths, postings, terms, stats, params)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = 0
+        sizes = np.asarray(pc.list_value_length(batch.column("toks")), dtype=np.int64)
+        ends = np.cumsum(sizes)
+        while at < batch.num_rows:  # some documents at a time
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, side="right")))
+            some = batch.slice(at, stop - at)
+            ids, n = some.column("doc_id"), sizes[at:stop]
+            words = some.column("toks").flatten().dictionary_encode()
+            span = max(len(words.dictionary), 1)
+            key, tf = np.unique(np.repeat(np.arange(len(n)), n) * span + np.asarray(words.indices, dtype=np.int64), return_counts=True)
+            row = key // span
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.int64())], ["doc_id", "len", "term", "tf"])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(n[row]), words.dictionary.take(pa.array(key % span)), pa.array(tf.astype(np.int64))], ["doc_id", "len", "term", "tf"])
+            at = stop
+
+
 def bm25(index: Index, queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
     """query_id, doc_id, score of the documents that share a term; a query's repeated terms count each time."""
     terms = queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -103,8 +136,9 @@ def magnitudes(index: Index, weights: DataFrame) -> DataFrame:
 def vectors(index: Index) -> DataFrame:
     """(doc_id, weights map, magnitude)."""
     w = tfidf_weights(index)
-    maps = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"))
-    return magnitudes(index, w).join(maps, "doc_id", "left").select("doc_id", F.coalesce("weights", F.create_map().cast("map<string,double>")).alias("weights"), "magnitude")
+    made = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("magnitude"))
+    none = F.create_map().cast("map<string,double>")
+    return index.docs.join(made, "doc_id", "left").select("doc_id", F.coalesce("weights", none).alias("weights"), F.coalesce("magnitude", F.lit(0.0)).alias("magnitude"))
 
 
 def cosine_pairs(index: Index, pairs: DataFrame) -> DataFrame:

@@ -109,21 +109,21 @@ def _tfidf(pairs: str) -> str:
     tf AS (SELECT index_a, index_b, CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 1.0 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE v END score FROM tk LEFT JOIN sc USING (index_a, index_b))"""
 
 
-def _simhash(table: str, key: str) -> str:
+def _simhash(table: str, key: str, size: int = 4) -> str:
     bits = " + ".join(f"(CASE WHEN sum(n * (2 * ((h >> {i}) & 1)::BIGINT - 1)) > 0 THEN {1 << i}::UHUGEINT ELSE 0::UHUGEINT END)" for i in range(64))
     return f"""
-    gr AS (SELECT {key} k, unnest({_grams("text", 4)}) g FROM {table}),
+    gr AS (SELECT {key} k, unnest({_grams("text", size)}) g FROM {table}),
     gc AS (SELECT k, g, count(*) n FROM gr GROUP BY ALL),
     gh AS (SELECT g, {_fnv("g")}::UBIGINT h FROM (SELECT DISTINCT g FROM gc)),
     fp AS (SELECT k, ({bits})::UBIGINT f FROM gc JOIN gh USING (g) GROUP BY k)"""
 
 
-def _minhash(table: str, key: str) -> str:
+def _minhash(table: str, key: str, size: int = 3, k: int = 128) -> str:
     two = "18446744073709551616::UHUGEINT"
     return f"""
-    gr AS (SELECT DISTINCT {key} k, unnest({_grams("text", 3)}) g FROM {table}),
+    gr AS (SELECT DISTINCT {key} k, unnest({_grams("text", size)}) g FROM {table}),
     gh AS (SELECT g, {_fnv("g")} h FROM (SELECT DISTINCT g FROM gr)),
-    co AS (SELECT i, (((11400714819323198485::UHUGEINT * (i + 1) + 43981) % {two})::UBIGINT | 1)::UHUGEINT a, (11400714819323198485::UHUGEINT * (i + 1) + 4660) % {two} b FROM (SELECT unnest(range(0, 128))::UHUGEINT i)),
+    co AS (SELECT i, (((11400714819323198485::UHUGEINT * (i + 1) + 43981) % {two})::UBIGINT | 1)::UHUGEINT a, (11400714819323198485::UHUGEINT * (i + 1) + 4660) % {two} b FROM (SELECT unnest(range(0, {k}))::UHUGEINT i)),
     mh AS (SELECT k, i::INT i, min((((a * h) % {two} + b) % {two}) % 2305843009213693951::UHUGEINT)::BIGINT v FROM gr JOIN gh USING (g), co GROUP BY ALL)"""
 
 
@@ -302,15 +302,19 @@ _add("clean_case_kept", f"SELECT doc_id, md5(trim(regexp_replace(text, '[{_WS}]+
 
 # -- routing
 
-_ROUTE = f"""WITH {_NEXT_TURN}, c AS (SELECT conv_id, turn, strlen({_clean("a")}) la, strlen({_clean("b")}) lb FROM pr WHERE b IS NOT NULL)
-SELECT conv_id, turn, CASE WHEN la = lb AND la <= 20 THEN 'hamming' WHEN greatest(la, lb) <= 50 THEN 'jaro_winkler' WHEN greatest(la, lb) <= 500 THEN 'bm25' ELSE 'simhash' END AS algorithm, 0 AS tier FROM c"""
+_ROUTE = f"""WITH {_NEXT_TURN}, c AS (SELECT conv_id, turn, {_clean("a")} a, {_clean("b")} b FROM pr WHERE b IS NOT NULL),
+r AS (SELECT *, CASE WHEN strlen(a) = strlen(b) AND strlen(a) <= 20 THEN 'hamming' WHEN greatest(strlen(a), strlen(b)) <= 50 THEN 'jaro_winkler' WHEN greatest(strlen(a), strlen(b)) <= 500 THEN 'bm25' ELSE 'simhash' END algorithm FROM c),
+bp AS (SELECT conv_id index_a, turn index_b, a, b FROM r WHERE algorithm = 'bm25'), {_bm25("bp")},
+lt AS (SELECT (conv_id, turn, 'a') k0, a AS text FROM r WHERE algorithm = 'simhash' UNION ALL SELECT (conv_id, turn, 'b'), b FROM r WHERE algorithm = 'simhash'), {_simhash("lt", "k0")}
+SELECT r.conv_id, r.turn, r.algorithm, 0 AS tier, round(CASE r.algorithm WHEN 'hamming' THEN CASE WHEN length(a) = length(b) THEN 1 - {_ham("a", "b")} / greatest(length(a), 1)::DOUBLE END WHEN 'jaro_winkler' THEN {_jw("a", "b")} WHEN 'bm25' THEN bm.score ELSE 1 - bit_count(xor(x.f, y.f)) / 64.0::DOUBLE END, 6) AS score
+FROM r LEFT JOIN bm ON bm.index_a = r.conv_id AND bm.index_b = r.turn LEFT JOIN fp x ON x.k = (r.conv_id, r.turn, 'a') LEFT JOIN fp y ON y.k = (r.conv_id, r.turn, 'b')"""
 
 
 @_add("auto_route", _ROUTE)
 def _auto(spark: SparkSession, d: str) -> DataFrame:
     turns = read_table(spark, d, "conversations")
     turns = turns.select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b")).where("b is not null")
-    return Flow.auto().errors("null").compare(turns).select("conv_id", "turn", F.coalesce("result.algorithm", F.lit("hamming")).alias("algorithm"), F.coalesce("result.tier", F.lit(0)).alias("tier"))
+    return Flow.auto().errors("null").compare(turns).select("conv_id", "turn", F.coalesce("result.algorithm", F.lit("hamming")).alias("algorithm"), F.coalesce("result.tier", F.lit(0)).alias("tier"), F.round("result.score", 6).alias("score"))
 
 
 def _intent(name: str, tier: int = 0) -> Query:
@@ -352,6 +356,117 @@ _add("cascade_no_fallback", _cascade(("round(s1, 6)", "1", "'jaccard_bigram'")))
 _add("cascade_fallback", _cascade(("CASE WHEN same THEN 0.75 ELSE 0.25 END", "3", "'fallback'")))(lambda s, d: _flat(_flow().fallback(_half).compare(_item_pairs(s, d))))
 _add("cascade_one_tier", f"WITH {_NEXT_NAME} SELECT index_a, index_b, round({_lev('a', 'b')}, 6) AS score, 1 AS tier, 'levenshtein' AS algorithm FROM pr")(lambda s, d: _flat(Flow.for_intent("typos").preprocess(False).compare(_next_names(s, d))))
 
+_FULL = "result.score AS score, result.tier AS tier, result.algorithm AS algorithm, result.fallback_called AS fallback_called, result.fallback_data AS fallback_data"
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """All fields of the result."""
+    return df.selectExpr("index_a", "index_b", *_FULL.split(", ")).withColumn("score", F.round("score", 6))
+
+
+_add("cascade_full_result", f"""{_TIERS} SELECT index_a, index_b, {_TWO.format(one="round(s1, 6)", two="round(s2, 6)", last="CASE WHEN same THEN 0.75 ELSE 0.25 END")} AS score, {_TWO.format(one="1", two="2", last="3")} AS tier,
+{_TWO.format(one="'jaccard_bigram'", two="'bm25'", last="'fallback'")} AS algorithm, {_TWO.format(one="false", two="false", last="true")} AS fallback_called, {_TWO.format(one="NULL", two="NULL", last="CASE WHEN same THEN 'even' ELSE 'odd' END")} AS fallback_data FROM s""")(lambda s, d: _whole(_flow().with_strategy("cascade").fallback(_half).compare(_item_pairs(s, d))))
+
+
+def _hook_udf():
+    return F.udf(lambda a, b: None if a is None or b is None else _half(a, b), "struct<score:double,data:string>")
+
+
+# Only a tier 2 that accepts nothing, so that every pair reaches a hook given as a UDF of the user's own.
+_add("cascade_fallback_udf", f"{_TIERS} SELECT index_a, index_b, CASE WHEN same THEN 0.75 ELSE 0.25 END AS score, 3 AS tier, 'fallback' AS algorithm, true AS fallback_called, CASE WHEN same THEN 'even' ELSE 'odd' END AS fallback_data FROM s")(lambda s, d: _whole(Flow().tier_2("jaccard_word", between(2.0, 3.0)).fallback_udf(_hook_udf()).compare(_item_pairs(s, d))))
+
+
+
+def _kept(s: str) -> str:
+    return f"regexp_replace(regexp_replace(nfc_normalize({s}), '[{_WS}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _few(s: str) -> str:
+    return f"array_to_string(list_filter(string_split({s}, ' '), lambda x: x <> '' AND NOT list_contains(['the', 'of', 'and', 'is'], x)), ' ')"
+
+
+_PREPARED = f"pr AS (SELECT index_a, {_few(_kept('a'))} a, index_b, {_few(_kept('b'))} b FROM pr0)"
+_add("flow_with_preprocessor", f"WITH {_ITEMS.replace('pr AS', 'pr0 AS')}, {_PREPARED} SELECT index_a, index_b, round({_jacw('a', 'b')}, 6) AS score, 1 AS tier, 'jaccard_word' AS algorithm, false AS fallback_called, NULL AS fallback_data FROM pr")(
+    lambda s, d: _whole(Flow().with_preprocessor(cleaning.Cleaner().with_lowercase(False).with_remove_stopwords().with_stopwords(["the", "of", "and", "is"])).tier_1("jaccard_word", greater_than(0.9), less_than(0.1)).compare(_item_pairs(s, d)))
+)
+# Texts of unequal lengths: an error that makes the result NULL, where a batch scores 0.
+_NATIONS = "pr AS (SELECT n_nationkey::BIGINT index_a, n_name a, r_regionkey::BIGINT index_b, r_name b FROM nation, region)"
+_UNEQUAL = f"CASE WHEN length(a) = length(b) THEN 1 - {_ham('a', 'b')} / length(a)::DOUBLE END"
+
+
+def _nations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n, r = read_table(spark, d, "nation"), read_table(spark, d, "region")
+    return n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text")), r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("text"))
+
+
+def _nation_pairs(spark: SparkSession, d: str) -> DataFrame:
+    (n, r), key = _nations(spark, d), F.lit(0).alias("k")
+    return n.select(F.col("id").cast("long").alias("index_a"), F.col("text").alias("a"), key).join(r.select(F.col("id").cast("long").alias("index_b"), F.col("text").alias("b"), key), "k").drop("k")
+
+
+_add("cascade_error_null", f"WITH {_NATIONS} SELECT index_a, index_b, round({_UNEQUAL}, 6) AS score, CASE WHEN length(a) = length(b) THEN 1 END AS tier, CASE WHEN length(a) = length(b) THEN 'hamming' END AS algorithm, CASE WHEN length(a) = length(b) THEN false END AS fallback_called, NULL AS fallback_data FROM pr")(lambda s, d: _whole(Flow().preprocess(False).errors("null").tier_1("hamming", greater_than(0.9), less_than(0.0)).compare(_nation_pairs(s, d))))
+_add("batch_matrix_two_frames", f"WITH {_NATIONS} SELECT index_a, index_b, round({_lev('a', 'b')}, 6) AS score FROM pr")(lambda s, d: _round(Batch.for_intent("typos").matrix(*_nations(s, d))))
+_add("batch_matrix_all", f"WITH n AS (SELECT item_id id, text t FROM benchmark), pr AS (SELECT x.id index_a, x.t a, y.id index_b, y.t b FROM n x, n y) SELECT index_a, index_b, round({_jac('a', 'b', 2)}, 6) AS score FROM pr")(lambda s, d: _round(Batch.of("jaccard_bigram").matrix(_items(s, d), keep="all")))
+_add("batch_unequal_lengths", f"WITH {_NATIONS} SELECT index_a, index_b, round(coalesce({_UNEQUAL}, 0.0), 6) AS score FROM pr")(lambda s, d: _round(Batch.of("hamming").matrix(*_nations(s, d))))
+_add("batch_auto_per_pair", f"WITH {_NATIONS} SELECT index_a, index_b, round(CASE WHEN length(a) = length(b) THEN {_UNEQUAL} ELSE {_jw('a', 'b')} END, 6) AS score FROM pr")(lambda s, d: _round(Batch.auto(per_pair=True).matrix(*_nations(s, d))))
+_add("minhash_parameters", f"WITH {_minhash('benchmark', 'item_id', 5, 32)} SELECT x.k AS index_a, y.k AS index_b, sum((x.v = y.v)::INT) / 32.0::DOUBLE AS score FROM mh x JOIN mh y ON x.i = y.i AND x.k < y.k GROUP BY ALL")(lambda s, d: Batch.of("minhash", shingle=5, hashes=32).matrix(_items(s, d), keep="upper"))
+_add("simhash_parameters", f"WITH {_simhash('benchmark', 'item_id', 2)} SELECT x.k AS index_a, y.k AS index_b, 1 - bit_count(xor(x.f, y.f)) / 64.0::DOUBLE AS score FROM fp x JOIN fp y ON x.k < y.k")(lambda s, d: Batch.of("simhash", shingle=2).matrix(_items(s, d), keep="upper"))
+
+# Decomposed letters and other white space, of which the tables have none.
+_ODD = "replace(replace(text, 'e', concat('e', chr(769))), ' ', concat(chr(160), chr(8195)))"
+_add("clean_nfc", f"WITH o AS (SELECT doc_id, {_ODD} AS text FROM documents) SELECT doc_id, md5({_clean('text')}) AS digest FROM o")(lambda s, d: read_table(s, d, "documents").withColumn("text", F.expr("replace(replace(text, 'e', concat('e', decode(unhex('CC81'), 'utf-8'))), ' ', decode(unhex('C2A0E28083'), 'utf-8'))")).select("doc_id", F.md5(cleaning.clean_text("text")).alias("digest")))
+_add("clean_setters", f"SELECT doc_id, md5(regexp_replace(text, '[{_WS}]+', ' ', 'g')) AS digest FROM documents")(lambda s, d: read_table(s, d, "documents").select("doc_id", F.md5(cleaning.Cleaner().with_normalize_unicode(False).with_lowercase(False).with_collapse_whitespace().with_trim(False).apply("text")).alias("digest")))
+_add("clean_custom_stopwords", f"SELECT doc_id, md5({_few(_clean('text'))}) AS digest FROM documents")(lambda s, d: read_table(s, d, "documents").select("doc_id", F.md5(cleaning.Cleaner().with_remove_stopwords().with_stopwords(["the", "of", "and", "is"]).apply("text")).alias("digest")))
+
+_add("bm25_normalized_all", f"WITH {_RANKED}, al AS (SELECT b.item_id query_id, l.doc_id, coalesce(score, 0) score FROM l JOIN benchmark b ON true LEFT JOIN s ON s.doc_id = l.doc_id AND s.query_id = b.item_id) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS score FROM al")(lambda s, d: K.normalized(K.bm25_all(_index(s, d), _queries(s, d))).select("query_id", "doc_id", F.round("score", 6).alias("score")))
+_add("bm25_one", f"WITH {_CORPUS}, q AS (SELECT unnest({_toks('text')}) term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), s AS (SELECT sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) score FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (doc_id), st WHERE doc_id = 3) SELECT 3::BIGINT AS doc_id, round(coalesce(score, 0), 6) AS score FROM s")(
+    lambda s, d: K.bm25_one(_index(s, d), read_table(s, d, "benchmark").orderBy("item_id").first()["text"], 3).select(F.col("doc_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+)
+_OVER = _TFIDF.replace("documents", "benchmark").replace("doc_id", "item_id")
+_add("tfidf_cosine_overlaps", f"WITH {_OVER} SELECT x.item_id AS id_a, y.item_id AS id_b, round(sum(x.w * y.w) / any_value(mx.m * my.m), 6) AS score FROM w x JOIN w y ON x.term = y.term AND x.item_id < y.item_id JOIN m mx ON mx.item_id = x.item_id JOIN m my ON my.item_id = y.item_id GROUP BY 1, 2")(lambda s, d: K.cosine_overlaps(K.build(read_table(s, d, "benchmark"), key="item_id")).select("id_a", "id_b", F.round("score", 6).alias("score")))
+
+# -- every function by its name in SQL
+
+# DuckDB's edit distances count bytes, so these are compared on the ASCII characters.
+_ASCII = "regexp_replace({x}, '[^ -~]', '', 'g')"
+_A, _B = "(" + _ASCII.format(x="a") + ")", "(" + _ASCII.format(x="b") + ")"
+_NAMED = {
+    "levenshtein_distance({a}, {b})": ("lev_d", f"levenshtein({_A}, {_B})::INT"),
+    "round(levenshtein_similarity({a}, {b}), 6)": ("lev", f"round({_lev(_A, _B)}, 6)"),
+    "hamming_distance(a, concat('x', substring(a, 2)))": ("ham_d", f"{_ham('a', chr(40) + 'concat(' + chr(39) + 'x' + chr(39) + ', substr(a, 2))' + chr(41))}::INT"),
+    "round(hamming_similarity(a, concat('x', substring(a, 2))), 6)": ("ham", f"round(1 - {_ham('a', chr(40) + 'concat(' + chr(39) + 'x' + chr(39) + ', substr(a, 2))' + chr(41))} / length(a)::DOUBLE, 6)"),
+    "round(jaro_similarity({a}, {b}), 6)": ("jaro", f"round(jaro_similarity({_A}, {_B}), 6)"),
+    "round(jaro_winkler_similarity({a}, {b}), 6)": ("jw", f"round({_jw(_A, _B)}, 6)"),
+    "round(jaccard_similarity(a, b, 4), 6)": ("jac4", f"round({_jac('a', 'b', 4)}, 6)"),
+    "round(jaccard_trigram_similarity(a, b), 6)": ("jac3", f"round({_jac('a', 'b', 3)}, 6)"),
+    "round(tfidf_similarity(a, b), 6)": ("tfidf", "round(tf.score, 6)"),
+    "md5(clean_text(a))": ("clean", f"md5({_clean('a')})"),
+    "md5(clean_text_stopwords(a))": ("clean_stop", f"md5({_DROP.replace('text', 'a')})"),
+}
+_add("sql_functions_text", f"WITH {_ITEMS}, {_tfidf('pr')} SELECT pr.index_a, pr.index_b, " + ", ".join(f"{sql} AS {name}" for name, sql in _NAMED.values()) + " FROM pr JOIN tf USING (index_a, index_b)")(lambda s, d: _named(s, d, "SELECT index_a, index_b, " + ", ".join(f"{call} AS {name}".replace("{a}", "regexp_replace(a, '[^ -~]', '')").replace("{b}", "regexp_replace(b, '[^ -~]', '')") for call, (name, _) in _NAMED.items()) + " FROM kindred_item_pairs"))
+_HASHED = f"""WITH {_ITEMS}, fa AS (SELECT item_id, {_fnv("text")}::UBIGINT h FROM benchmark), {_minhash("benchmark", "item_id")}, {_simhash("benchmark", "item_id").replace(" gr AS", " gs AS").replace("FROM gr", "FROM gs").replace(" gh AS", " gi AS").replace("JOIN gh", "JOIN gi").lstrip()},
+ms AS (SELECT x.k index_a, y.k index_b, sum((x.v = y.v)::INT) / 128.0::DOUBLE v, sum((x.v = y.v AND x.i < 16)::INT) / 16.0::DOUBLE v16 FROM mh x JOIN mh y ON x.i = y.i AND x.k < y.k GROUP BY ALL)
+SELECT pr.index_a, pr.index_b, hex(fa.h) AS hash, ms.v AS minhash, ms.v AS minhash_default, ms.v16 AS minhash_16, ms.v AS signatures, hex(x.f) AS fingerprint, hex(x.f) AS fingerprint_default, 1 - bit_count(xor(x.f, y.f)) / 64.0::DOUBLE AS simhash, 1 - bit_count(xor(x.f, y.f)) / 64.0::DOUBLE AS simhash_default, 1 - bit_count(xor(x.f, y.f)) / 64.0::DOUBLE AS fingerprints, bit_count(xor(x.f, y.f))::INT AS bits
+FROM pr JOIN fa ON fa.item_id = pr.index_a JOIN ms ON ms.index_a = pr.index_a AND ms.index_b = pr.index_b JOIN fp x ON x.k = pr.index_a JOIN fp y ON y.k = pr.index_b"""
+
+
+@_add("sql_functions_hashes", _HASHED)
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    return _named(
+        spark,
+        d,
+        """SELECT index_a, index_b, hex(fnv1a(a)) AS hash, minhash_similarity(a, b, 3, 128) AS minhash, minhash_similarity_default(a, b) AS minhash_default, minhash_similarity(a, b, 3, 16) AS minhash_16,
+        signature_similarity(minhash_signature(a, 3, 128), minhash_signature(b, 3, 128)) AS signatures, hex(simhash_fingerprint(a, 4)) AS fingerprint, hex(simhash_fingerprint_default(a)) AS fingerprint_default, simhash_similarity(a, b, 4) AS simhash,
+        simhash_similarity_default(a, b) AS simhash_default, fingerprint_similarity(simhash_fingerprint(a, 4), simhash_fingerprint(b, 4)) AS fingerprints, simhash_distance(simhash_fingerprint(a, 4), simhash_fingerprint(b, 4)) AS bits FROM kindred_item_pairs""",
+    )
+
+
+def _named(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    register_all(spark)
+    _item_pairs(spark, d).createOrReplaceTempView("kindred_item_pairs")
+    return spark.sql(sql)
+
+
 # -- similarity joins
 
 
@@ -370,6 +485,8 @@ _add("simjoin_simhash", _DOCS_FP)(lambda s, d: _round(similarity_join(read_table
 _add("simjoin_tfidf", f"WITH {_ITEMS}, {_tfidf('pr')} SELECT index_a, index_b, round(score, 6) AS score FROM tf WHERE score > 0.2")(lambda s, d: _round(similarity_join(_items(s, d), "tfidf", 0.2)))
 _add("simjoin_bm25", f"WITH {_ITEMS}, {_bm25('pr')} SELECT index_a, index_b, round(score, 6) AS score FROM bm WHERE score > 0.1")(lambda s, d: _round(similarity_join(_items(s, d), "bm25", 0.1)))
 
+_add("simjoin_jaccard_word_documents", f"WITH w AS (SELECT doc_id, unnest({_words('text')}) x FROM documents), n AS (SELECT doc_id, count(*) n FROM w GROUP BY 1), p AS (SELECT a.doc_id index_a, b.doc_id index_b, count(*) c FROM w a JOIN w b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL) SELECT index_a, index_b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS score FROM p JOIN n x ON x.doc_id = index_a JOIN n y ON y.doc_id = index_b WHERE c / (x.n + y.n - c)::DOUBLE > 0.8")(lambda s, d: _round(similarity_join(read_table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "jaccard_word", 0.8)))
+
 
 # -- streams
 

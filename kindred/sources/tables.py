@@ -20,8 +20,23 @@ def read(spark: SparkSession, path: str, format: str = "parquet", schema: T.Stru
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+#: Tables below this many bytes may be read in fewer tasks than there are cores; they are dealt out.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in as many partitions as there are cores; any other as it is.
+
+    A file of one row group is read by one task, whatever its size, and so would be all that follows without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spread(spark.read.parquet(f"{directory}/{name}.parquet"))
 
 
 def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", partition_by: tuple[str, ...] = ()) -> None:
