@@ -31,7 +31,10 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9._~%+-]+(?::[^\s@/]*)?@[^\s\"'<>]+")
-_VALUE = re.compile(r"[\"']?\x20{0,4}(?:[:=#]|(?:no|nr|number)\b\.?:?)\x20{0,4}[\"']?([A-Z0-9](?:[A-Z0-9-]|\x20(?=[0-9])){4,32}[A-Z0-9])")
+_LED = r"[\"']?\x20{0,4}(?:[:=#]|(?:no|nr|number)\b\.?:?)\x20{0,4}[\"']?"
+#: Groups of four after a country and check digits, as bank account numbers are printed; else a run with spaces before digits.
+_IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}(?![A-Za-z0-9]))+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?"
+_VALUE = re.compile(rf"{_LED}({_IBAN}|[A-Z0-9](?:[A-Z0-9-]|\x20(?=[0-9]))*[A-Z0-9])")
 _CUES = ("account", "Account", "ACCOUNT", "acct", "Acct", "iban", "IBAN", "passport", "Passport", "ssn", "SSN", "customer id", "Customer ID", "user id", "User ID")
 
 
@@ -113,7 +116,7 @@ def expand(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
             if left < at and (m := _URL.match(text, end + 1)):
                 found[kind].append((left, m.end()))
                 done[kind] = m.end()
-        elif (m := _VALUE.match(text, end + 1)) and sum(c in _DIGITS for c in m[1]) >= 4:
+        elif (m := _VALUE.match(text, end + 1)) and len(m[1]) >= 6 and sum(c in _DIGITS for c in m[1]) >= 4:
             found[kind].append(m.span(1))
             done[kind] = m.end()
     return found
