@@ -11,6 +11,24 @@ def test_catalogue():
     assert set(sql) <= set(queries) and len(queries) >= 50
 
 
+def test_small_tables_are_spread(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    df = tables.read_table(spark, str(tmp_path), "t")
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 1000
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    tables.write_bucketed(spark.range(100).withColumnRenamed("id", "k"), "kindred_bucketed", "k", 4, mode="overwrite")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = spark.table("kindred_bucketed").alias("a"), spark.table("kindred_bucketed").alias("b")
+        joined = a.join(b, "k")
+        assert joined.count() == 100 and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE kindred_bucketed")
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], tables.DOCUMENTS)
     for kind in ("parquet", "orc", "json", "csv"):

@@ -38,8 +38,8 @@ def test_auto_routing(spark):
 
 def test_cascade(spark):
     flow = Flow().tier_1("jaro_winkler", greater_than(0.95), less_than(0.10)).tier_2("bm25", between(0.30, 0.94)).fallback(hook())
-    df = frame(spark, [("hello world", "hello world"), ("hello world", "hello there"), ("the quick brown fox", "the quick lazy dog"), ("MARTHA", "MARHTA"), ("kitten", "sitting"), ("abc", "xyz"), (None, "x")])
-    assert results(flow.compare(df)) == [(1.0, 1, "jaro_winkler"), (0.75, 3, "fallback"), (0.25, 3, "fallback"), (0.961111, 1, "jaro_winkler"), (0.25, 3, "fallback"), (0.0, 1, "jaro_winkler"), None]
+    df = frame(spark, [(None, "x"), ("hello world", "hello there"), ("abc", "xyz"), ("kitten", "sitting"), ("same words", "same words"), ("MARTHA", "MARHTA"), ("the quick brown fox", "the quick lazy dog")])
+    assert results(flow.compare(df)) == [None, (0.75, 3, "fallback"), (0.0, 1, "jaro_winkler"), (0.25, 3, "fallback"), (1.0, 1, "jaro_winkler"), (0.961111, 1, "jaro_winkler"), (0.25, 3, "fallback")]
     row = flow.compare(df).where("i = 1").first()["result"]
     assert row["fallback_called"] and row["fallback_data"] == "close"
     two = Flow().tier_1("levenshtein", greater_than(0.95), less_than(0.10)).tier_2("bm25", between(0.30, 0.95))
@@ -50,6 +50,27 @@ def test_cascade(spark):
     assert results(ignored.compare(frame(spark, [("kitten", "kitten")]))) == [(0.75, 3, "fallback")]
 
 
+def test_preprocessor_strategy_and_error_propagation(spark):
+    from kindred import Cleaner
+
+    df = frame(spark, [("The  Cat", "cat"), ("cat", "the cats")])
+    flow = Flow().with_preprocessor(Cleaner().with_remove_stopwords()).with_strategy("cascade").tier_1("levenshtein", greater_than(0.9), less_than(0.1))
+    assert results(flow.compare(df)) == [(1.0, 1, "levenshtein"), (0.75, 1, "levenshtein")]
+    assert flow.compare(df).first()["result"].asDict() == {"score": 1.0, "tier": 1, "algorithm": "levenshtein", "fallback_called": False, "fallback_data": None}
+    # A Hamming tier on unequal lengths fails before the hook is asked, or gives NULL.
+    strict = Flow().tier_1("hamming", greater_than(0.9), less_than(0.1)).fallback(hook())
+    with pytest.raises(Exception, match="equal length"):
+        strict.compare(frame(spark, [("abc", "ab")])).collect()
+
+
+def test_exports():
+    import kindred
+
+    assert all(getattr(kindred, name) is not None for name in kindred.__all__) and kindred.Flow is Flow
+    with pytest.raises(AttributeError):
+        kindred.nothing
+
+
 def test_errors(spark):
     df = frame(spark, [("abc", "abcd")])
     with pytest.raises(ValueError):
