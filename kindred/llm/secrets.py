@@ -44,6 +44,8 @@ KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+:[0-9]{2,5}(?![0-9])""")
 _PARA = re.compile(r"\n[\x20\t\r]*\n")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20}")
+#: A text without these has neither base spans nor weak secrets, and so no spans at all.
+CUES = r"(?i:passw|secret|token|api_?k)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_-]{20}"
 
 
 def base_spans(text: str) -> list[Span]:
@@ -132,4 +134,4 @@ def finder(reach: int, bits: float, mark: str | None) -> Callable[[str], tuple[l
 
 def scan(docs: DataFrame, *, reach: int = 400, bits: float = 3.5) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base and spans (kind:start:end, comma-joined) of every document."""
-    return find_spans(docs, lambda: finder(reach, bits, None), BASE)
+    return find_spans(docs, lambda: finder(reach, bits, None), BASE, cues=CUES)

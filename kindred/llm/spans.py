@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,11 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], tuple[list[Span], list[Span], str]]], counted: tuple[str, ...], keep: tuple[str, ...] = (), text_out: bool = False) -> DataFrame:
+def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], tuple[list[Span], list[Span], str]]], counted: tuple[str, ...], keep: tuple[str, ...] = (), text_out: bool = False, cues: str | None = None) -> DataFrame:
     """doc_id, a count per base kind, base and all spans as strings; with text_out also the rewritten text, and the columns to keep as _k0, _k1 and so on, whatever their names.
 
-    finder() makes, once per task, a function from a text to (base spans, all spans, new text).
+    finder() makes, once per task, a function from a text to (base spans, all spans, new text). A text that holds none of
+    the cues (a pattern for Arrow) has no spans, and is not looked at one by one.
     """
     ship(docs.sparkSession)
     others = [(f"_k{i}", docs.schema[name].dataType) for i, name in enumerate(keep)]
@@ -34,8 +36,10 @@ def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], tuple[list[
             counts: list[list[int]] = [[] for _ in counted]
             base_out, all_out, new = [], [], []
             nulls = table.column("text").is_null().to_pylist()
-            for text, null in zip(strings(table).to_pylist(), nulls):
-                base, spans, rewritten = find(text)
+            texts = strings(table)
+            maybe = pc.match_substring_regex(texts, cues).to_pylist() if cues else [True] * len(texts)
+            for text, null, look in zip(texts.to_pylist() if text_out else pc.if_else(pa.array(maybe, pa.bool_()), texts, "").to_pylist(), nulls, maybe):
+                base, spans, rewritten = find(text) if look else ([], [], text)
                 for k, name in enumerate(counted):
                     counts[k].append(sum(s[0] == name for s in base) if base else 0)
                 base_out.append(joined(base))
