@@ -356,16 +356,16 @@ _add("cascade_no_fallback", _cascade(("round(s1, 6)", "1", "'jaccard_bigram'")))
 _add("cascade_fallback", _cascade(("CASE WHEN same THEN 0.75 ELSE 0.25 END", "3", "'fallback'")))(lambda s, d: _flat(_flow().fallback(_half).compare(_item_pairs(s, d))))
 _add("cascade_one_tier", f"WITH {_NEXT_NAME} SELECT index_a, index_b, round({_lev('a', 'b')}, 6) AS score, 1 AS tier, 'levenshtein' AS algorithm FROM pr")(lambda s, d: _flat(Flow.for_intent("typos").preprocess(False).compare(_next_names(s, d))))
 
-_FULL = "result.score AS score, result.tier AS tier, result.algorithm AS algorithm, result.fallback_called AS fallback_called, result.fallback_data AS fallback_data"
+_FULL = "coalesce(result.score, -1.0D) AS score; coalesce(result.tier, -1) AS tier; coalesce(result.algorithm, 'none') AS algorithm; coalesce(result.fallback_called, false) AS fallback_called; coalesce(result.fallback_data, 'none') AS fallback_data"
 
 
 def _whole(df: DataFrame) -> DataFrame:
-    """All fields of the result."""
-    return df.selectExpr("index_a", "index_b", *_FULL.split(", ")).withColumn("score", F.round("score", 6))
+    """All fields of the result, with values for NULL that both engines write alike."""
+    return df.selectExpr("index_a", "index_b", *_FULL.split("; ")).withColumn("score", F.round("score", 6))
 
 
 _add("cascade_full_result", f"""{_TIERS} SELECT index_a, index_b, {_TWO.format(one="round(s1, 6)", two="round(s2, 6)", last="CASE WHEN same THEN 0.75 ELSE 0.25 END")} AS score, {_TWO.format(one="1", two="2", last="3")} AS tier,
-{_TWO.format(one="'jaccard_bigram'", two="'bm25'", last="'fallback'")} AS algorithm, {_TWO.format(one="false", two="false", last="true")} AS fallback_called, {_TWO.format(one="NULL", two="NULL", last="CASE WHEN same THEN 'even' ELSE 'odd' END")} AS fallback_data FROM s""")(lambda s, d: _whole(_flow().with_strategy("cascade").fallback(_half).compare(_item_pairs(s, d))))
+{_TWO.format(one="'jaccard_bigram'", two="'bm25'", last="'fallback'")} AS algorithm, {_TWO.format(one="false", two="false", last="true")} AS fallback_called, {_TWO.format(one="'none'", two="'none'", last="CASE WHEN same THEN 'even' ELSE 'odd' END")} AS fallback_data FROM s""")(lambda s, d: _whole(_flow().with_strategy("cascade").fallback(_half).compare(_item_pairs(s, d))))
 
 
 def _hook_udf():
@@ -386,7 +386,7 @@ def _few(s: str) -> str:
 
 
 _PREPARED = f"pr AS (SELECT index_a, {_few(_kept('a'))} a, index_b, {_few(_kept('b'))} b FROM pr0)"
-_add("flow_with_preprocessor", f"WITH {_ITEMS.replace('pr AS', 'pr0 AS')}, {_PREPARED} SELECT index_a, index_b, round({_jacw('a', 'b')}, 6) AS score, 1 AS tier, 'jaccard_word' AS algorithm, false AS fallback_called, NULL AS fallback_data FROM pr")(
+_add("flow_with_preprocessor", f"WITH {_ITEMS.replace('pr AS', 'pr0 AS')}, {_PREPARED} SELECT index_a, index_b, round({_jacw('a', 'b')}, 6) AS score, 1 AS tier, 'jaccard_word' AS algorithm, false AS fallback_called, 'none' AS fallback_data FROM pr")(
     lambda s, d: _whole(Flow().with_preprocessor(cleaning.Cleaner().with_lowercase(False).with_remove_stopwords().with_stopwords(["the", "of", "and", "is"])).tier_1("jaccard_word", greater_than(0.9), less_than(0.1)).compare(_item_pairs(s, d)))
 )
 # Texts of unequal lengths: an error that makes the result NULL, where a batch scores 0.
@@ -404,7 +404,7 @@ def _nation_pairs(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("id").cast("long").alias("index_a"), F.col("text").alias("a"), key).join(r.select(F.col("id").cast("long").alias("index_b"), F.col("text").alias("b"), key), "k").drop("k")
 
 
-_add("cascade_error_null", f"WITH {_NATIONS} SELECT index_a, index_b, round({_UNEQUAL}, 6) AS score, CASE WHEN length(a) = length(b) THEN 1 END AS tier, CASE WHEN length(a) = length(b) THEN 'hamming' END AS algorithm, CASE WHEN length(a) = length(b) THEN false END AS fallback_called, NULL AS fallback_data FROM pr")(lambda s, d: _whole(Flow().preprocess(False).errors("null").tier_1("hamming", greater_than(0.9), less_than(0.0)).compare(_nation_pairs(s, d))))
+_add("cascade_error_null", f"WITH {_NATIONS} SELECT index_a, index_b, round(coalesce({_UNEQUAL}, -1.0::DOUBLE), 6) AS score, CASE WHEN length(a) = length(b) THEN 1 ELSE -1 END AS tier, CASE WHEN length(a) = length(b) THEN 'hamming' ELSE 'none' END AS algorithm, false AS fallback_called, 'none' AS fallback_data FROM pr")(lambda s, d: _whole(Flow().preprocess(False).errors("null").tier_1("hamming", greater_than(0.9), less_than(0.0)).compare(_nation_pairs(s, d))))
 _add("batch_matrix_two_frames", f"WITH {_NATIONS} SELECT index_a, index_b, round({_lev('a', 'b')}, 6) AS score FROM pr")(lambda s, d: _round(Batch.for_intent("typos").matrix(*_nations(s, d))))
 _add("batch_matrix_all", f"WITH n AS (SELECT item_id id, text t FROM benchmark), pr AS (SELECT x.id index_a, x.t a, y.id index_b, y.t b FROM n x, n y) SELECT index_a, index_b, round({_jac('a', 'b', 2)}, 6) AS score FROM pr")(lambda s, d: _round(Batch.of("jaccard_bigram").matrix(_items(s, d), keep="all")))
 _add("batch_unequal_lengths", f"WITH {_NATIONS} SELECT index_a, index_b, round(coalesce({_UNEQUAL}, 0.0), 6) AS score FROM pr")(lambda s, d: _round(Batch.of("hamming").matrix(*_nations(s, d))))
