@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,20 +114,55 @@ def _leaf(size: int, floor: float):
     return run
 
 
+def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(components of unit vectors in a row, where each vector starts), of any dimensions."""
+    flat, sizes = np.asarray(lists.flatten(), dtype=np.float64), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), starts[:-1]), sizes)
+    return flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts[:-1])), sizes), starts
+
+
 def _meet(floor: float):
-    """Pairs of a vector's neighbours, at least one of them new, that one of the two lists would take."""
+    """Pairs of a vector's neighbours, at least one of them new, that one of the two lists would take.
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, x = np.asarray(table.column("nbr"), dtype=np.int64), _unit(table.column("vec"))
-        new, least, best = (np.asarray(table.column(c)) for c in ("new", "least", "best"))
-        s = x @ x.T
-        i, j = np.triu_indices(len(ids), 1)
-        v = s[i, j]
-        # A list takes what is better than its last entry, below the floor only what is among its best few.
-        take = lambda k: v > np.where(v >= floor, least[k], np.maximum(least[k], best[k]))
-        keep = (new[i] | new[j]) & (take(i) | take(j))
-        i, j, v = i[keep], j[keep], v[keep]
-        return _edges(np.concatenate([ids[i], ids[j]]), np.concatenate([ids[j], ids[i]]), np.concatenate([v, v]))
+    Rows come sorted by (id, part); a group may go on in the next batch.
+    """
+    corners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            ids, parts = table.column("id").to_numpy(), table.column("part").to_numpy()
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (parts[1:] != parts[:-1])) + 1
+            if len(cuts):
+                yield from meet(table.slice(0, cuts[-1]), np.concatenate([[0], cuts]))
+                table = table.slice(cuts[-1])
+            rest = table
+        if rest is not None and rest.num_rows:
+            yield from meet(rest, np.array([0, rest.num_rows]))
+
+    def meet(table: pa.RecordBatch, cuts: np.ndarray):
+        flat, starts = _rows(table.column("vec"))
+        nbr, new, least, best = (table.column(c).to_numpy(zero_copy_only=False) for c in ("nbr", "new", "least", "best"))
+        low = np.maximum(least, best)
+        found = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            n = b - a
+            if n not in corners:
+                corners[n] = np.triu_indices(n, 1)
+            i, j = corners[n]
+            x = flat[starts[a] : starts[b]].reshape(n, -1)
+            v = (x @ x.T)[i, j]
+            i, j = i + a, j + a
+            # A list takes what is better than its last entry, below the floor only what is among its best few.
+            high = v >= floor
+            keep = (new[i] | new[j]) & ((v > np.where(high, least[i], low[i])) | (v > np.where(high, least[j], low[j])))
+            if keep.any():
+                found.append((nbr[i[keep]], nbr[j[keep]], v[keep]))
+        if found:
+            i, j, v = (np.concatenate(x) for x in zip(*found))
+            yield from _edges(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([v, v])).to_batches(max_chunksize=100_000)
 
     return run
 
@@ -288,7 +324,7 @@ def near_duplicates(
         full = F.count(F.lit(1)) >= F.max("takes")
         worst = graph.groupBy("id").agg(F.when(full, F.min("sim")).otherwise(F.lit(-2.0)).alias("least"), F.coalesce(F.min(F.when(F.col("rank") == FEW, F.col("sim"))), F.lit(-2.0)).alias("best"))
         ends = searched.join(worst, "id").select(F.col("id").alias("nbr"), "vec", "least", "best")
-        return both.join(ends, "nbr").select("id", "part", "nbr", "new", "vec", "least", "best").groupBy("id", "part").applyInArrow(_meet(floor), _EDGES)
+        return both.join(ends, "nbr").select("id", "part", "nbr", "new", "vec", "least", "best").repartition("id", "part").sortWithinPartitions("id", "part").mapInArrow(_meet(floor), _EDGES)
 
     def beside(kernel, low: int, high: int, schema: str, name: str) -> DataFrame:
         """What the kernel finds for some vectors and all."""
