@@ -93,7 +93,7 @@ def _shingles(per: np.ndarray, h: np.ndarray, width: int, base: int) -> np.ndarr
 
 
 def _small_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    for table in blocks(batches, 16_000_000):
+    for table in blocks(batches, 12_000_000):
         for at in range(0, table.num_rows, BLOCK_DOCS):
             yield table.slice(at, BLOCK_DOCS)
 

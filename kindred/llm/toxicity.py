@@ -269,7 +269,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, categories: tuple[tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for block in blocks(batches, 12_000_000):
+        for block in blocks(batches, 6_000_000):
             texts = strings(block)
             n = len(texts)
             p = 1 / (1 + np.exp(-np.clip(model.logits(texts), -500, 500))) if model else np.zeros((n, len(names)))
