@@ -84,8 +84,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written and reread."""
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = ws.write(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

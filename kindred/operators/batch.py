@@ -69,8 +69,8 @@ class Batch:
         """Scores of all pairs of the two frames (of one with itself); keep="upper" takes index_a < index_b only.
 
         The result has as many rows as the product of the two; where a threshold follows, similarity_join avoids that.
-        Each side is prepared once per row. Rows of the smaller frame meet blocks of the larger by an equi-join on a
-        block number, so the work is spread evenly whatever the sizes.
+        Each side is prepared once per row. The rows of right, which is to be the smaller one, go to every block of left by
+        an equi-join on a block number, so the work is spread evenly.
         """
         if keep not in ("all", "upper"):
             raise ValueError("keep is 'all' or 'upper'")

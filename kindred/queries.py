@@ -513,3 +513,10 @@ def _stream_near(spark: SparkSession, d: str) -> DataFrame:
     stream = _streamed(spark, d, "benchmark", items)
     near = scoring.near_corpus(stream, items, "item_id", most=7)
     return scoring.drain(spark, near, "stream-near").select("new_id", "corpus_id", F.round("score", 6).alias("score"))
+
+
+@_add("stream_drop_repeats", "SELECT DISTINCT event_type FROM events")
+def _stream_repeats(spark: SparkSession, d: str) -> DataFrame:
+    events = read_table(spark, d, "events")
+    timed = _streamed(spark, d, "events", events).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return scoring.drain(spark, scoring.drop_repeats(timed, "ts", "event_type"), "stream-repeats").select("event_type")
