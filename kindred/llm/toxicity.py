@@ -101,21 +101,18 @@ def _solve(apply, right: np.ndarray, scale: np.ndarray, most: int = 60, share: f
 
 def fit(owner: np.ndarray, code: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, *, l2: float = 1.0, rounds: int = 12) -> Linear:
     """A model from the documents that use marks; y is 0 or 1."""
-    inside = use[owner]
-    o, c = owner[inside], code[inside]
     size = int(code.max(initial=-1)) + 1
-    pos = np.bincount(c, y[o], size)
-    all_ = np.bincount(c, minlength=size).astype(float)
+    pos = np.bincount(code[(use & (y > 0.5))[owner]], minlength=size).astype(float)
+    all_ = np.bincount(code[use[owner]], minlength=size).astype(float)
     n, p = max(use.sum(), 1), y[use].sum()
     share = min(max(p / n, 1e-6), 1 - 1e-6)
     score = np.where(all_ >= 3, (pos - all_ * share) ** 2 / np.maximum(all_ * share * (1 - share), 1e-9), 0)
     columns = np.flatnonzero(score > max(8.0, 2 * np.log(max((all_ >= 3).sum(), 1))))
-    at = np.minimum(np.searchsorted(columns, c), max(len(columns) - 1, 0))
-    hit = columns[at] == c if len(columns) else np.zeros(len(c), bool)
     rows = np.flatnonzero(use)
-    place = np.full(len(use), -1)
-    place[rows] = np.arange(len(rows))
-    i, j, k = place[o[hit]], at[hit], len(columns)
+    place, of = np.full(len(use), -1, np.int32), np.full(size, -1, np.int32)
+    place[rows], of[columns] = np.arange(len(rows)), np.arange(len(columns))
+    hit = np.flatnonzero((of >= 0)[code] & use[owner])
+    i, j, k = place[owner[hit]], of[code[hit]], len(columns)
     d = np.hstack([dense[rows], np.ones((len(rows), 1))])
     target = y[rows]
 
