@@ -172,15 +172,56 @@ def _near(prints: DataFrame, t: float, strict: bool) -> DataFrame:
 
     two = [(i, j) for i in range(bands) for j in range(i + 1, bands)]
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), band(F.col("f"), i).alias("x"), band(F.col("f"), j).alias("y")) for k, (i, j) in enumerate(two)]))
-    a, b = (prints.select(F.col("f").alias(f"f_{s}"), keys.alias("key")) for s in "ab")
-    a, b = (x.select(f"f_{s}", "key.*") for x, s in ((a, "a"), (b, "b")))
-    met = a.join(b, ["k", "x", "y"]).where((F.col("f_a") < F.col("f_b")) & (T.fingerprint_distance("f_a", "f_b") <= most))
-    # The places of the first two equal bands, as bits.
-    equal = sum((F.when(band(F.col("f_a"), i) == band(F.col("f_b"), i), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bands)), F.lit(0).cast("long"))
-    first = equal.bitwiseAND(-equal)
-    rest = equal - first
-    own = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in two]), F.col("k") + 1)
-    return met.where(own == first.bitwiseOR(rest.bitwiseAND(-rest))).select("f_a", "f_b", score)
+    parts = 4 * prints.sparkSession.sparkContext.defaultParallelism  # a number of its own: the rows are small, the work is not
+    keyed = prints.repartition(parts).select("f", keys.alias("key")).select("f", "key.*").repartition(parts, "k", "x", "y").sortWithinPartitions("k", "x", "y")
+    return keyed.mapInArrow(_within(two, cuts, most), "f_a long, f_b long").select("f_a", "f_b", score)
+
+
+def _within(two: list[tuple[int, int]], cuts: list[tuple[int, int]], most: int):
+    """Pairs within the distance among rows (f, k, x, y) of equal keys, which stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.array([(1 << i) | (1 << j) for i, j in two], np.int64)
+        rest: list[np.ndarray] | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                some = [np.asarray(batch.column(c), dtype=np.int64) for c in ("f", "k", "x", "y")]
+                rest = some if rest is None else [np.concatenate(z) for z in zip(rest, some)]
+            if rest is None or not len(rest[0]):
+                continue
+            new = np.flatnonzero(np.any([z[1:] != z[:-1] for z in rest[1:]], axis=0)) + 1
+            stop = len(rest[0]) if batch is None else int(new[-1]) if len(new) else 0  # the last key may go on
+            if not stop:
+                continue
+            f, k = rest[0][:stop].view(np.uint64), rest[1][:stop]
+            rest = [z[stop:] for z in rest]
+            begins = np.concatenate([[0], new[new < stop]])
+            ends = np.repeat(np.append(begins[1:], stop), np.diff(np.append(begins, stop)))
+            at = np.arange(stop)
+            step = 0
+            while True:
+                step += 1
+                at = at[at + step < ends[at]]
+                if not len(at):
+                    break
+                a, b = f[at], f[at + step]
+                hit = np.bitwise_count(a ^ b) <= most
+                if not hit.any():
+                    continue
+                a, b, key = a[hit], b[hit], k[at[hit]]
+                differ = a ^ b
+                # The places of the first two equal bands, as bits.
+                equal = np.zeros(len(a), np.int64)
+                for i, (lo, hi) in enumerate(cuts):
+                    equal |= ((differ >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1) == 0).astype(np.int64) << i
+                first = equal & -equal
+                more = equal - first
+                mine = own[key] == (first | (more & -more))
+                a, b = a[mine].view(np.int64), b[mine].view(np.int64)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["f_a", "f_b"])
+
+    return run
 
 
 def _sets(values: DataFrame, least, sizes, ws: Workspace) -> DataFrame:

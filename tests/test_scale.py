@@ -24,3 +24,14 @@ def test_hamming_candidates_are_not_all_that_share_a_start(spark):
     found, _ = J._candidates(values, A.HAMMING, 0.92, True, Workspace(spark, "test"))
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if sum(x != y for x, y in zip(f"{i:09d}", f"{j:09d}")) == 1}
     assert {tuple(sorted(x)) for x in found.collect()} == want
+
+
+def test_near_fingerprints_of_one_band_are_dealt_out(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(20) << 40 for _ in range(6)]
+    f = sorted({(b ^ sum(1 << r.randrange(40) for _ in range(r.randint(0, 3)))) for b in base for _ in range(150)})
+    found = J._near(spark.createDataFrame([(x,) for x in f], "f long"), 60 / 64, True)
+    want = {(a, b) for i, a in enumerate(f) for b in f[i + 1 :] if (a ^ b).bit_count() < 4}
+    rows = [(x[0], x[1]) for x in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
