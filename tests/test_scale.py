@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from kindred.operators import corpus as K
 from kindred.operators import join as J
 from kindred.plans import algorithms as A
 from kindred.runtime import Workspace
@@ -35,3 +36,22 @@ def test_near_fingerprints_of_one_band_are_dealt_out(spark):
     rows = [(x[0], x[1]) for x in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def ranked(spark):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randint(0, 30)))) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i} w{2 * i} w{3 * i + 1}") for i in range(8)] + [(8, "none"), (9, "")], "query_id long, query string")
+    return K.build(docs), queries
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_made_where_the_documents_are(spark):
+    index, queries = ranked(spark)
+    found = K.bm25_all(index, queries)
+    assert "Exchange" not in plan(found) and found.count() == 2000
+    got, want = ({(x[0], x[1]): x[2] for x in df.collect()} for df in (K.bm25(index, queries), K._joined(index, queries, "query_id", "query")))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
