@@ -55,3 +55,13 @@ def test_scores_are_made_where_the_documents_are(spark):
     assert "Exchange" not in plan(found) and found.count() == 2000
     got, want = ({(x[0], x[1]): x[2] for x in df.collect()} for df in (K.bm25(index, queries), K._joined(index, queries, "query_id", "query")))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_no_task_holds_all_scores_of_a_query(spark):
+    index, queries = ranked(spark)
+    scores = K.bm25(index, queries).persist()
+    assert "Window" not in plan(K.normalized(scores))
+    best = {}
+    for x in scores.collect():
+        best[x["query_id"]] = max(best.get(x["query_id"], 0), x["score"])
+    assert all(abs(x["score"] - y["score"] / best[x["query_id"]]) < 1e-12 for x, y in zip(K.normalized(scores).orderBy("query_id", "doc_id").collect(), scores.orderBy("query_id", "doc_id").collect()))
