@@ -65,3 +65,10 @@ def test_no_task_holds_all_scores_of_a_query(spark):
     for x in scores.collect():
         best[x["query_id"]] = max(best.get(x["query_id"], 0), x["score"])
     assert all(abs(x["score"] - y["score"] / best[x["query_id"]]) < 1e-12 for x, y in zip(K.normalized(scores).orderBy("query_id", "doc_id").collect(), scores.orderBy("query_id", "doc_id").collect()))
+
+
+def test_zeros_are_not_shuffled(spark):
+    index, queries = ranked(spark)
+    found = K.normalized(K.bm25_all(index, queries))
+    assert "SortMergeJoin" not in plan(found) and "Window" not in plan(found)
+    assert found.count() == 2000 and found.where("score = 1").select("query_id").distinct().count() == 8 and found.where("query_id > 7 and score <> 0").isEmpty()
