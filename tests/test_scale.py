@@ -72,3 +72,11 @@ def test_zeros_are_not_shuffled(spark):
     found = K.normalized(K.bm25_all(index, queries))
     assert "SortMergeJoin" not in plan(found) and "Window" not in plan(found)
     assert found.count() == 2000 and found.where("score = 1").select("query_id").distinct().count() == 8 and found.where("query_id > 7 and score <> 0").isEmpty()
+
+
+def test_search_ranks_few_rows(spark):
+    index, queries = ranked(spark)
+    all_ = K._joined(index, queries, "query_id", "query").collect()
+    want = {(q, i + 1, x["doc_id"]) for q in range(10) for i, x in enumerate(sorted((x for x in all_ if x["query_id"] == q), key=lambda x: (-round(x["score"], 9), x["doc_id"]))[:3])}
+    assert {(x["query_id"], x["rank"], x["doc_id"]) for x in K.search(index, queries, 3).collect()} == want
+    assert K._ranked(index, queries, "query_id", "query", best=3).count() < len(all_) / 2
