@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from kindred.runtime import Workspace
 
 #: Queries of up to so many different terms in all are sent to the documents; more meet the postings in a join.
 SENT = 200_000
+#: So many of the most frequent terms have their weights sent to the documents; the others meet theirs in a join.
+FREQUENT = 300_000
 #: Scores, and terms, that a kernel holds at a time.
 CELLS, TERMS = 1_000_000, 500_000
 
@@ -249,24 +251,79 @@ def magnitudes(index: Index, weights: DataFrame) -> DataFrame:
     return index.docs.join(norms, "doc_id", "left").select("doc_id", F.coalesce("magnitude", F.lit(0.0)).alias("magnitude"))
 
 
+def _weighed(index: Index) -> DataFrame:
+    """doc_id, terms, weights, square of every document: the square sums the weights' squares.
+
+    The idf of the most frequent terms is sent to the documents; only the other postings are shuffled, to their terms and back.
+    """
+    top = index.terms.orderBy(F.col("df").desc(), "term").limit(FREQUENT).toArrow()
+    n = index.stats.first()["n"]
+    names, idfs = top.column("term").combine_chunks().cast(pa.string()), np.log((1.0 + n) / (1.0 + np.asarray(top.column("df"), dtype=np.float64))) + 1.0
+    sent = index.rows.sparkSession.sparkContext.broadcast((names, idfs))
+
+    def parts(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.RecordBatch]:
+        names, idfs = sent.value
+        for batch in batches:
+            for at, stop in _slices(_sizes(batch.column("terms")), TERMS):
+                some = batch.slice(at, stop - at)
+                sizes = _sizes(some.column("terms"))
+                words, doc = some.column("terms").flatten(), np.repeat(np.arange(len(sizes)), sizes)
+                w = np.asarray(some.column("tfs").flatten(), dtype=np.float64) / np.asarray(some.column("len"), dtype=np.float64)[doc]
+                code = pc.index_in(words, value_set=names)
+                has = np.asarray(code.is_valid())
+                if rest:
+                    if not has.all():
+                        yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(doc[~has])), words.filter(pa.array(~has)), pa.array(w[~has])], ["doc_id", "term", "tf"])
+                    continue
+                w, doc = w[has] * idfs[np.asarray(code.drop_null(), dtype=np.int64)], doc[has]
+                per = np.bincount(doc, minlength=len(sizes))
+                square = np.bincount(doc, w * w, len(sizes)).astype(np.float64)  # whole numbers if there is no term at all
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), _lists(words.filter(pa.array(has)), per), _lists(pa.array(w), per), pa.array(square)], ["doc_id", "terms", "weights", "square"])
+
+    kind = index.rows.schema["doc_id"].dataType
+    one = T.StructType([T.StructField("doc_id", kind), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("square", T.DoubleType())])
+    often = index.rows.mapInArrow(lambda b: parts(b, False), one)
+    if len(names) < FREQUENT:
+        return often
+    other = T.StructType([T.StructField("doc_id", kind), T.StructField("term", T.StringType()), T.StructField("tf", T.DoubleType())])
+    rare = index.rows.mapInArrow(lambda b: parts(b, True), other).join(idf(index), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    rare = rare.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("_rare"), F.sum(F.col("w") * F.col("w")).alias("_more"))
+
+    def grown(all_: str, field: str) -> Column:
+        return F.when(F.col("_rare").isNull(), F.col(all_)).otherwise(F.concat(all_, F.col(f"_rare.{field}"))).alias(all_)
+
+    return often.join(rare, "doc_id", "left").select("doc_id", grown("terms", "term"), grown("weights", "w"), (F.col("square") + F.coalesce("_more", F.lit(0.0))).alias("square"))
+
+
 def vectors(index: Index) -> DataFrame:
     """(doc_id, weights map, magnitude)."""
-    w = tfidf_weights(index)
-    made = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("magnitude"))
-    none = F.create_map().cast("map<string,double>")
-    return index.docs.join(made, "doc_id", "left").select("doc_id", F.coalesce("weights", none).alias("weights"), F.coalesce("magnitude", F.lit(0.0)).alias("magnitude"))
+    return _weighed(index).select("doc_id", F.map_from_arrays("terms", "weights").alias("weights"), F.sqrt("square").alias("magnitude"))
 
 
 def cosine_pairs(index: Index, pairs: DataFrame) -> DataFrame:
     """id_a, id_b, score of given pairs; two documents without terms are equal."""
-    w = tfidf_weights(index)
-    m = magnitudes(index, w)
-    unit = w.join(m, "doc_id").select("doc_id", "term", (F.col("w") / F.col("magnitude")).alias("u"))
-    a, b = (unit.select(F.col("doc_id").alias(f"id_{s}"), "term", F.col("u").alias(f"u_{s}")) for s in "ab")
-    dots = pairs.select("id_a", "id_b").join(a, "id_a").join(b, ["id_b", "term"]).groupBy("id_a", "id_b").agg(F.sum(F.col("u_a") * F.col("u_b")).alias("dot"))
-    sizes = pairs.select("id_a", "id_b").join(m.select(F.col("doc_id").alias("id_a"), F.col("magnitude").alias("m_a")), "id_a").join(m.select(F.col("doc_id").alias("id_b"), F.col("magnitude").alias("m_b")), "id_b")
-    both = (F.col("m_a") == 0) & (F.col("m_b") == 0)
-    return sizes.join(dots, ["id_a", "id_b"], "left").select("id_a", "id_b", F.when(both, F.lit(1.0)).otherwise(F.coalesce("dot", F.lit(0.0))).alias("score"))
+    ws = Workspace(index.rows.sparkSession, "cosine")
+    vec = ws.write(_weighed(index), "vectors")
+    a, b = (vec.select(F.col("doc_id").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("terms", "weights", "square"))) for s in "ab")
+    joined = pairs.select("id_a", "id_b").join(a, "id_a").join(b, "id_b")
+    both = (F.col("square_a") == 0) & (F.col("square_b") == 0)
+    dot = F.arrow_udf(_dots, "double")("terms_a", "weights_a", "terms_b", "weights_b")
+    norm = F.sqrt("square_a") * F.sqrt("square_b")
+    made = joined.select("id_a", "id_b", both.alias("both"), norm.alias("norm"), dot.alias("dot"))
+    return made.select("id_a", "id_b", F.when(F.col("both"), F.lit(1.0)).when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def _dots(terms_a: pa.Array, weights_a: pa.Array, terms_b: pa.Array, weights_b: pa.Array) -> pa.Array:
+    out = [np.zeros(0)]
+    sizes_a, sizes_b = _sizes(terms_a), _sizes(terms_b)
+    for at, stop in _slices(sizes_a + sizes_b, TERMS):
+        (ta, wa), (tb, wb) = ((t.slice(at, stop - at).flatten(), np.asarray(w.slice(at, stop - at).flatten())) for t, w in ((terms_a, weights_a), (terms_b, weights_b)))
+        codes = np.asarray(pa.concat_arrays([ta, tb]).dictionary_encode().indices, dtype=np.int64)
+        span, rows = int(codes.max(initial=0)) + 1, np.arange(stop - at)
+        ka, kb = np.repeat(rows, sizes_a[at:stop]) * span + codes[: len(ta)], np.repeat(rows, sizes_b[at:stop]) * span + codes[len(ta) :]
+        key, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        out.append(np.bincount(key // span, wa[ia] * wb[ib], stop - at).astype(np.float64))
+    return pa.array(np.concatenate(out))
 
 
 def cosine_overlaps(index: Index) -> DataFrame:

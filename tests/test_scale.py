@@ -80,3 +80,19 @@ def test_search_ranks_few_rows(spark):
     want = {(q, i + 1, x["doc_id"]) for q in range(10) for i, x in enumerate(sorted((x for x in all_ if x["query_id"] == q), key=lambda x: (-round(x["score"], 9), x["doc_id"]))[:3])}
     assert {(x["query_id"], x["rank"], x["doc_id"]) for x in K.search(index, queries, 3).collect()} == want
     assert K._ranked(index, queries, "query_id", "query", best=3).count() < len(all_) / 2
+
+
+def test_cosines_with_few_frequent_terms(spark, monkeypatch):
+    index, _ = ranked(spark)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(199)], "id_a long, id_b long")
+    whole = {x[0]: x[2] for x in K.cosine_pairs(index, pairs).collect()}
+    unit = {}
+    w = {(x["doc_id"], x["term"]): x["w"] for x in K.tfidf_weights(index).collect()}
+    for (d, _t), x in w.items():
+        unit[d] = unit.get(d, 0) + x * x
+    for i in range(199):
+        dot = sum(x * w.get((i + 1, t), 0) for (d, t), x in w.items() if d == i)
+        norm = (unit.get(i, 0) * unit.get(i + 1, 0)) ** 0.5
+        assert abs(whole[i] - (dot / norm if norm else float(i not in unit and i + 1 not in unit))) < 1e-9
+    monkeypatch.setattr(K, "FREQUENT", 5)
+    assert all(abs(x[2] - whole[x[0]]) < 1e-9 for x in K.cosine_pairs(index, pairs).collect())
