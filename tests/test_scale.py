@@ -96,3 +96,13 @@ def test_cosines_with_few_frequent_terms(spark, monkeypatch):
         assert abs(whole[i] - (dot / norm if norm else float(i not in unit and i + 1 not in unit))) < 1e-9
     monkeypatch.setattr(K, "FREQUENT", 5)
     assert all(abs(x[2] - whole[x[0]]) < 1e-9 for x in K.cosine_pairs(index, pairs).collect())
+
+
+def test_vectors_of_frequent_and_other_terms(spark, monkeypatch):
+    index, _ = ranked(spark)
+    whole = {x["doc_id"]: x for x in K.vectors(index).collect()}
+    assert "collect_list" not in plan(K.vectors(index)) and len(whole) == 200
+    monkeypatch.setattr(K, "FREQUENT", 5)
+    for x in K.vectors(index).collect():
+        y = whole[x["doc_id"]]
+        assert x["weights"].keys() == y["weights"].keys() and abs(x["magnitude"] - y["magnitude"]) < 1e-12
