@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Bytes of a batch that a Python worker gets at once; a worker holds several times as much. Spark's own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor (once per application)."""
+    """Make this package importable in the Python workers of every executor (once per application), and their batches small."""
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -2,12 +2,13 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kindred.operators import corpus as K
 from kindred.operators import join as J
 from kindred.plans import algorithms as A
-from kindred.runtime import Workspace
+from kindred.runtime import Workspace, ship
 
 
 def test_one_shared_rare_word_is_no_candidate(spark):
@@ -106,3 +107,9 @@ def test_vectors_of_frequent_and_other_terms(spark, monkeypatch):
     for x in K.vectors(index).collect():
         y = whole[x["doc_id"]]
         assert x["weights"].keys() == y["weights"].keys() and abs(x["magnitude"] - y["magnitude"]) < 1e-12
+
+
+def test_python_workers_get_small_batches(spark):
+    ship(spark)
+    seen = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("s")).mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], ["n"]) for x in b), "n long")
+    assert max(x["n"] for x in seen.collect()) < 10_000_000
