@@ -113,3 +113,9 @@ def test_python_workers_get_small_batches(spark):
     ship(spark)
     seen = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("s")).mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], ["n"]) for x in b), "n long")
     assert max(x["n"] for x in seen.collect()) < 10_000_000
+
+
+def test_arrow_udfs_get_small_batches(spark):
+    ship(spark)
+    size = F.arrow_udf(lambda s: pa.array([s.nbytes] * len(s)), "long")
+    assert spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("s")).select(size("s").alias("n")).agg(F.max("n")).first()[0] < 10_000_000
