@@ -119,3 +119,10 @@ def test_arrow_udfs_get_small_batches(spark):
     ship(spark)
     size = F.arrow_udf(lambda s: pa.array([s.nbytes] * len(s)), "long")
     assert spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("s")).select(size("s").alias("n")).agg(F.max("n")).first()[0] < 10_000_000
+
+
+def test_jaro_counts_characters(spark):
+    from kindred.functions.text import jaro_winkler_similarity
+
+    pair = spark.createDataFrame([("la ciónadogaas coci que cici.", "rata asos el osta ción.")], "a string, b string")
+    assert round(pair.select(jaro_winkler_similarity("a", "b")).first()[0], 6) == 0.644959
