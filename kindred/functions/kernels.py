@@ -1,4 +1,4 @@
-"""Vectorised kernels over many texts at once: Jaro, FNV-1a, MinHash and SimHash. No Spark in here."""
+"""Vectorised kernels over many texts at once: tokens, Jaro, FNV-1a, MinHash and SimHash. No Spark in here."""
 
 from __future__ import annotations
 
@@ -20,6 +20,27 @@ def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), sizes
 
 
+_WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[i for i in range(128) if chr(i) in "\t\n\v\f\r" or 32 < i < 127 and not chr(i).isalnum()]] = 32
+
+
+def split_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(tokens per text, code of each in order, distinct tokens): the tokens of text.tokens, but for their case; NULL has none."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, _WIDE_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, _WIDE_SPACE, " ")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    spaced = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends - ends[0])), pa.py_buffer(_SPACED[raw])])
+    parts = pc.ascii_split_whitespace(spaced)
+    found = parts.flatten().dictionary_encode()
+    codes, per = np.asarray(found.indices, dtype=np.int64), np.asarray(pc.list_value_length(parts), dtype=np.int64)
+    some = np.asarray(pc.not_equal(found.dictionary, ""), dtype=bool)[codes]  # before a leading and after a closing space
+    return np.bincount(np.repeat(np.arange(len(per)), per)[some], minlength=len(per)), codes[some], found.dictionary
+
+
 def _fold(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
     """FNV-1a over the UTF-8 bytes of one more code point each."""
     if not len(cp):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.functions.kernels import split_tokens
 from kindred.functions.text import tokens
 from kindred.runtime import Workspace
 
@@ -21,6 +22,9 @@ SENT = 200_000
 FREQUENT = 300_000
 #: Scores, and terms, that a kernel holds at a time.
 CELLS, TERMS = 1_000_000, 500_000
+#: Bytes of text that are split at a time.
+BYTES = 4 << 20
+
 
 @dataclass(frozen=True)
 class Params:
@@ -46,15 +50,17 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Para
     Every row is a document, and ids are unique. Tokens are counted where they are made, without a shuffle, and the
     counts are written once to the shared folder, a row per document: whatever is asked of the index reads them there.
     """
-    toks = F.col(text) if tokenized else tokens(F.col(text))
-    kind = docs.schema[key].dataType
-    base = docs.select(F.col(key).alias("doc_id"), F.coalesce(toks, F.array().cast("array<string>")).alias("toks"))
+    t, kind = F.col(text), docs.schema[key].dataType
+    if tokenized:
+        base = docs.select(F.col(key).alias("doc_id"), F.coalesce(t, F.array().cast("array<string>")).alias("toks"))
+    else:  # lowered here, split where they are counted; the lower case of a sigma depends on where its token ends
+        base = docs.select(F.col(key).alias("doc_id"), F.when(t.contains("\u03a3"), F.array_join(tokens(t), " ")).otherwise(F.lower(t)).alias("text"))
     ws = Workspace(docs.sparkSession, "index")
     made = T.StructType([T.StructField("doc_id", kind), T.StructField("len", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.LongType()))])
-    rows = ws.write(base.mapInArrow(_counted, made), "rows")
+    rows = ws.write(base.mapInArrow(_counted if tokenized else _split, made), "rows")
     lengths = rows.select("doc_id", "len")
     postings = rows.select("doc_id", "len", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = rows.select("terms").mapInArrow(_holding, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_tokens"))
     return Index(rows, lengths, postings, terms, stats, params)
 
@@ -82,11 +88,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, stop in _slices(sizes, TERMS):
             some, n = batch.slice(at, stop - at), sizes[at:stop]
             words = some.column("toks").flatten().dictionary_encode()
-            span = max(len(words.dictionary), 1)
-            key, tf = np.unique(np.repeat(np.arange(len(n)), n) * span + np.asarray(words.indices, dtype=np.int64), return_counts=True)
-            per = np.bincount(key // span, minlength=len(n))
-            lists = _lists(words.dictionary.take(pa.array(key % span)), per), _lists(pa.array(tf.astype(np.int64)), per)
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n), *lists], ["doc_id", "len", "terms", "tfs"])
+            yield _row_counts(some.column("doc_id"), n, np.asarray(words.indices, dtype=np.int64), words.dictionary)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").cast(pa.string())
+        for at, stop in _slices(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64), BYTES):
+            yield _row_counts(batch.column("doc_id").slice(at, stop - at), *split_tokens(texts.slice(at, stop - at)))
+
+
+def _row_counts(ids: pa.Array, n: np.ndarray, codes: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """Rows of the index, of documents of n tokens each."""
+    span = max(len(words), 1)
+    key, tf = np.unique(np.repeat(np.arange(len(n)), n) * span + codes, return_counts=True)
+    per = np.bincount(key // span, minlength=len(n))
+    lists = _lists(words.take(pa.array(key % span)), per), _lists(pa.array(tf.astype(np.int64)), per)
+    return pa.RecordBatch.from_arrays([ids, pa.array(n), *lists], ["doc_id", "len", "terms", "tfs"])
+
+
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df) of so many postings at a time."""
+
+    def counted() -> pa.RecordBatch:
+        found = pa.concat_arrays(held).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["term", "df"])
+
+    held: list[pa.Array] = []
+    for batch in batches:
+        held.append(batch.column("terms").flatten())
+        if sum(map(len, held)) >= 4 * TERMS:
+            yield counted()
+            held.clear()
+    if held:
+        yield counted()
 
 
 @dataclass(frozen=True)
@@ -131,46 +166,75 @@ def _asked(index: Index, queries: DataFrame, terms: DataFrame, key: str) -> _Ask
     return _Asked(ids, vocabulary, first, query[order], weight[order], float(avgdl), index.params)
 
 
-def _scores(asked: _Asked, every: bool, best: int = 0):
-    """Scores where the documents are: of every query, or those above 0; with best, only what may be among so many best of a query."""
+def _tables(asked: _Asked, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids of documents and their scores, a row per document and a column per query."""
+    q, p = len(asked.ids), asked.params
+    for batch in batches:
+        for at, stop in _slices(np.full(batch.num_rows, max(q, 1)), CELLS):
+            some = batch.slice(at, stop - at)
+            sizes = _sizes(some.column("terms"))
+            code = pc.index_in(some.column("terms").flatten(), value_set=asked.terms)
+            has = np.asarray(code.is_valid())
+            code, doc = np.asarray(code.drop_null(), dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)[has]
+            tf = np.asarray(some.column("tfs").flatten(), dtype=np.float64)[has]
+            size = np.asarray(some.column("len"), dtype=np.float64)[doc]
+            part = tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / (asked.avgdl or 1.0)))
+            times = asked.first[code + 1] - asked.first[code]
+            score = np.zeros(len(sizes) * q)
+            for lo, hi in _slices(times, 4 * CELLS):
+                n = times[lo:hi]
+                place = np.arange(n.sum()) + np.repeat(asked.first[code[lo:hi]] - (np.cumsum(n) - n), n)
+                score += np.bincount(np.repeat(doc[lo:hi] * q, n) + asked.query[place], np.repeat(part[lo:hi], n) * asked.weight[place], len(score))
+            yield some.column("doc_id"), score.reshape(-1, q)
+
+
+def _scores(asked: _Asked, every: bool, best: int = 0, over: np.ndarray | None = None):
+    """Scores where the documents are: of every query, or those above 0; with best, only what may be among so many best of a query.
+
+    over: what the scores of each query are divided by; they are 0 where it is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, p = len(asked.ids), asked.params
+        q = len(asked.ids)
         top = np.full((q, best), -np.inf)
-        for batch in batches:
-            for at, stop in _slices(np.full(batch.num_rows, max(q, 1)), CELLS):
-                some = batch.slice(at, stop - at)
-                sizes = _sizes(some.column("terms"))
-                code = pc.index_in(some.column("terms").flatten(), value_set=asked.terms)
-                has = np.asarray(code.is_valid())
-                code, doc = np.asarray(code.drop_null(), dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)[has]
-                tf = np.asarray(some.column("tfs").flatten(), dtype=np.float64)[has]
-                size = np.asarray(some.column("len"), dtype=np.float64)[doc]
-                part = tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / (asked.avgdl or 1.0)))
-                times = asked.first[code + 1] - asked.first[code]
-                score = np.zeros(len(sizes) * q)
-                for lo, hi in _slices(times, 4 * CELLS):
-                    n = times[lo:hi]
-                    place = np.arange(n.sum()) + np.repeat(asked.first[code[lo:hi]] - (np.cumsum(n) - n), n)
-                    score += np.bincount(np.repeat(doc[lo:hi] * q, n) + asked.query[place], np.repeat(part[lo:hi], n) * asked.weight[place], len(score))
-                if best:
-                    table = score.reshape(-1, q)
-                    top = np.sort(np.concatenate([top, table.T], axis=1), axis=1)[:, -best:]
-                    keep = np.flatnonzero((score > 0) & (table >= top[:, 0] - 1e-8).ravel())  # ties of rounded scores stay
-                else:
-                    keep = np.arange(len(score)) if every else np.flatnonzero(score > 0)
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(keep % q)), some.column("doc_id").take(pa.array(keep // q)), pa.array(score[keep])], ["query_id", "doc_id", "score"])
+        for docs, table in _tables(asked, batches):
+            if best:
+                top = np.sort(np.concatenate([top, table.T], axis=1), axis=1)[:, -best:]
+                keep = np.flatnonzero((table > 0) & (table >= top[:, 0] - 1e-8))  # ties of rounded scores stay
+            else:
+                keep = np.arange(table.size) if every else np.flatnonzero(table > 0)
+            if over is not None:
+                table = table / np.where(over > 0, over, np.inf)
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(keep % q)), docs.take(pa.array(keep // q)), pa.array(table.ravel()[keep])], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def _best(asked: _Asked):
+    """The best score of each query in a partition, by the query's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.zeros(len(asked.ids))
+        for _, table in _tables(asked, batches):
+            top = np.maximum(top, table.max(axis=0, initial=0.0))
+        some = np.flatnonzero(top)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(top[some])], ["query", "best"])
 
     return run
 
 
-def _ranked(index: Index, queries: DataFrame, key: str, text: str, every: bool = False, best: int = 0) -> DataFrame | None:
+def _ranked(index: Index, queries: DataFrame, key: str, text: str, every: bool = False, best: int = 0, normal: bool = False) -> DataFrame | None:
     asked = _asked(index, queries, _terms(queries, key, text), key)
     if asked is None:
         return None
+    over = None
+    if normal:
+        over = np.zeros(len(asked.ids))
+        for r in index.rows.mapInArrow(_best(asked), "query long, best double").groupBy("query").agg(F.max("best").alias("best")).collect():
+            over[r["query"]] = r["best"]
     kinds = T.StructType([T.StructField("query_id", queries.schema[key].dataType), T.StructField("doc_id", index.rows.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    return index.rows.mapInArrow(_scores(asked, every, best), kinds)
+    return index.rows.mapInArrow(_scores(asked, every, best, over), kinds)
 
 
 def _terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -218,6 +282,12 @@ def bm25_all(index: Index, queries: DataFrame, key: str = "query_id", text: str
     return d.join(q, "_block").join(_joined(index, queries, key, text), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def bm25_normalized(index: Index, queries: DataFrame, every: bool = False, key: str = "query_id", text: str = "query") -> DataFrame:
+    """The scores of bm25, or of bm25_all, over the best of their query; only the best scores of partitions are compared, not all scores."""
+    sent = _ranked(index, queries, key, text, every=every, normal=True)
+    return normalized((bm25_all if every else bm25)(index, queries, key, text)) if sent is None else sent
+
+
 def normalized(scores: DataFrame) -> DataFrame:
     """Scores over the best of their query; 0 where that is 0."""
     best = F.broadcast(scores.groupBy(F.col("query_id").alias("_query")).agg(F.max("score").alias("_best")))  # a row per query

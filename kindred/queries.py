@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import cleaning
@@ -264,6 +264,11 @@ def _index(spark: SparkSession, d: str) -> K.Index:
     return K.build(read_table(spark, d, "documents"))
 
 
+def _six(score: str) -> Column:
+    """A score from 0 up to 6 digits, rounded in doubles as the SQL does it; F.round makes a decimal of every value."""
+    return (F.floor(F.col(score) * 1e6 + 0.5) / 1e6).alias(score)
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -271,8 +276,8 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 _add("bm25_index_stats", f"WITH {_CORPUS} SELECT n::BIGINT AS n, round(av, 6) AS avgdl, total AS total_tokens FROM st")(lambda s, d: _index(s, d).stats.select("n", F.round("avgdl", 6).alias("avgdl"), "total_tokens"))
 _add("bm25_document_frequencies", f"WITH {_CORPUS} SELECT term, df::BIGINT AS df FROM df")(lambda s, d: _index(s, d).terms)
 _add("bm25_postings", f"WITH {_CORPUS} SELECT doc_id, term, tf::BIGINT AS tf FROM p")(lambda s, d: _index(s, d).postings.select("doc_id", "term", "tf"))
-_add("bm25_scores", f"WITH {_RANKED} SELECT b.item_id AS query_id, l.doc_id, round(coalesce(score, 0), 6) AS score FROM l JOIN benchmark b ON true LEFT JOIN s ON s.doc_id = l.doc_id AND s.query_id = b.item_id")(lambda s, d: K.bm25_all(_index(s, d), _queries(s, d)).select("query_id", "doc_id", F.round("score", 6).alias("score")))
-_add("bm25_normalized", f"WITH {_RANKED} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM s")(lambda s, d: K.normalized(K.bm25(_index(s, d), _queries(s, d))).select("query_id", "doc_id", F.round("score", 6).alias("score")))
+_add("bm25_scores", f"WITH {_RANKED} SELECT b.item_id AS query_id, l.doc_id, round(coalesce(score, 0), 6) AS score FROM l JOIN benchmark b ON true LEFT JOIN s ON s.doc_id = l.doc_id AND s.query_id = b.item_id")(lambda s, d: K.bm25_all(_index(s, d), _queries(s, d)).select("query_id", "doc_id", _six("score")))
+_add("bm25_normalized", f"WITH {_RANKED} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM s")(lambda s, d: K.bm25_normalized(_index(s, d), _queries(s, d)).select("query_id", "doc_id", _six("score")))
 _add("bm25_search", f"WITH {_RANKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) rank FROM s) SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10")(lambda s, d: K.search(_index(s, d), _queries(s, d), 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score")))
 _add("tfidf_idf", f"WITH {_CORPUS} SELECT term, round(ln((1 + n) / (1.0 + df)) + 1, 9) AS idf FROM df, st")(lambda s, d: K.idf(_index(s, d)).select("term", F.round("idf", 9).alias("idf")))
 _add("tfidf_weights", f"WITH {_TFIDF} SELECT doc_id, term, round(w, 9) AS w FROM w")(lambda s, d: K.tfidf_weights(_index(s, d)).select("doc_id", "term", F.round("w", 9).alias("w")))
@@ -418,7 +423,7 @@ _add("clean_nfc", f"WITH o AS (SELECT doc_id, {_ODD} AS text FROM documents) SEL
 _add("clean_setters", f"SELECT doc_id, md5(regexp_replace(text, '[{_WS}]+', ' ', 'g')) AS digest FROM documents")(lambda s, d: read_table(s, d, "documents").select("doc_id", F.md5(cleaning.Cleaner().with_normalize_unicode(False).with_lowercase(False).with_collapse_whitespace().with_trim(False).apply("text")).alias("digest")))
 _add("clean_custom_stopwords", f"SELECT doc_id, md5({_few(_clean('text'))}) AS digest FROM documents")(lambda s, d: read_table(s, d, "documents").select("doc_id", F.md5(cleaning.Cleaner().with_remove_stopwords().with_stopwords(["the", "of", "and", "is"]).apply("text")).alias("digest")))
 
-_add("bm25_normalized_all", f"WITH {_RANKED}, al AS (SELECT b.item_id query_id, l.doc_id, coalesce(score, 0) score FROM l JOIN benchmark b ON true LEFT JOIN s ON s.doc_id = l.doc_id AND s.query_id = b.item_id) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS score FROM al")(lambda s, d: K.normalized(K.bm25_all(_index(s, d), _queries(s, d))).select("query_id", "doc_id", F.round("score", 6).alias("score")))
+_add("bm25_normalized_all", f"WITH {_RANKED}, al AS (SELECT b.item_id query_id, l.doc_id, coalesce(score, 0) score FROM l JOIN benchmark b ON true LEFT JOIN s ON s.doc_id = l.doc_id AND s.query_id = b.item_id) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS score FROM al")(lambda s, d: K.bm25_normalized(_index(s, d), _queries(s, d), every=True).select("query_id", "doc_id", _six("score")))
 _add("bm25_one", f"WITH {_CORPUS}, q AS (SELECT unnest({_toks('text')}) term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), s AS (SELECT sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) score FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (doc_id), st WHERE doc_id = 3) SELECT 3::BIGINT AS doc_id, round(coalesce(score, 0), 6) AS score FROM s")(
     lambda s, d: K.bm25_one(_index(s, d), read_table(s, d, "benchmark").orderBy("item_id").first()["text"], 3).select(F.col("doc_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 )

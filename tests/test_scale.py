@@ -126,3 +126,26 @@ def test_jaro_counts_characters(spark):
 
     pair = spark.createDataFrame([("la ciónadogaas coci que cici.", "rata asos el osta ción.")], "a string, b string")
     assert round(pair.select(jaro_winkler_similarity("a", "b")).first()[0], 6) == 0.644959
+
+
+def test_best_scores_are_found_where_the_documents_are(spark, monkeypatch):
+    index, queries = ranked(spark)
+    for every, scores in ((True, K.bm25_all), (False, K.bm25)):
+        found = K.bm25_normalized(index, queries, every=every)
+        assert "Exchange" not in plan(found) and "Join" not in plan(found)
+        got, want = ({(x[0], x[1]): x[2] for x in df.collect()} for df in (found, K.normalized(scores(index, queries))))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    monkeypatch.setattr(K, "SENT", 1)
+    assert {(x[0], x[1]): round(x[2], 9) for x in K.bm25_normalized(index, queries).collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_tokens_of_an_index_are_those_of_the_expression(spark):
+    from kindred.functions.text import tokens
+
+    odd = ["ΑΣ.ΒΣ ΣΑΣ", "İI ı K\u0085ẞ", "a-b_c!", "", " ", None, "　x\x1fy\x00z", "Ǆ ÀB'c", "~!@", "one  two\tTHREE\r\n"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd * 3)], "doc_id long, text string")
+    got, want = (sorted((x["doc_id"], x["len"], sorted(zip(x["terms"], x["tfs"]))) for x in K.build(df, tokenized=done).rows.collect()) for df, done in ((docs, False), (docs.select("doc_id", tokens("text").alias("text")), True)))
+    assert got == want
+    index = K.build(docs)
+    assert "Generate" not in plan(index.terms)
+    assert {tuple(x) for x in index.terms.collect()} == {tuple(x) for x in index.postings.groupBy("term").agg(F.count(F.lit(1))).collect()}
