@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -322,11 +322,16 @@ def magnitudes(index: Index, weights: DataFrame) -> DataFrame:
 
 
 def _weighed(index: Index) -> DataFrame:
-    """doc_id, terms, weights, square of every document: the square sums the weights' squares.
+    """doc_id, terms, weights, n_terms, square of every document: the square sums the weights' squares.
 
     The idf of the most frequent terms is sent to the documents; only the other postings are shuffled, to their terms and back.
+    What meets them there is what is asked for: without terms and weights the documents' rows stay small.
     """
-    top = index.terms.orderBy(F.col("df").desc(), "term").limit(FREQUENT).toArrow()
+    ws = Workspace(index.rows.sparkSession, "weights")
+    index = replace(index, terms=ws.write(index.terms, "terms"))
+    many = sorted(map(tuple, index.terms.groupBy("df").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    fit = [df for (df, _), total in zip(many, np.cumsum([n for _, n in many])) if total <= FREQUENT]
+    top = index.terms.where(F.col("df") >= (fit[-1] if fit else many[0][0] + 1 if many else 0)).toArrow()
     n = index.stats.first()["n"]
     names, idfs = top.column("term").combine_chunks().cast(pa.string()), np.log((1.0 + n) / (1.0 + np.asarray(top.column("df"), dtype=np.float64))) + 1.0
     sent = index.rows.sparkSession.sparkContext.broadcast((names, idfs))
@@ -348,26 +353,27 @@ def _weighed(index: Index) -> DataFrame:
                 w, doc = w[has] * idfs[np.asarray(code.drop_null(), dtype=np.int64)], doc[has]
                 per = np.bincount(doc, minlength=len(sizes))
                 square = np.bincount(doc, w * w, len(sizes)).astype(np.float64)  # whole numbers if there is no term at all
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), _lists(words.filter(pa.array(has)), per), _lists(pa.array(w), per), pa.array(square)], ["doc_id", "terms", "weights", "square"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), _lists(words.filter(pa.array(has)), per), _lists(pa.array(w), per), pa.array(per.astype(np.int64)), pa.array(square)], ["doc_id", "terms", "weights", "n_terms", "square"])
 
     kind = index.rows.schema["doc_id"].dataType
-    one = T.StructType([T.StructField("doc_id", kind), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("square", T.DoubleType())])
+    one = T.StructType([T.StructField("doc_id", kind), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("n_terms", T.LongType()), T.StructField("square", T.DoubleType())])
     often = index.rows.mapInArrow(lambda b: parts(b, False), one)
-    if len(names) < FREQUENT:
+    if len(fit) == len(many):
         return often
     other = T.StructType([T.StructField("doc_id", kind), T.StructField("term", T.StringType()), T.StructField("tf", T.DoubleType())])
     rare = index.rows.mapInArrow(lambda b: parts(b, True), other).join(idf(index), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    rare = rare.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("_rare"), F.sum(F.col("w") * F.col("w")).alias("_more"))
+    rare = rare.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("_rare"), F.count(F.lit(1)).alias("_others"), F.sum(F.col("w") * F.col("w")).alias("_more"))
 
     def grown(all_: str, field: str) -> Column:
         return F.when(F.col("_rare").isNull(), F.col(all_)).otherwise(F.concat(all_, F.col(f"_rare.{field}"))).alias(all_)
 
-    return often.join(rare, "doc_id", "left").select("doc_id", grown("terms", "term"), grown("weights", "w"), (F.col("square") + F.coalesce("_more", F.lit(0.0))).alias("square"))
+    count = (F.col("n_terms") + F.coalesce("_others", F.lit(0))).alias("n_terms")
+    return often.join(rare, "doc_id", "left").select("doc_id", grown("terms", "term"), grown("weights", "w"), count, (F.col("square") + F.coalesce("_more", F.lit(0.0))).alias("square"))
 
 
 def vectors(index: Index) -> DataFrame:
-    """(doc_id, weights map, magnitude)."""
-    return _weighed(index).select("doc_id", F.map_from_arrays("terms", "weights").alias("weights"), F.sqrt("square").alias("magnitude"))
+    """(doc_id, weights map, n_terms, magnitude)."""
+    return _weighed(index).select("doc_id", F.map_from_arrays("terms", "weights").alias("weights"), "n_terms", F.sqrt("square").alias("magnitude"))
 
 
 def cosine_pairs(index: Index, pairs: DataFrame) -> DataFrame:

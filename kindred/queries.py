@@ -285,7 +285,7 @@ _add("tfidf_weights", f"WITH {_TFIDF} SELECT doc_id, term, round(w, 9) AS w FROM
 
 @_add("tfidf_vectors", f"WITH {_TFIDF}, c AS (SELECT doc_id, count(*) k FROM w GROUP BY 1) SELECT doc_id, coalesce(k, 0)::BIGINT AS n_terms, round(m, 9) AS magnitude FROM m LEFT JOIN c USING (doc_id)")
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return K.vectors(_index(spark, d)).select("doc_id", F.size("weights").cast("long").alias("n_terms"), F.round("magnitude", 9).alias("magnitude"))
+    return K.vectors(_index(spark, d)).select("doc_id", "n_terms", F.round("magnitude", 9).alias("magnitude"))
 
 
 @_add("tfidf_cosine", f"WITH {_TFIDF}, pr AS (SELECT x.doc_id id_a, y.doc_id id_b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1), ds AS (SELECT id_a, id_b, sum(x.w * y.w) dot FROM pr JOIN w x ON x.doc_id = id_a JOIN w y ON y.doc_id = id_b AND y.term = x.term GROUP BY ALL) SELECT id_a, id_b, round(CASE WHEN x.m = 0 AND y.m = 0 THEN 1.0 WHEN dot IS NULL THEN 0.0 ELSE dot / (x.m * y.m) END, 6) AS score FROM pr JOIN m x ON x.doc_id = id_a JOIN m y ON y.doc_id = id_b LEFT JOIN ds USING (id_a, id_b)")

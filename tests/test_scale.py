@@ -149,3 +149,16 @@ def test_tokens_of_an_index_are_those_of_the_expression(spark):
     index = K.build(docs)
     assert "Generate" not in plan(index.terms)
     assert {tuple(x) for x in index.terms.collect()} == {tuple(x) for x in index.postings.groupBy("term").agg(F.count(F.lit(1))).collect()}
+
+
+def test_counts_and_magnitudes_leave_the_terms_where_they_are(spark, monkeypatch):
+    index, _ = ranked(spark)
+    monkeypatch.setattr(K, "FREQUENT", 5)
+    found = K.vectors(index)
+    asked = found.select("doc_id", "n_terms", "magnitude")
+    assert "collect_list" in plan(found) and "collect_list" not in plan(asked) and "TakeOrdered" not in plan(asked)
+    whole = {x["doc_id"]: x for x in found.collect()}
+    got = asked.collect()
+    assert len(got) == 200 and all(x["n_terms"] == len(whole[x["doc_id"]]["weights"]) and abs(x["magnitude"] - whole[x["doc_id"]]["magnitude"]) < 1e-12 for x in got)
+    monkeypatch.setattr(K, "FREQUENT", 0)
+    assert {x["doc_id"]: (x["n_terms"], round(x["magnitude"], 9)) for x in K.vectors(index).collect()} == {x["doc_id"]: (x["n_terms"], round(x["magnitude"], 9)) for x in got}
