@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.hot import LEAST, hot_keys
-from kindred.llm.textarrow import blocks, hashes, strings, word_codes
+from kindred.llm.textarrow import blocks, give_back, hashes, strings, word_codes
 from kindred.runtime import Workspace
 
 #: Bands reach to counts of 2**31, far beyond what the first word outside WORDS has in any corpus.
@@ -129,24 +129,30 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
     schema = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("token", pa.string()), ("ending", pa.int8()), ("count", pa.int64()), ("payload", pa.binary())])
     for table in blocks(batches, 14_000_000):
-        per, codes, words = word_codes(strings(table))
-        held = np.asarray(table.column("held_out"), dtype=bool)
+        ids, held = table.column("doc_id"), np.asarray(table.column("held_out"), dtype=bool)
+        texts = strings(table)
+        del table  # a block's texts are held once, and only until its words are known
+        per, codes, words = word_codes(texts)
+        del texts
         end = len(words)
         codes = np.insert(codes, np.cumsum(per), end)
         per = per + 1
-        trained = np.repeat(~held, per)
-        counts = np.bincount(codes[trained], minlength=end + 1)
+        trained, counts = np.repeat(~held, per), np.zeros(end + 1, np.int64)
+        for at in range(0, len(codes), CHUNK):
+            counts += np.bincount(codes[at : at + CHUNK][trained[at : at + CHUNK]], minlength=end + 1)
         names = words.cast(pa.large_string())
-        endings = (hashes(pc.utf8_slice_codeunits(names, -2)) % np.uint64(ENDINGS)).astype(np.int8) if end else np.zeros(0, np.int8)
+        tails = pc.utf8_slice_codeunits(names, -2).dictionary_encode()
+        endings = (hashes(tails.dictionary) % np.uint64(ENDINGS)).astype(np.int8)[np.asarray(tails.indices)] if end else np.zeros(0, np.int8)
         n = end + 1
         yield from pa.Table.from_arrays(
             [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.chunked_array([names.cast(pa.string()), pa.array([""])]), pa.array(np.append(endings, 0).astype(np.int8)), pa.array(counts.astype(np.int64)), pa.nulls(n, pa.binary())],
             schema=schema,
         ).to_batches(max_chunksize=50_000)
-        ids = table.column("doc_id")
         payload = _put(np.asarray(pc.fill_null(ids, 0), dtype=np.int64), np.asarray(pc.is_null(ids)), held, per, codes.astype(np.int32))
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int8()), pa.nulls(1, pa.int64()), pa.array([payload], pa.binary())], schema=schema)
         block += 1
+        del codes, words, trained, counts, names, tails, endings, payload
+        give_back()
 
 
 @dataclass
@@ -172,17 +178,19 @@ def _units(classes):
     """A block's documents with everything the unigram counts give, and their tokens as units."""
 
     def run(key: tuple, blocks_: pa.Table, words: pa.Table) -> pa.Table:
+        give_back()  # what the group before took
         shared: Classes = classes.value
         order = np.argsort(np.asarray(words.column("code"), dtype=np.int64))
         c, ending, top = (np.asarray(words.column(x), dtype=np.int64)[order] for x in ("c", "ending", "top"))
         unit, share = shared.of(c, ending, top)
+        unit = unit.astype("<u2")
         base = np.log10((c + 0.5) / (shared.total + 0.5 * (shared.types + 1)))
         out = []
         for raw in blocks_.column("payload").to_pylist():
             ids, nulls, held, per, codes = _get(raw)
             starts = np.cumsum(per) - per
             sums = [np.add.reduceat(x[codes], starts) for x in (base, share, (c > 0).astype(np.int64))]
-            bytes_ = memoryview(unit[codes].astype("<u2")).cast("B")
+            bytes_ = memoryview(unit[codes]).cast("B")
             texts = pa.array([bytes_[2 * a : 2 * (a + n)] for a, n in zip(starts.tolist(), per.tolist())], pa.binary())
             out.append(pa.table({"doc_id": pa.array(ids, mask=nulls), "held_out": held, "n_tokens": per.astype(np.int64), "n_known": sums[2], "base": sums[0], "share": sums[1], "units": texts}))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "share", "units"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))})
@@ -275,8 +283,8 @@ def _score(sent, total: int):
     return run
 
 
-def score(docs: DataFrame, *, rounds: int = ROUNDS, hot_rows: int = LEAST) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text)."""
+def _corpus(docs: DataFrame, hot_rows: int) -> tuple[DataFrame, int, np.ndarray]:
+    """Documents as units with what the counts of words give; training tokens; shares of the units."""
     spark = docs.sparkSession
     ws = Workspace(spark, "bilinear")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
@@ -329,10 +337,22 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS, hot_rows: int = LEAST) -> Da
     units = payloads.repartition(tasks, "block").groupBy("block").cogroup(given_words.repartition(tasks, "block").groupBy("block"))
     units = ws.write(units.applyInArrow(_units(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, units binary"), "units")
     ws.drop("encoded", "words", "hot")
+    return units, int(n), share
+
+
+def base(docs: DataFrame, *, hot_rows: int = LEAST) -> DataFrame:
+    """The columns of score that do not depend on the model, which is not trained for them."""
+    units, n, _ = _corpus(docs, hot_rows)
+    return units.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"))
 
+
+def score(docs: DataFrame, *, rounds: int = ROUNDS, hot_rows: int = LEAST) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text)."""
+    spark = docs.sparkSession
+    units, n, share = _corpus(docs, hot_rows)
     model = Model.start(share)
     state = [np.full(x.shape, 1e-6, np.float32) for x in model.arrays()]
-    replicas = max(1, math.ceil(math.sqrt(int(n) / SPREAD)))
+    replicas = max(1, math.ceil(math.sqrt(n / SPREAD)))
     place = F.xxhash64("doc_id", "units")
     trained = units.where(~F.col("held_out")).withColumn("place", place).withColumn("replica", F.pmod(F.xxhash64("place"), F.lit(replicas)).cast("int"))
     for k in range(rounds):
@@ -351,4 +371,4 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS, hot_rows: int = LEAST) -> Da
             arrays = [np.asarray(a, np.float32) for a in arrays]
             model, state = Model(*arrays[:5]), arrays[5:]
     tables = tuple(x.astype(np.float32) for x in model.tables())
-    return units.mapInArrow(_score(spark.sparkContext.broadcast(tables), int(n)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return units.mapInArrow(_score(spark.sparkContext.broadcast(tables), n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

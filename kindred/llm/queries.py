@@ -99,7 +99,9 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7_log_bilinear(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+    from kindred.llm.bilinear import base
+
+    return base(table(spark, sf_dir, "documents")).withColumn("base_score", F.round("base_score", 4))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -162,3 +162,28 @@ def test_counts_and_magnitudes_leave_the_terms_where_they_are(spark, monkeypatch
     assert len(got) == 200 and all(x["n_terms"] == len(whole[x["doc_id"]]["weights"]) and abs(x["magnitude"] - whole[x["doc_id"]]["magnitude"]) < 1e-12 for x in got)
     monkeypatch.setattr(K, "FREQUENT", 0)
     assert {x["doc_id"]: (x["n_terms"], round(x["magnitude"], 9)) for x in K.vectors(index).collect()} == {x["doc_id"]: (x["n_terms"], round(x["magnitude"], 9)) for x in got}
+
+
+def test_words_of_a_block_are_not_all_split_at_once(monkeypatch):
+    from kindred.llm import textarrow
+
+    texts = pa.array([f"  Ab{i % 50} c{i % 7}\tAB{i % 50} " * (i % 4) for i in range(3000)], pa.large_string())
+    monkeypatch.setattr(textarrow, "PIECE", 1 << 40)
+    per, codes, words = textarrow.word_codes(texts)
+    before = pa.default_memory_pool().bytes_allocated()
+    monkeypatch.setattr(textarrow, "PIECE", 1000)
+    most, split = [], textarrow.pc.ascii_split_whitespace
+    monkeypatch.setattr(textarrow.pc, "ascii_split_whitespace", lambda x: most.append(pa.default_memory_pool().bytes_allocated() - before) or split(x))
+    got = textarrow.word_codes(texts)
+    assert (got[0] == per).all() and (got[1] == codes).all() and got[2].equals(words) and len(most) > 50 and max(most) < 100_000
+    assert [len(x) for x in textarrow.word_codes(texts[:0])] == [0, 0, 0]
+
+
+def test_base_scores_need_no_model(spark, monkeypatch):
+    from kindred.llm import bilinear
+
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(r.randrange(90), r.randrange(90))}" for _ in range(r.randint(0, 40)))) for i in range(120)] + [(None, "a w1"), (7, None)], "doc_id long, text string")
+    want = sorted(map(str, bilinear.score(docs).drop("score").collect()))
+    monkeypatch.setattr(bilinear.Model, "start", None)
+    assert sorted(map(str, bilinear.base(docs).collect())) == want
