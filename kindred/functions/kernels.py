@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -253,8 +253,27 @@ def _counts(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, ...]:
     return la, lb, ka // span, na, beside(ka, kb, nb), kb // span, nb, beside(kb, ka, na)
 
 
+#: Tokens of the rows that are counted at a time: what that takes does not grow with the batch.
+PAIR_TOKENS = 200_000
+
+
+def _by_pieces(score: Callable[[pa.Array, pa.Array], np.ndarray], a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The score of all rows, some at a time; a row of more tokens is taken by itself."""
+    out, at = [np.zeros(0)], 0
+    ends = sum(np.cumsum(pc.fill_null(pc.list_value_length(x), 0), dtype=np.int64) for x in (a, b))
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIR_TOKENS, side="right")))
+        out.append(score(a.slice(at, stop - at), b.slice(at, stop - at)))
+        at = stop
+    return np.concatenate(out)
+
+
 def bm25_pairs(a: pa.Array, b: pa.Array, k1: float = 1.2, length_weight: float = 0.75) -> np.ndarray:
     """Tokens of a as the query over the two documents: b's score over the larger one; 0 if none is positive."""
+    return _by_pieces(lambda x, y: _bm25_pairs(x, y, k1, length_weight), a, b)
+
+
+def _bm25_pairs(a: pa.Array, b: pa.Array, k1: float, length_weight: float) -> np.ndarray:
     la, lb, row, n, other, *_ = _counts(a, b)
     mean = np.maximum((la + lb) / 2.0, 0.5)
     idf = np.where(other > 0, math.log(1.2), math.log(2.0))
@@ -270,6 +289,10 @@ def bm25_pairs(a: pa.Array, b: pa.Array, k1: float = 1.2, length_weight: float =
 
 def tfidf_pairs(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Cosine of the two documents' weights; 1 for two empty ones, 0 for one."""
+    return _by_pieces(_tfidf_pairs, a, b)
+
+
+def _tfidf_pairs(a: pa.Array, b: pa.Array) -> np.ndarray:
     la, lb, row, n, other, row_b, n_b, other_b = _counts(a, b)
     alone = math.log(1.5) + 1.0
 

@@ -209,7 +209,9 @@ def _of_tokens(name: str):
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         has = pc.and_(x.is_valid(), y.is_valid())
-        return placed(pa.array(getattr(kernels, name)(x.filter(has), y.filter(has))), has)
+        if x.null_count or y.null_count:  # else a copy of the batch for nothing
+            x, y = x.filter(has), y.filter(has)
+        return placed(pa.array(getattr(kernels, name)(x, y)), has)
 
     return F.arrow_udf(run, "double")
 

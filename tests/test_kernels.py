@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -107,6 +108,29 @@ def test_pairs_of_tokens():
     assert np.allclose(got, [slow_pair(x, y) for x, y in zip(a, b)])
 
 
+def test_memory_of_pairs_of_tokens_does_not_grow_with_the_batch():
+    r = np.random.default_rng(9)
+    sizes = r.integers(0, 1000, (2, 4000))
+    sizes[:, [0, 1, -1]], sizes[0, 7] = 0, K.PAIR_TOKENS + 1
+    words = pa.array([f"w{i}" for i in range(300)])
+    a, b = (pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), words.take(pa.array(r.integers(0, 300, n.sum())))) for n in sizes)
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        got = np.stack([K.bm25_pairs(a, b), K.tfidf_pairs(a, b)], axis=1)
+        peak = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    assert peak < 50e6
+    some = [*range(12), *range(1990, 2010), *range(3990, 4000)]
+    assert np.allclose(got[some], [slow_pair(a[i].as_py(), b[i].as_py()) for i in some])
+    assert np.allclose(got[5:90], np.stack([f(a[5:90], b[5:90]) for f in (K.bm25_pairs, K.tfidf_pairs)], axis=1))
+    assert K.tfidf_pairs(a[:0], b[:0]).tolist() == []
+
+
 def test_simhash_counts_long_texts():
     some = ["ab" * 400, "x" * 1000, *texts(50, 900, 6)]
     h, counts = K.shingle_hashes(some, 4)
