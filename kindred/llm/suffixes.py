@@ -10,7 +10,8 @@ equal windows have equal anchors at equal offsets, and neighbouring windows most
 one row: bucket (anchor's identifier), name of all the bytes the run spans. Rows of a bucket with the same name repeat each
 other as a whole, and all but the first are done. Buckets of one row, or of one name, are never looked at again. What is
 left open is refined: into parts of a run, in buckets named by what all windows of a part have in common, and these into
-single windows. Texts are reread for that, not shuffled, while the open rows are few enough to be sent to the tasks.
+single windows. Texts are reread for that, not shuffled, while the open rows are few enough to be sent to the tasks; only
+the bytes that open rows span are looked at, and their anchors found anew.
 
 Blocks resolve what repeats within them before anything is shuffled, so a passage that a third of all documents hold is
 sent once per block. Names have 64 bits of their own: however many rows share an anchor, and so a bucket, m of them with
@@ -43,10 +44,12 @@ from kindred.runtime import Workspace
 Q = 32
 #: Windows of a part of a run.
 STEP = 8
-#: Up to so many open rows, or removed runs, are sent to the tasks (8 to 16 bytes each); more are joined to the documents.
+#: Up to so many open rows, or removed runs, are sent to the tasks (13 or 16 bytes each); more are joined to the documents.
 MOST_SENT = 3_000_000
-#: Positions whose identifiers are in memory at once.
-CHUNK = 1 << 18
+#: About so many positions have their identifiers in memory at once; few enough for these to stay in a core's cache.
+CHUNK = 1 << 16
+#: Bits of a position in a piece, in the place of the last bits of an identifier: anchors are the least of these.
+BITS = np.uint64(4 * CHUNK - 1)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _MULT = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,48 +63,43 @@ def _mix(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
     return x
 
 
-def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the 32 and of the 64 bytes from each position; data is padded so that each has them."""
-    h, k, h32 = _BYTE[data], 1, None
-    for level in range(6):
+def identifiers(data: np.ndarray) -> np.ndarray:
+    """Identifiers of the 32 bytes from each position; data is padded so that each has them."""
+    h, k = _BYTE[data], 1
+    for level in range(5):
         h = _mix(h[:-k], h[k:], level)
         k *= 2
-        if k == Q:
-            h32 = h
-    return h32, h
+    return h
 
 
-def name(h64: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Names of strings of 64 to 192 bytes from the identifiers at two or three offsets."""
-    x = _mix(h64[start], h64[start + np.minimum(64, size - 64)], 6)
-    return _mix(x, h64[start + size - 64], 7) + size.astype(np.uint64)
+def name(h32: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Names of strings of 64 to 192 bytes from the identifiers of 64 bytes at two or three offsets."""
 
+    def h64(at: np.ndarray) -> np.ndarray:
+        return _mix(h32[at], h32[at + Q], 5)
 
-def _key(owner: np.ndarray, first: np.ndarray, bucket: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """What tells one row from all others; owner is a hash of its document."""
-    x = _mix(bucket.astype(np.uint64), np.ascontiguousarray(names).view(np.uint64), 6)
-    return _mix(_mix(x, owner, 7), first.astype(np.uint64), 5)
+    x = _mix(h64(start), h64(start + np.minimum(64, size - 64)), 6)
+    return _mix(x, h64(start + size - 64), 7) + size.astype(np.uint64)
 
 
 def _owner(ids: np.ndarray, nth: np.ndarray) -> np.ndarray:
     return _mix(ids.view(np.uint64), nth.astype(np.uint64), 4)
 
 
-def _in(open_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys are among the sorted open ones."""
-    if not len(open_):
-        return np.zeros(len(keys), bool)
-    return open_[np.minimum(np.searchsorted(open_, keys), len(open_) - 1)] == keys
+def _piece(data: np.ndarray, spans: Iterator[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers in the spans of data, one after the other, and these with their places as the last bits."""
+    h32 = identifiers(np.concatenate([*(data[a:b] for a, b in spans), np.zeros(256, np.uint8)]))
+    key = h32 & ~BITS
+    key |= np.arange(len(h32), dtype=np.uint64)
+    return h32, key
 
 
-def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, level: int = 0, owner: np.ndarray | None = None, open_: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(document, first window, last window, bucket, name) of each run of windows; documents are slices of data.
+_NONE = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    Level 0 are the runs of equal anchors. Level 1 cuts those among the open rows at offsets from the anchor that are
-    multiples of STEP; such a part's bucket is named by what all its windows have in common. Level 2 are the single
-    windows of the open ones of these.
-    """
-    out: list[tuple[np.ndarray, ...]] = []
+
+def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document, first window, last window, bucket, name) of each run of windows of equal anchors; documents are slices of data."""
+    out: list[tuple[np.ndarray, ...]] = [_NONE]
     width = length - Q + 1
     pieces: list[list[tuple[int, int, int]]] = [[]]  # (document, first window, windows) of about CHUNK windows together
     held = 0
@@ -115,46 +113,74 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, l
             pieces[-1].append((d, at, took))
             held += took + length
             at += took
-    bits = np.uint64(2 * CHUNK * 2 - 1)
     for piece in pieces:
         if not piece:
             continue
-        part = np.concatenate([data[starts[d] + at : starts[d] + at + n + length - 1] for d, at, n in piece])
-        h32, h64 = identifiers(np.concatenate([part, np.zeros(256, np.uint8)]))
-        key = (h32 & ~bits) | np.arange(len(h32), dtype=np.uint64)
+        d, at, took = np.array(piece).T
+        left = starts[d] + at
+        h32, key = _piece(data, zip(left.tolist(), (left + took + length - 1).tolist()))
         span = 1
         while 2 * span <= width:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
         if span < width:
             key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
-        took = np.array([n for _, _, n in piece])
-        begin = np.concatenate([[0], np.cumsum(took + length - 1)[:-1]])
-        doc = np.repeat([d for d, _, _ in piece], took)
-        local = np.arange(len(doc)) - np.repeat(np.cumsum(took) - took, took)
-        window = local + np.repeat(begin, took)
-        anchor = (key[window] & bits).astype(np.int64)
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(new)) - 1
-        shift = (local + np.repeat([at for _, at, _ in piece], took) - window)[a]  # from places in the piece to windows of the document
-        doc, anchor, first, last = doc[a], anchor[a], window[a], window[b]
-        bucket, names = h32[anchor], name(h64, first, last - first + length).view(np.int64)
+        begin = np.cumsum(took + length - 1) - (took + length - 1)
+        new = np.empty(len(key), bool)
+        new[0] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        new[begin] = True
+        new[begin + took] = True  # the windows from here cross into the next document
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(new)) - 1
+        of = np.searchsorted(begin, first, "right") - 1
+        inside = first < (begin + took)[of]
+        first, last, of = first[inside], last[inside], of[inside]
+        anchor = (key[first] & BITS).astype(np.int64)
+        shift = (at - begin)[of]  # from places in the piece to windows of the document
+        out.append((d[of], first + shift, last + shift, h32[anchor], name(h32, first, last - first + length).view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def parts(data: np.ndarray, starts: np.ndarray, length: int, level: int, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What runs gives, for the parts of the open rows, which are sorted by document and first window.
+
+    Level 1 cuts runs at offsets from the anchor that are multiples of STEP; such a part's bucket is named by what all its
+    windows have in common. Level 2 cuts these parts into single windows. Only the bytes of the open rows are looked at:
+    all windows of one have the same anchor, which is the first of the least identifiers in any of them, so in all.
+    """
+    out: list[tuple[np.ndarray, ...]] = [_NONE]
+    width = length - Q + 1
+    start, stop = starts[doc] + first, starts[doc] + last + length
+    if not len(doc):
+        return _NONE
+    ahead = np.concatenate([[0], np.maximum.accumulate(stop)[:-1]])
+    size = np.cumsum(np.maximum(stop - np.maximum(start, ahead), 0))  # bytes up to each row
+    cuts = np.unique(np.searchsorted(size, np.arange(0, size[-1], CHUNK)))
+    for rows in map(slice, cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
+        a, z = start[rows], np.maximum.accumulate(stop[rows])
+        new = np.concatenate([[True], a[1:] > z[:-1]])  # rows that overlap or touch are one span
+        left = a[new]
+        right = z[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
+        h32, key = _piece(data, zip(left.tolist(), right.tolist()))
+        f = a + (np.cumsum(right - left) - right)[np.cumsum(new) - 1]
+        n = last[rows] - first[rows]
+        ends = np.stack([f, f + n + width], 1).ravel()
+        anchor = (np.minimum.reduceat(key, ends)[::2] & BITS).astype(np.int64)
+        bucket = h32[anchor]
         for k in range(level):
-            keep = _in(open_, _key(owner[doc], first + shift, bucket, names))
-            doc, anchor, first, last, shift, bucket = (x[keep] for x in (doc, anchor, first, last, shift, bucket))
             step = STEP if k == 0 else 1
-            low, high = (anchor - last) // step, (anchor - first) // step
-            parts = high - low + 1
-            doc, anchor, first, last, shift, bucket, low = (np.repeat(x, parts) for x in (doc, anchor, first, last, shift, bucket, low))
-            j = low + np.arange(len(low)) - np.repeat(np.cumsum(parts) - parts, parts)
-            first, last = np.maximum(first, anchor - step * j - step + 1), np.minimum(last, anchor - step * j)
-            common = name(h64, anchor - step * j, np.full(len(j), length - step + 1))
-            bucket = _mix(_mix(bucket, common, 6), j.astype(np.uint64), 7)
-            names = name(h64, first, last - first + length).view(np.int64)
-        out.append((doc, first + shift, last + shift, bucket, names))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if k + 1 < level:  # the row is one part already
+                j, each, p = (anchor - f) // step, np.arange(len(f)), (f, f + n)
+            else:
+                low, count = (anchor - f - n) // step, (anchor - f) // step - (anchor - f - n) // step + 1
+                each = np.repeat(np.arange(len(f)), count)
+                j = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                p = np.maximum(f[each], anchor[each] - step * j - step + 1), np.minimum((f + n)[each], anchor[each] - step * j)
+            common = name(h32, anchor[each] - step * j, np.full(len(j), length - step + 1))
+            bucket = _mix(_mix(bucket[each], common, 6), j.astype(np.uint64), 7)
+        shift = (first[rows] - f)[each]
+        out.append((doc[rows][each], p[0] + shift, p[1] + shift, bucket, name(h32, p[0], p[1] - p[0] + length).view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -174,6 +200,40 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, nth, rank
 
 
+def _open_rows(table: pa.Table, ids: np.ndarray, nth: np.ndarray, sizes: np.ndarray, length: int, sent) -> tuple[np.ndarray, ...]:
+    """(document, first window, last window) of the open rows, sorted; they are sent, or each document brings its own."""
+    if sent is not None:
+        owners, firsts, mores = sent.value
+        own = _owner(ids, nth)
+        low = np.searchsorted(owners, own, "left")
+        count = np.searchsorted(owners, own, "right") - low
+        doc = np.repeat(np.arange(len(ids)), count)
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(doc))
+        first, more = firsts[at].astype(np.int64), mores[at]
+    else:
+        lists = table.column("open").combine_chunks()
+        doc = np.repeat(np.arange(len(ids)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64))
+        key = np.asarray(lists.flatten(), dtype=np.int64)
+        first, more = key >> 8, key & 255
+    last = first + more
+    order = np.lexsort((first, doc))
+    order = order[last[order] + length <= sizes[doc[order]]]  # owners are hashes where ids repeat
+    return doc[order], first[order], last[order]
+
+
+def _again(doc: np.ndarray, first: np.ndarray, bucket: np.ndarray, names: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which rows have the bucket and name of an earlier one."""
+    out = np.zeros(len(doc), bool)
+    order = np.argsort(bucket)
+    b = bucket[order]
+    same = np.concatenate([[False], b[1:] == b[:-1], [False]])
+    some = order[same[1:] | same[:-1]] if len(order) else order  # the others are alone in their bucket
+    some = some[np.lexsort((first[some], rank[doc[some]], names[some], bucket[some]))]
+    b, n = bucket[some], names[some]
+    out[some[1:][(b[1:] == b[:-1]) & (n[1:] == n[:-1])]] = True
+    return out
+
+
 _ROWS = "kind byte, bucket long, name long, doc_id long, nth long, first int, last int"
 
 
@@ -184,33 +244,26 @@ def _table(kind: int, bucket: np.ndarray, names: np.ndarray, ids: np.ndarray, nt
 def _rows(length: int, level: int, sent):
     """Rows of kind 0, the first of each bucket and name in a block, and of kind 1, the spans they resolve.
 
-    The keys of the open rows are sent, or each document brings its own in a column.
+    The open rows are sent, or each document brings its own in a column.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, 16_000_000 if level == 0 else 8_000_000):
             ids, nth, rank = _keys(table)
-            open_ = None
+            data, starts, sizes = _bytes(strings(table))
             if level:
-                open_ = sent.value if sent is not None else np.unique(np.asarray(table.column("open").combine_chunks().flatten(), dtype=np.int64).view(np.uint64))
-            doc, first, last, bucket, names = runs(*_bytes(strings(table)), length, level, _owner(ids, nth), open_)
-            order = np.lexsort((first, rank[doc], names, bucket))
-            b, n = bucket[order], names[order]
-            again = np.concatenate([[False], (b[1:] == b[:-1]) & (n[1:] == n[:-1])]) if len(order) else np.zeros(0, bool)
-            for kind, some in ((0, order[~again]), (1, order[again])):
-                some = np.sort(some)
+                found = parts(data, starts, length, level, *_open_rows(table, ids, nth, sizes, length, sent))
+            else:
+                found = runs(data, starts, sizes, length)
+            doc, first, last, bucket, names = found
+            again = _again(doc, first, bucket, names, rank)
+            for kind in range(2):
+                some = np.flatnonzero(again == kind)
                 yield from _table(kind, bucket[some], names[some], ids[doc[some]], nth[doc[some]], first[some], last[some]).to_batches()
 
     return run
 
 
-def _open_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, nth, first, bucket, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "nth", "first", "bucket", "name"))
-        key = _key(_owner(np.ascontiguousarray(ids), nth), first, np.ascontiguousarray(bucket).view(np.uint64), names)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("nth"), pa.array(key.view(np.int64))], ["doc_id", "nth", "key"])
-
-
 def _merge(length: int):
     """Removed runs of each document from the windows that repeat: neither overlapping nor touching, ascending."""
 
@@ -283,6 +336,15 @@ def _sift(ws: Workspace, rows: DataFrame, name: str, least: int) -> DataFrame:
     return found.unionByName(firsts).unionByName(later)
 
 
+def _collected(rows: DataFrame, unique: bool, *columns: str) -> tuple[np.ndarray, ...]:
+    """Owner and columns of all rows, sorted by owner and first column; nth stays where ids are unique, as it is 0."""
+    ids, *rest = (x.to_numpy() for x in rows.select("doc_id", *(() if unique else ("nth",)), *columns).toArrow().columns)
+    nth = np.zeros(len(ids), np.int64) if unique else rest.pop(0)
+    own = _owner(np.ascontiguousarray(ids), nth)
+    order = np.lexsort((rest[0], own))
+    return own[order], *(x[order] for x in rest)
+
+
 def repeats(docs: DataFrame, *, length: int = 100, most_sent: int = MOST_SENT, hot_rows: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of the removed runs).
 
@@ -293,7 +355,8 @@ def repeats(docs: DataFrame, *, length: int = 100, most_sent: int = MOST_SENT, h
     spark = docs.sparkSession
     ws = Workspace(spark, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if unique:
         docs = docs.withColumn("nth", F.lit(0).cast("long"))
     else:
         docs = ws.write(docs.withColumn("nth", F.monotonically_increasing_id()), "docs")
@@ -307,28 +370,26 @@ def repeats(docs: DataFrame, *, length: int = 100, most_sent: int = MOST_SENT, h
         given, sent = texts, None
         if level:
             if keys.count() <= most_sent:
-                sent = spark.sparkContext.broadcast(np.sort(keys.select("key").toArrow().column(0).to_numpy().view(np.uint64)))
+                sent = spark.sparkContext.broadcast(_collected(keys, unique, "first", "more"))
             else:
-                lists = keys.groupBy("doc_id", "nth").agg(F.collect_list("key").alias("open"))
+                key = F.shiftleft(F.col("first").cast("long"), 8) + F.col("more")
+                lists = keys.groupBy("doc_id", "nth").agg(F.collect_list(key).alias("open"))
                 given = texts.join(lists.hint("shuffle_hash"), ["doc_id", "nth"])
         rows = ws.write(given.mapInArrow(_rows(length, level, sent), _ROWS), f"rows-{level}")
         found = ws.write(_sift(ws, rows.where("kind = 0"), str(level), hot_rows), f"found-{level}")
         done = rows.where("kind = 1").select("doc_id", "nth", "first", "last").union(found.where("done").select("doc_id", "nth", "first", "last"))
         spans.append(ws.write(done, f"spans-{level}"))
         ws.drop(f"rows-{level}", f"hot-{level}", f"heads-{level}")
-        fresh = found.where("not done").select("doc_id", "nth", "first", "bucket", "name").mapInArrow(_open_keys, "doc_id long, nth long, key long")
-        fresh = ws.write(fresh, f"keys-{level}")
+        if level < 2:
+            more = (F.col("last") - F.col("first")).cast("byte").alias("more")  # a run has up to 97 windows
+            keys = ws.write(found.where("not done").select("doc_id", "nth", "first", more), f"keys-{level}")
         ws.drop(f"found-{level}")
-        keys = fresh if keys is None else keys.union(fresh)
     all_ = spans[0].union(spans[1]).union(spans[2])
     gone = all_.groupBy("doc_id", "nth").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     gone = ws.write(gone.mapInArrow(_merge(length), "doc_id long, nth long, starts array<int>, ends array<int>"), "gone")
-    ws.drop("spans-0", "spans-1", "spans-2", "keys-0", "keys-1", "keys-2")
+    ws.drop("spans-0", "spans-1", "spans-2", "keys-0", "keys-1")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
     if (gone.agg(F.sum(F.size("starts"))).first()[0] or 0) <= most_sent:
-        flat = gone.select("doc_id", "nth", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select("doc_id", "nth", "x.starts", "x.ends").toArrow()
-        ids, nth, at, to = (flat.column(c).to_numpy() for c in ("doc_id", "nth", "starts", "ends"))
-        own = _owner(np.ascontiguousarray(ids), nth)
-        order = np.lexsort((at, own))
-        return docs.mapInArrow(_removed(spark.sparkContext.broadcast((own[order], at[order], to[order]))), fields)
+        flat = gone.select("doc_id", "nth", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select("doc_id", "nth", "x.starts", "x.ends")
+        return docs.mapInArrow(_removed(spark.sparkContext.broadcast(_collected(flat, unique, "starts", "ends"))), fields)
     return docs.join(gone.hint("shuffle_hash"), ["doc_id", "nth"], "left").mapInArrow(_removed(None), fields)

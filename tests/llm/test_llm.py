@@ -608,6 +608,28 @@ def test_repeats_names_that_share_32_bits(spark):
         assert got == brute_repeats(texts, 100)
 
 
+def test_repeats_looks_only_at_open_rows(monkeypatch):
+    import pyarrow as pa
+
+    from kindred.llm import suffixes
+
+    text = "".join(random.Random(3).choices("abcdefgh ", k=200_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7, 8], pa.int64()), "nth": pa.array([0, 0], pa.int64()), "text": [text, "short"]})
+    rows = pa.Table.from_batches(suffixes._rows(100, 0, None)(iter([batch]))).sort_by("first").to_pylist()
+    assert [r["first"] for r in rows[1:]] == [r["last"] + 1 for r in rows[:-1]] and rows[-1]["last"] == 200_000 - 100
+    seen, real = [], suffixes.identifiers
+    monkeypatch.setattr(suffixes, "identifiers", lambda data: seen.append(len(data)) or real(data))
+    some = whole = [(r["first"], r["last"]) for r in rows[5:6] + rows[40:42] + rows[-1:]]
+    for level in (1, 2):
+        open_ = batch.append_column("open", pa.array([[(f << 8) + e - f for f, e in some], []], pa.list_(pa.int64())))
+        batches = list(suffixes._rows(100, level, None)(iter([open_])))
+        assert 0 < sum(seen) < 5_000
+        found = pa.Table.from_batches(batches).to_pylist()
+        some = sorted((r["first"], r["last"]) for r in found)
+        assert sorted(w for f, e in some for w in range(f, e + 1)) == [w for f, e in whole for w in range(f, e + 1)]
+        assert max(e - f for f, e in some) < (8 if level == 1 else 1) and {r["doc_id"] for r in found} == {7}
+
+
 # -- 9
 
 
